@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from .decontamination import OP5_SQL, op5_decontamination
 from .fingerprints import op1_fingerprints
+from .lines import OP7_SQL, op7_line_dedup
+from .mixing import OP6_SQL, op6_mixing
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op5_decontamination": op5_decontamination,
+    "op6_mixing": op6_mixing,
+    "op7_line_dedup": op7_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": OP5_SQL,
+    "op6_mixing": OP6_SQL,
+    "op7_line_dedup": OP7_SQL,
+}
