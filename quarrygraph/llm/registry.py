@@ -6,9 +6,11 @@ from .decontamination import OP5_SQL, op5_decontamination
 from .fingerprints import op1_fingerprints
 from .lines import OP7_SQL, op7_line_dedup
 from .mixing import OP6_SQL, op6_mixing
+from .near_dups import op4_near_dups
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op4_near_dups": op4_near_dups,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
