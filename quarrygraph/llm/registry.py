@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP5_SQL, op5_decontamination
 from .fingerprints import op1_fingerprints
+from .language import op3_language
 from .licenses import op2_licenses
 from .lines import OP7_SQL, op7_line_dedup
 from .mixing import OP6_SQL, op6_mixing
@@ -12,6 +13,7 @@ from .near_dups import op4_near_dups
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_licenses": op2_licenses,
+    "op3_language": op3_language,
     "op4_near_dups": op4_near_dups,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
