@@ -9,6 +9,7 @@ from .licenses import op2_licenses
 from .lines import OP7_SQL, op7_line_dedup
 from .mixing import OP6_SQL, op6_mixing
 from .near_dups import op4_near_dups
+from .quality import op9_quality
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
