@@ -10,6 +10,7 @@ from .lines import OP7_SQL, op7_line_dedup
 from .mixing import OP6_SQL, op6_mixing
 from .near_dups import op4_near_dups
 from .quality import op9_quality
+from .substrings import op8_suffix_dedup
 from .toxicity import op10_toxicity
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
