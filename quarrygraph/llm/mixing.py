@@ -81,11 +81,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     joined = docs.join(rates, F.col(source_col).eqNullSafe(F.col("_qg_source")), "inner")
     draws = F.greatest(F.ceil(F.col("_qg_rate") / DRAW_MEAN), F.lit(1)).cast("int")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    count = F.aggregate(
-        F.sequence(F.lit(1), draws),
-        F.lit(0),
-        lambda n, k: n + poisson_inverse(uniform(F.concat(F.lit(f"{seed}-"), k.cast("string")), key), F.col("_qg_rate") / draws),
-    )
+    # the uniforms are made first: a lambda evaluates what it names at every step
+    uniforms = F.transform(F.sequence(F.lit(1), draws), lambda k: uniform(F.concat(F.lit(f"{seed}-"), k.cast("string")), key))
+    joined = joined.withColumn("_qg_mean", F.col("_qg_rate") / draws)
+    count = F.aggregate(uniforms, F.lit(0), lambda n, u: n + poisson_inverse(u, F.col("_qg_mean")))
     copies = joined.withColumn("_qg_n", count).filter("_qg_n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_qg_n"))))
     copies = copies.select(*docs.columns, "copy_no")
     return copies.orderBy(F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), key, F.col("copy_no").cast("string")))) if shuffle else copies
