@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .graph_catalog import ORACLE_SQL as GRAPH_SQL
 from .graph_catalog import QUERIES as GRAPH
+from .text_catalog import ORACLE_SQL as TEXT_SQL
+from .text_catalog import QUERIES as TEXT
 
-QUERIES = {**GRAPH}
-ORACLE_SQL = {**GRAPH_SQL}
+QUERIES = {**GRAPH, **TEXT}
+ORACLE_SQL = {**GRAPH_SQL, **TEXT_SQL}
