@@ -10,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import l2_normalised
-
 MAX_DIMENSIONS = 4096
 #: Query vectors that are compared at once: what is held on each executor, whatever their number.
 QUERY_BLOCK = 1024
@@ -48,9 +46,11 @@ def embed(rows: DataFrame, function: Callable[[list[str]], list[list[float]]], d
             if any(len(v) != dimensions for v in got) or len(got) != len(texts.iloc[i : i + batch]):
                 raise ValueError("the embedding function returned vectors of another number or size")
             out += got
-        return pd.Series(out)
+        v = np.array(out, np.float64).reshape(len(texts), dimensions)
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        return pd.Series(list(v / np.where(norm == 0, 1, norm)))
 
-    return rows.withColumn("embedding", l2_normalised(run(text_col))).withColumn("embedding_dimensions", F.lit(dimensions))
+    return rows.withColumn("embedding", run(text_col)).withColumn("embedding_dimensions", F.lit(dimensions))
 
 
 def store(old: DataFrame, new: DataFrame) -> DataFrame:

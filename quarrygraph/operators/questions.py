@@ -93,16 +93,18 @@ def guard_sql(spark: SparkSession, sql: str, most: int = SQL_MAX_ROWS) -> tuple[
         raise ValueError(f"the query must only read, not {bad[0]}")
     if re.search(r"\b(reflect|java_method|try_reflect)\s*\(", text, re.IGNORECASE):
         raise ValueError("the query must not call into the JVM")
-    found = _LIMIT.search(text)
+    found = max(_LIMIT.finditer(text), key=lambda m: m.start(), default=None)  # the query's own comes last
     if not found:
         raise ValueError("the query must have a LIMIT")
-    if "GlobalLimit" not in names[:3] and "LocalLimit" not in names[:3] and "UnresolvedWith" not in names[:1]:
+    with_ctes = plan.nodeName() == "UnresolvedWith"
+    if (plan.child() if with_ctes else plan).nodeName() != "GlobalLimit":
         raise ValueError("the LIMIT must be the query's own")
     warnings = []
     if int(found[1]) > most:
-        text = _LIMIT.sub(f"LIMIT {most}", text, count=1)
         warnings.append(f"LIMIT was capped from {found[1]} to {most}")
-    return f"SELECT * FROM ({text}) LIMIT {most}" if "UnresolvedWith" in names[:1] else text, warnings
+        head, tail = text[: found.start()], text[found.end() :]
+        text = f"{head}LIMIT {most}{tail}"
+    return text, warnings
 
 
 def run_guarded(spark: SparkSession, sql: str, most: int = SQL_MAX_ROWS, timeout: float = 30.0) -> list:
