@@ -1,4 +1,4 @@
-"""Command line: ingest, load, ask, key-nodes, explain-node, audit.
+"""Command line: sync, load, ask, key-nodes, explain-node, audit.
 
 A loaded graph is a folder of Parquet tables with the names of ``Graph``'s fields.
 """
@@ -9,13 +9,14 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions.expressions import preview, short_hash, slug
 from .operators import audit, graph_queries, loader, text_graph
 from .operators.answers import answer
 from .operators.questions import query_terms
-from .sources import graph_json, vocabulary
+from .sources import graph_json, markup, vocabulary
 from .sources.star import Graph
 
 TABLES = ("companies", "documents", "calls", "chunks", "entities", "facts", "concepts", "maps_to", "schema_edges")
@@ -69,12 +70,73 @@ def ingest(spark: SparkSession, docs: DataFrame, lexicon: text_graph.Lexicon | N
     return {"chunks": chunks, "entities": entities, "relations": relations}
 
 
+def sync(spark: SparkSession, folder: str, manifest: DataFrame, out: str, pattern: str = "*.md", limit: int | None = None, force: bool = False, any_source: bool = False, lexicon: text_graph.Lexicon | None = None) -> int:
+    """Markdown files with their manifest entries to exported graphs; returns how many were made.
+
+    Files that have an export are left alone unless ``force``; only conference calls
+    count unless ``any_source``; a file without an entry is an error.
+    """
+    files = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    files = files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("filename"), F.col("value").alias("markdown"))
+    rows = files.join(manifest.withColumn("_known", F.lit(True)), "filename", "left")
+    known = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("no manifest entry for "), "filename")).cast("boolean")).otherwise(F.lit(True))
+    rows = rows.filter(known)
+    if not any_source:
+        rows = rows.filter(markup.is_conference_call(F.col("source_type")))
+    stem = F.regexp_replace("filename", r"\.[^.]*$", "")
+    rows = rows.withColumn("document_id", slug(F.concat_ws("-", "company", "quarter", stem)))
+    if not force:
+        done = _exports(spark, out)
+        if done is not None:
+            rows = rows.join(done.select(F.col("document.id").alias("document_id")), "document_id", "left_anti")
+    rows = rows.orderBy("filename").limit(limit) if limit else rows
+    made = ingest(spark, rows, lexicon)
+    chunk = F.struct("id", "document_id", "index", "chunk_type", "heading", "text", "start_line", "end_line", "text_hash")
+    chunks = made["chunks"].groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("index", chunk.alias("c")))).alias("c")).select("document_id", F.transform("c", lambda x: x["c"]).alias("chunks"))
+    scope = made["chunks"].select(F.col("id").alias("scope"), "document_id")
+    ent = made["entities"].join(scope, "scope").select("document_id", "id", "name", F.col("type").alias("entity_type")).distinct()
+    firm = rows.select("document_id", F.concat(F.lit("entity-company-"), slug(F.col("company"))).alias("id"), F.col("company").alias("name"), F.lit("Company").alias("entity_type"))
+    every = ent.unionByName(firm).distinct()
+    entities = every.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("id", "name", "entity_type", F.lit("text").alias("source")))).alias("entities"))
+    ids = every.select("document_id", "name", "id")
+    rel = made["relations"]
+    for side in ("source", "target"):
+        rel = rel.join(ids.select("document_id", F.col("name").alias(side), F.col("id").alias(f"{side}_entity_id")), ["document_id", side])
+    order = Window.partitionBy("document_id").orderBy("scope", "pos", "source_entity_id", "target_entity_id")
+    rel = text_graph.relation_ids(rel.withColumn("seq", F.row_number().over(order)))
+    rel = rel.withColumn("id", F.concat_ws("-", "id", short_hash(F.col("document_id"), 8)))
+    one = F.struct("id", "source_entity_id", F.col("relation").alias("relation_type"), "target_entity_id", F.col("scope").alias("scope_id"), preview(F.col("text"), 260).alias("evidence_text"), F.lit(0.7).alias("confidence"))
+    relations = rel.groupBy("document_id").agg(F.array_sort(F.collect_list(one)).alias("relations"))
+    doc = F.struct(F.col("document_id").alias("id"), F.col("filename").alias("title"), "company_id", F.col("company").alias("company_name"), "ticker", "sector", F.col("quarter").alias("fiscal_quarter"), F.when(F.col("call_id") == "", slug(F.concat_ws("-", "company", "quarter"))).otherwise(F.col("call_id")).alias("call_id"), "call_date", "source_url", F.col("source_type").alias("source_kind"), F.col("filename").alias("markdown_path"))
+    graphs = rows.select("document_id", doc.alias("document")).join(chunks, "document_id", "left").join(entities, "document_id", "left").join(relations, "document_id", "left").drop("document_id")
+    before = 0 if (done := _exports(spark, out)) is None else done.count()
+    graphs.write.mode("overwrite" if force else "append").json(out)
+    return _exports(spark, out).count() - (0 if force else before)
+
+
+def _exports(spark: SparkSession, path: str) -> DataFrame | None:
+    """Exports that sync has made, one a line."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+        return None
+    return spark.read.schema(graph_json.GRAPH_SCHEMA).json(path).withColumn("load_seq", F.input_file_name())
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quarrygraph")
     commands = parser.add_subparsers(dest="command", required=True)
     c = commands.add_parser("load")
     c.add_argument("exports")
     c.add_argument("--pattern", default="*graph.json")
+    c = commands.add_parser("sync")
+    c.add_argument("folder")
+    c.add_argument("manifest")
+    c.add_argument("--out", default="exports")
+    c.add_argument("--pattern", default="*.md")
+    c.add_argument("--limit", type=int)
+    c.add_argument("--force", action="store_true")
+    c.add_argument("--any-source", action="store_true")
+    c.add_argument("--json-only", action="store_true")
     c = commands.add_parser("ask")
     c.add_argument("question")
     c.add_argument("--limit", type=int, default=12)
@@ -91,6 +153,11 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("quarrygraph").getOrCreate()
     if args.command == "load":
         load_graph(spark, graph_json.read_graphs(spark, args.exports, args.pattern), args.graph)
+    elif args.command == "sync":
+        n = sync(spark, args.folder, markup.read_manifest(spark, args.manifest), args.out, args.pattern, args.limit, args.force, args.any_source)
+        print(json.dumps({"exported": n}))
+        if not args.json_only:
+            load_graph(spark, _exports(spark, args.out), args.graph)
     elif args.command == "audit":
         rows = audit.audit_exports(graph_json.read_graphs(spark, args.exports)).collect()
         for r in rows:

@@ -134,8 +134,9 @@ def error_kind(error: Exception) -> str:
 
 
 def clean_chunk_text(text: Column) -> Column:
-    """Without leading list marks, quotes and labels of excerpts."""
-    return F.trim(F.regexp_replace(text, r"^(?:[\s>*\-•]|(?i:excerpt:|chunk:))+", ""))
+    """White space folded, trade marks and what trails off at the end removed."""
+    folded = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.regexp_replace(F.regexp_replace(folded, "[\u00ae\u3222]", ""), "(?:\\s|\\.{3,}|\\?{2,}|[\u2026\ufffd])+$", "")
 
 
 def companies_in(rows: DataFrame, key: str = "company") -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrygraph import cli, plugins
-from quarrygraph.operators import audit, embeddings, loader, payload, questions
+from quarrygraph.operators import audit, embeddings, graph_queries, loader, payload, questions, rendering
 from quarrygraph.sources import graph_json, markup
 from quarrygraph.streaming import incremental
 
@@ -203,3 +203,33 @@ def test_stream_upsert(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         incremental.stream_upsert(spark.readStream.schema(schema).parquet(src), out, cp, "id", "seq").awaitTermination()
     assert {tuple(r) for r in incremental.latest(spark, out).select("id", "name", "seq").collect()} == {("a", "z", 2), ("b", "y", 1)}
+
+
+def test_sync(spark, tmp_path):
+    src, out = tmp_path / "md", str(tmp_path / "exports")
+    src.mkdir()
+    text = "## Prepared Remarks\n\nJane Roe, CEO: AI demand lifts revenue despite margin pressure.\n"
+    (src / "a.md").write_text(text)
+    (src / "b.md").write_text(text)
+    (tmp_path / "m.json").write_text(json.dumps({"documents": [{"filename": f"{n}.md", "company": f"Firm {n}", "quarter": "FY2026 Q1", "ticker": n.upper(), "source_type": "transcript_pdf"} for n in "ab"]}))
+    manifest = markup.read_manifest(spark, str(tmp_path / "m.json"))
+    assert cli.sync(spark, str(src), manifest, out, limit=1) == 1
+    assert cli.sync(spark, str(src), manifest, out) == 1
+    assert cli.sync(spark, str(src), manifest, out) == 0
+    cli.load_graph(spark, cli._exports(spark, out), str(tmp_path / "graph"))
+    g = cli.open_graph(spark, str(tmp_path / "graph"))
+    got = {(r["source"], r["relation"], r["target"], r["company"]) for r in graph_queries.read_relations(g).collect()}
+    assert {("AI demand", "AFFECTS", "revenue", "Firm a"), ("margin pressure", "PRESSURES", "revenue", "Firm b"), ("Firm a", "DISCUSSES", "AI demand", "Firm a")} <= got
+    answer = rendering.tool_answer(graph_queries.category_signals(g, ["ai demand"], ["revenue"]), "ai_positive_demand_by_company")
+    assert "Firm a" in answer and "Firm b" in answer and "AI demand" in answer
+    assert "AI demand" in rendering.entities_answer(graph_queries.frequent_entities(g))
+    (src / "c.md").write_text(text)
+    with pytest.raises(Exception, match="manifest"):
+        cli.sync(spark, str(src), manifest, out)
+
+
+def test_markdown_clean_up(spark):
+    assert rendering.without_sections("# A\nx\n## Caveats\ny\n# B\nz") == "# A\nx\n# B\nz"
+    assert rendering.without_columns("| A | **Signal** |\n| --- | --- |\n| 1 | 2 |\ntext") == "| A |\n| --- |\n| 1 |\ntext"
+    df = spark.createDataFrame([(" a\n b®...  ?? …",), (None,)], "t string")
+    assert [r["c"] for r in df.select(questions.clean_chunk_text(F.col("t")).alias("c")).collect()] == ["a b", ""]
