@@ -80,7 +80,10 @@ class Field:
     combine: np.ndarray | None = None
 
     def emission(self, features: np.ndarray) -> np.ndarray:
-        return self.emit[features].sum(axis=1) + self.bias
+        out = np.full(len(features), self.bias)
+        for k in range(FEATURES):  # column by column: no array of words x features
+            out += self.emit[features[:, k]]
+        return out
 
 
 def marginals(field: Field, emission: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -134,7 +137,7 @@ def fit(features: list[np.ndarray], y: list[np.ndarray], rounds: int = 60) -> Fi
         p11 = _pair(prior, odds, q1, q0)
         expect = np.array([[(1 - prior - post + p11).sum(), (post - p11).sum()], [(prior - p11).sum(), p11.sum()]])
         d = lab - p
-        grad = {"emit": np.bincount(f.ravel(), np.repeat(d, FEATURES), DIMS), "bias": d.sum(), "step": seen - expect, "start": d[begins].sum()}
+        grad = {"emit": sum(np.bincount(f[:, k], d, DIMS) for k in range(FEATURES)), "bias": d.sum(), "step": seen - expect, "start": d[begins].sum()}
         for k, g in grad.items():
             sums[k] = sums[k] + g * g
             setattr(field, k, getattr(field, k) + 0.3 * g / np.sqrt(sums[k]) - (1e-4 * field.emit if k == "emit" else 0))
@@ -200,8 +203,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["label", "x", "k"])
 
     got = sorted(rows.mapInArrow(cut, "label int, x binary, k bigint").collect(), key=lambda r: (r["k"], r["x"]))
-    features = [np.frombuffer(r["x"], "<i4").reshape(-1, FEATURES).astype(np.int64) for r in got]
+    features = [np.frombuffer(r["x"], "<i4").reshape(-1, FEATURES) for r in got]
     toxic = np.array([r["label"] for r in got])
+    del got
     if not (0 < toxic.sum() < len(toxic)):
         return None, prior
     y = token_labels(features, toxic)
