@@ -42,7 +42,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, words before each text, hashed features by word): word, prefixes of 4 to 8 bytes, last 3 bytes.
 
-    Words are told apart by their first 16 bytes and their length; A-Z are lower.
+    Words are told apart by their first 16 bytes and their length; the capitals of Latin-1 are lower.
     """
     starts = word_starts(data, offsets)
     word = WORD_BYTE[data]
@@ -53,6 +53,9 @@ def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     ends = np.flatnonzero(last) + 1
     buf = np.zeros(len(data) + 24, np.uint8)
     buf[3 : 3 + len(data)] = LOWER_BYTE[data]
+    # the capitals of Latin-1 in UTF-8, too: C3 80 to C3 9E without the multiplication sign
+    capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    buf[3 + capital] += 0x20
     eight = np.ndarray((len(data) + 16,), "<u8", buf, strides=(1,))
     size = (ends - starts).astype(np.uint64)
 
