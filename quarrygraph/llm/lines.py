@@ -26,18 +26,21 @@ STRETCHES = 4
 OPEN_TOKENS = 10
 
 
-def masked_tokens(line: Column) -> Column:
-    """White-space tokens; a token with an ASCII digit is <*>."""
-    masked = F.regexp_replace(F.trim(F.regexp_replace(line, r"\s+", " ")), r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>")
-    return F.when(masked == "", F.array().cast("array<string>")).otherwise(F.split(masked, " ", -1))
+def masked(line: Column) -> Column:
+    """The line with each white-space token that has an ASCII digit as <*>."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>")).otherwise(line)
 
 
-def template_keys(tokens: Column, min_tokens: int = MIN_TOKENS) -> Column:
+def tokens(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(r"\S+"), F.lit(0))
+
+
+def template_keys(toks: Column, min_tokens: int = MIN_TOKENS) -> Column:
     """64-bit names of the line's templates; none for lines under ``min_tokens``."""
-    n = F.size(tokens)
+    n = F.size(toks)
     cut = [(F.lit(DEPTH) + F.floor((n - DEPTH) * j / STRETCHES)).cast("int") for j in range(STRETCHES + 1)]
-    open_at = [F.xxhash64(F.lit(j), n, F.slice(tokens, F.lit(1), cut[j]), F.slice(tokens, cut[j + 1] + 1, n)) for j in range(STRETCHES)]
-    return F.when(n >= OPEN_TOKENS, F.array(*open_at)).when(n >= min_tokens, F.array(F.xxhash64(F.lit(-1), n, tokens))).otherwise(F.array().cast("array<bigint>"))
+    open_at = [F.xxhash64(F.lit(j), n, F.slice(toks, F.lit(1), cut[j]), F.slice(toks, cut[j + 1] + 1, n)) for j in range(STRETCHES)]
+    return F.when(n >= OPEN_TOKENS, F.array(*open_at)).when(n >= min_tokens, F.array(F.xxhash64(F.lit(-1), n, toks))).otherwise(F.array().cast("array<bigint>"))
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -46,7 +49,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null ids count as documents but keep nothing; of rows with one id each counts.
     """
     base = docs.select(F.col(id_col).alias("_qg_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_qg_text"))
-    keys = F.transform(F.split("_qg_text", "\n", -1), lambda line: template_keys(masked_tokens(line), min_tokens))
+    # one step a lambda: within a lambda, Spark evaluates an expression as often as it is named
+    keys = F.transform(F.transform(F.transform(F.split("_qg_text", "\n", -1), masked), tokens), lambda t: template_keys(t, min_tokens))
     lined = checkpoint(base.select("_qg_id", F.xxhash64("_qg_text").alias("_qg_th"), keys.alias("keys")))
     once = lined.select("_qg_id", F.explode(F.array_distinct(F.flatten("keys"))).alias("key"))
     recurring = once.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("_qg_id").alias("keeper")).filter(F.col("df") >= min_docs).select("key", "keeper")
