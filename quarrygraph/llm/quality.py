@@ -44,10 +44,13 @@ class Network:
 
 
 def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts, each in an even number of blocks with at least WIDTH zero bytes after it; pairs of blocks of each."""
+    """The texts, each in an even number of blocks with at least WIDTH zero bytes after it, and pairs of blocks of each.
+
+    A pair of empty blocks follows each text, so that no filter sees two texts.
+    """
     size = np.diff(offsets)
     pairs = -(-(size + WIDTH) // (2 * BLOCK))
-    start = np.concatenate([[0], np.cumsum(pairs)]) * 2 * BLOCK
+    start = np.concatenate([[0], np.cumsum(pairs + 1)]) * 2 * BLOCK
     out = np.zeros(start[-1] + WIDTH, np.uint8)
     out[np.arange(len(data)) + np.repeat(start[:-1] - offsets[:-1], size)] = data
     return out, pairs
@@ -58,7 +61,9 @@ def document_features(net: Network, data: np.ndarray, offsets: np.ndarray) -> np
     buf, pairs = padded(data, offsets)
     step = 2 * BLOCK * 1024
     pooled = np.concatenate([net.responses(buf[i : min(i + step, len(buf) - WIDTH) + WIDTH]) for i in range(0, len(buf) - WIDTH, step)])
-    pair = np.maximum(pooled[::2], pooled[1::2])
+    own = np.ones(len(pooled) // 2, bool)
+    own[np.cumsum(pairs + 1) - 1] = False
+    pair = np.maximum(pooled[::2], pooled[1::2])[own]
     first = np.concatenate([[0], np.cumsum(pairs)])[:-1]
     chunk = np.maximum(pair, np.concatenate([pair[1:], pair[-1:]]))
     last = first + pairs - 1
@@ -122,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     got = sorted(rows.mapInArrow(cut, "label int, x binary, k bigint").collect(), key=lambda r: (r["k"], r["x"]))
     y = np.array([r["label"] for r in got], np.float32)
-    net = fit(np.frombuffer(b"".join(r["x"] for r in got), np.uint8).reshape(len(got), -1), y)
+    net = fit(np.frombuffer(b"".join(r["x"] for r in got), np.uint8).reshape(len(got), CHUNK * BLOCK + WIDTH), y)
     if len(set(y.tolist())) < 2:
         return net, prior
 
