@@ -3,14 +3,14 @@
 Prefix doubling sorts all positions by their first 1, 2, 4, ... bytes, dropping
 those that are unique.  Here the names of the first MIN_LENGTH bytes are doubled
 in the same way, but Spark ranks a sample of positions only, chosen so that
-nothing is lost: of each MIN_LENGTH bytes the least 64-byte name is an anchor, so
+nothing is lost: of each MIN_LENGTH bytes the least 128-byte name is an anchor, so
 equal strings have equal anchors at equal offsets.
 
-1. Anchors (a 190th of all positions) are ranked by their 64-byte names; a name
+1. Anchors (less than a hundredth of all positions) are ranked by their 128-byte names; a name
    that stands once in the corpus is unique and goes.
 2. Each anchor that is left brings the bytes around it, at most
-   2 * MIN_LENGTH - 64.  Within a name, the windows of MIN_LENGTH bytes at each
-   offset from the anchor are named by doubling (64, 128, 256, ... bytes), and
+   2 * MIN_LENGTH - 128.  Within a name, the windows of MIN_LENGTH bytes at each
+   offset from the anchor are named by doubling (128, 256, ... bytes), and
    names that stand twice mark repeated windows.
 3. All windows of an anchor contain it, so the first and the last repeated one
    bound one removed run.  Runs are merged per text.
@@ -30,11 +30,12 @@ from pyspark.sql import functions as F
 from .common import checkpoint, table
 
 MIN_LENGTH = 400
-GRAM = 64
+GRAM = 128
 #: Anchors of one name that are compared in memory; a name with more is ranked by Spark, window by window.
 CROWDED = 512
 #: Bits of the filter of repeated names, at most; a fuller filter costs time, not rows.
 FILTER_BITS = 1 << 29
+PARTS = 8
 _PERIOD = 32
 
 
@@ -102,7 +103,7 @@ def _texts(batch: pa.RecordBatch, seen: set, length: int) -> Iterator[tuple[int,
 
 
 def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
-    """(a, th1, th2, n): how often each anchor's name stands in each text."""
+    """(a, th, n): how often each anchor's name stands in each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -110,12 +111,12 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
             out = []
             for a, b, data in _texts(batch, seen, length):
                 name, count = np.unique(anchors(data, length)[0], return_counts=True)
-                out.append((name.view(np.int64), np.full(len(name), a), np.full(len(name), b), count))
+                out.append((name.view(np.int64), np.full(len(name), a ^ b), count))
             if out:
                 cols = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "th1", "th2", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "th", "n"])
 
-    return rows.mapInArrow(run, "a bigint, th1 bigint, th2 bigint, n bigint")
+    return rows.mapInArrow(run, "a bigint, th bigint, n bigint")
 
 
 def _filter(found: DataFrame, bits: int) -> np.ndarray:
@@ -164,7 +165,7 @@ def _contexts(rows: DataFrame, repeated, crowded, bits: int, length: int) -> Dat
     return rows.mapInArrow(run, "a bigint, hot boolean, th1 bigint, th2 bigint, left int, around binary, at array<int>")
 
 
-def _windows(left: np.ndarray, around: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(left: np.ndarray, around: pa.Array, length: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, offset from the leftmost possible, name) of each window of the rows' bytes."""
     size = np.array([len(x) for x in around.to_pylist()], np.int64) if len(around) else np.zeros(0, np.int64)
     data = np.frombuffer(b"".join(around.to_pylist()), np.uint8)
@@ -173,7 +174,7 @@ def _windows(left: np.ndarray, around: pa.Array, length: int) -> tuple[np.ndarra
     row = np.repeat(np.arange(len(size)), n)
     within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     begin = np.cumsum(size) - size
-    return row, within + (length - GRAM - left[row]), name[begin[row] + within]
+    return row, within + (reach - left[row]), name[begin[row] + within]
 
 
 def _spans(th1: list, th2: list, at: list[list[int]], first: np.ndarray, last: np.ndarray, length: int) -> pa.RecordBatch:
@@ -190,7 +191,7 @@ def _compared(rows: DataFrame, length: int) -> DataFrame:
     def marked(t: pa.Table) -> pa.RecordBatch:
         name = t.column("a").to_numpy()
         run = np.cumsum(np.concatenate([[0], name[1:] != name[:-1]]))
-        row, offset, w = _windows(t.column("left").to_numpy(), t.column("around").combine_chunks(), length)
+        row, offset, w = _windows(t.column("left").to_numpy(), t.column("around").combine_chunks(), length, length - GRAM)
         key = (w ^ (run[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93) + offset.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
         order = np.argsort(key, kind="stable")
         x, y = order[:-1], order[1:]
@@ -224,31 +225,53 @@ def _compared(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _ranked(rows: DataFrame, length: int) -> DataFrame:
-    """The same from names with many anchors: a row for each window, and Spark finds the equal ones."""
+    """The same from names with many anchors, ranked by Spark at growing lengths, so that no name is gathered.
+
+    Equal surroundings are one kind, which is repeated as a whole.  The windows of a
+    kind fall into PARTS stretches; those of a stretch share all but a PARTS-th of
+    the bytes around the gram, and a stretch whose shared bytes are unique goes.
+    What is left becomes a row for each window.
+    """
+    reach = length - GRAM
+    kind = ["a", "left", "k1", "k2"]
+    rows = rows.select("a", "th1", "th2", "left", "at", "around", F.xxhash64("around").alias("k1"), F.xxhash64(F.lit(1), "around").alias("k2"), F.when(F.size("at") > 1, 2).otherwise(1).alias("n"))
+    kinds = checkpoint(rows.groupBy(*kind).agg(F.sum("n").alias("n"), F.first("around").alias("around")))
+    light = rows.select("th1", "th2", "at", *kind)
+    spare = F.lit(reach) - F.col("left")
+    whole = kinds.filter((F.col("n") > 1) & (F.octet_length("around") >= length)).select(*kind, spare.alias("first"), (spare + F.octet_length("around") - length).alias("last"))
+
+    cuts = [round(j * (reach + 1) / PARTS) for j in range(PARTS + 1)]
+    parts = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi - 1).alias("hi")) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)])
+    nodes = kinds.select(*kind, "n", "around", F.inline(parts)).withColumns({"from": F.col("hi") - spare, "to": F.col("lo") - spare + length})
+    nodes = nodes.filter((F.col("from") >= 0) & (F.col("to") <= F.octet_length("around"))).withColumn("core", F.xxhash64(F.expr("substring(around, from + 1, to - from)")))
+    alive = nodes.groupBy("a", "lo", "core").agg(F.sum("n").alias("c")).filter("c > 1").select("a", "lo", "core")
+    nodes = nodes.join(alive, ["a", "lo", "core"])
+    # the bytes of a stretch's windows, and where its first window starts
+    begin = F.greatest(F.col("lo") - spare, F.lit(0))
+    nodes = nodes.withColumns({"begin": begin, "size": F.col("hi") - spare + length - begin})
+    nodes = nodes.select(*kind, F.col("n").cast("int").alias("n"), (F.col("begin") + spare).alias("lo"), F.expr("substring(around, begin + 1, size)").alias("bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                t = batch.slice(i, 512)
-                row, offset, w = _windows(t.column(3).to_numpy(), t.column(4), length)
-                first = pa.array([q[0] for q in t.column(5).to_pylist()], pa.int32())
-                many = np.array([1 + (len(q) > 1) for q in t.column(5).to_pylist()], np.int32)
+            for i in range(0, len(batch), 2048):
+                t = batch.slice(i, 2048)
+                row, within, w = _windows(np.zeros(len(t), np.int64), t.column(6), length, 0)
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([t.column(0).take(take), pa.array(offset.astype(np.int32)), pa.array(w.view(np.int64)), t.column(1).take(take), t.column(2).take(take), first.take(take), pa.array(many[row])], ["a", "s", "w", "th1", "th2", "p", "many"])
+                offset = t.column(5).to_numpy()[row] + within
+                yield pa.RecordBatch.from_arrays([t.column(c).take(take) for c in range(5)] + [pa.array(offset.astype(np.int32)), pa.array(w.view(np.int64))], [*kind, "n", "o", "w"])
 
-    windows = rows.select("a", "th1", "th2", "left", "around", "at").mapInArrow(run, "a bigint, s int, w bigint, th1 bigint, th2 bigint, p int, many int")
-    twice = windows.groupBy("a", "s", "w").agg(F.sum("many").alias("n")).filter("n > 1").select("a", "s", "w")
-    found = windows.join(twice, ["a", "s", "w"]).groupBy("a", "th1", "th2", "p").agg(F.min("s").alias("first"), F.max("s").alias("last"))
-    places = rows.select("a", "th1", "th2", F.get("at", F.lit(0)).alias("p"), "at").join(found, ["a", "th1", "th2", "p"])
-    places = places.select("th1", "th2", "first", "last", F.explode("at").alias("q"))
-    return places.select("th1", "th2", (F.col("q") - (length - GRAM) + F.col("first")).alias("a"), (F.col("q") - (length - GRAM) + F.col("last") + length).alias("b"))
+    windows = nodes.mapInArrow(run, "a bigint, left int, k1 bigint, k2 bigint, n int, o int, w bigint")
+    twice = windows.groupBy("a", "o", "w").agg(F.sum("n").alias("c")).filter("c > 1").select("a", "o", "w")
+    found = windows.filter("n = 1").join(twice, ["a", "o", "w"]).groupBy(*kind).agg(F.min("o").alias("first"), F.max("o").alias("last"))
+    places = light.join(whole.unionByName(found), kind).select("th1", "th2", "first", "last", F.explode("at").alias("q"))
+    return places.select("th1", "th2", (F.col("q") - reach + F.col("first")).alias("a"), (F.col("q") - reach + F.col("last") + length).alias("b"))
 
 
 def repeated_spans(texts: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
     """(th1, th2, spans): merged removed runs [a, b) of the texts that have any; ``texts``: th1, th2, text (binary)."""
     spark = texts.sparkSession
-    kinds = _anchor_rows(texts, length).groupBy("a").agg(*[f(c).alias(f"{n}_{c}") for c in ("th1", "th2") for n, f in (("lo", F.min), ("hi", F.max))], F.sum("n").alias("n"), F.max("n").alias("own"))
-    kinds = checkpoint(kinds.filter("lo_th1 <> hi_th1 or lo_th2 <> hi_th2 or own > 1").select("a", (F.col("n") > CROWDED).alias("hot")))
+    kinds = _anchor_rows(texts, length).groupBy("a").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.sum("n").alias("n"), F.max("n").alias("own"))
+    kinds = checkpoint(kinds.filter("lo <> hi or own > 1").select("a", (F.col("n") > CROWDED).alias("hot")))
     count = kinds.count()
     bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * count).bit_length()))
     repeated = spark.sparkContext.broadcast(_filter(kinds, bits))
