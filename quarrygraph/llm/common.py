@@ -11,6 +11,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: A word of the contracts: ASCII letters and digits, and everything above ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z are lowered.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +33,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only, whatever the locale."""
-    return F.translate(text, UPPER, LOWER)
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def words(text: Column) -> Column:

@@ -7,19 +7,21 @@ No text crosses the network: only hits do, combined per document.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD, checkpoint, maybe_broadcast, table, words
+from .common import ANY_WORD, WORD, ascii_lower, checkpoint, maybe_broadcast, table, words
 
 #: Distinct benchmark windows (about 150 bytes each) that may be broadcast; above it the join shuffles.
 BROADCAST_WINDOWS = 500_000
 WINDOW = 10
 
 
-def _windows(tokens: Column, n: int) -> Column:
-    """The word windows of ``n`` tokens, or none."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.slice(tokens, i, n))).otherwise(F.array().cast("array<array<string>>"))
+def _over_windows(tokens: Column, n: int, kind: str, of: Callable[[Column], Column]) -> Column:
+    """``of`` each window of ``n`` tokens, or none."""
+    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: of(F.slice(tokens, i, n)))).otherwise(F.array().cast(kind))
 
 
 def benchmark_windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -28,7 +30,7 @@ def benchmark_windows(bench: DataFrame, id_col: str = "item_id", text_col: str =
     An item of fewer words than ``window``, but not none, is one window.
     """
     b = bench.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).filter("size(w) > 0")
-    wins = F.when(F.size("w") < window, F.array(F.col("w"))).otherwise(_windows(F.col("w"), window))
+    wins = F.when(F.size("w") < window, F.array(F.col("w"))).otherwise(_over_windows(F.col("w"), window, "array<array<string>>", lambda win: win))
     b = b.select("item", F.explode(wins).alias("win"))
     return b.groupBy("win").agg(F.collect_set("item").alias("items")).select(F.xxhash64("win").alias("h"), F.size("win").alias("n"), "win", "items")
 
@@ -44,11 +46,11 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     wins = maybe_broadcast(wins.select("h", "win", "items"), wins.count(), BROADCAST_WINDOWS)
     base = docs.select(F.col(id_col).alias("_qg_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_qg_text"))
     keyed = base.select("_qg_id", F.xxhash64("_qg_text").alias("_qg_th"), F.char_length("_qg_text").alias("_qg_n"), "_qg_text")
-    light = keyed.select("_qg_id", "_qg_th", "_qg_n", F.regexp_count(F.translate("_qg_text", UPPER, LOWER), F.lit(WORD)).cast("long").alias("n_words"))
+    light = keyed.select("_qg_id", "_qg_th", "_qg_n", F.regexp_count("_qg_text", F.lit(ANY_WORD)).cast("long").alias("n_words"))
     tokens = keyed.select("_qg_id", "_qg_th", "_qg_n", words(F.col("_qg_text")).alias("w"))
     found = None
     for n in sorted(lengths):
-        hashes = F.transform(_windows(F.col("w"), n), lambda win: F.xxhash64(win))
+        hashes = _over_windows(F.col("w"), n, "array<bigint>", F.xxhash64)
         one = tokens.select("_qg_id", "_qg_th", "_qg_n", "w", F.posexplode(hashes).alias("pos", "h"))
         one = one.join(wins, (one["h"] == wins["h"]) & (F.slice("w", one["pos"] + 1, n) == wins["win"])).select("_qg_id", "_qg_th", "_qg_n", F.struct(F.col("pos").alias("a"), (F.col("pos") + n).alias("b")).alias("span"), "items")
         found = one if found is None else found.unionByName(one)
@@ -84,15 +86,15 @@ def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents",
     if remove == "documents":
         return docs.join(bad, same, "left_anti")
     # words and the gaps around them: gap 0, word 0, gap 1, word 1, ..., last gap
-    lowered = F.translate(text, UPPER, LOWER)
+    lowered = ascii_lower(text)
     gaps = F.split(lowered, WORD, -1)
 
     def cut(acc: Column, s: Column) -> Column:
         """acc.at: characters that are passed; acc.words: words that are passed; acc.out: kept text."""
-        start, end = _offset(gaps, "_qg_ends", s["a"]), F.get(F.col("_qg_ends"), s["b"] - 1)
+        start, end = _offset(F.col("_qg_gaps"), "_qg_ends", s["a"]), F.get(F.col("_qg_ends"), s["b"] - 1)
         return F.struct(end.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"])).alias("out"))
 
-    joined = docs.join(bad, same, "left")
+    joined = docs.join(bad, same, "left").withColumn("_qg_gaps", F.when(F.col("_qg_spans").isNotNull(), gaps))
     lengths = F.transform(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), lambda w: F.char_length(w))
     ends = F.aggregate(
         F.zip_with(F.slice(gaps, F.lit(1), F.size(lengths)), lengths, lambda g, n: F.char_length(g) + n),
