@@ -31,8 +31,8 @@ from .common import checkpoint, table
 
 MIN_LENGTH = 400
 GRAM = 128
-#: Anchors of one name that are compared in memory; a name with more is ranked by Spark, window by window.
-CROWDED = 512
+#: Anchors of one name that are compared in memory (under 3 MB of text); a name with more is ranked by Spark.
+CROWDED = 4096
 #: Bits of the filter of repeated names, at most; a fuller filter costs time, not rows.
 FILTER_BITS = 1 << 29
 PARTS = 8
@@ -129,8 +129,8 @@ def _filter(found: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _contexts(rows: DataFrame, repeated, crowded, bits: int, length: int) -> DataFrame:
-    """(a, hot, th1, th2, left, around, at): bytes around each anchor that may be repeated.
+def _contexts(rows: DataFrame, repeated, crowded, hot: bool, bits: int, length: int) -> DataFrame:
+    """(a, th1, th2, left, around, at): bytes around each anchor that may be repeated, of crowded names or of the others.
 
     Anchors of one text with equal surroundings are one row; ``at`` has all their
     positions.
@@ -144,25 +144,25 @@ def _contexts(rows: DataFrame, repeated, crowded, bits: int, length: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            out: dict = {k: [] for k in ("a", "hot", "th1", "th2", "left", "around", "at")}
+            out: dict = {k: [] for k in ("a", "th1", "th2", "left", "around", "at")}
             for th1, th2, data in _texts(batch, seen, length):
                 name, p = anchors(data, length)
                 ok = hits(repeated.value, name)
+                ok[ok] = hits(crowded.value, name[ok]) == hot
                 if not ok.any():
                     continue
-                name, p = name[ok], p[ok]
-                hot, rows = hits(crowded.value, name), {}
+                name, p, rows = name[ok], p[ok], {}
                 whole = data.tobytes()
-                for a, q, c in zip(name.view(np.int64).tolist(), p.tolist(), hot.tolist(), strict=True):
+                for a, q in zip(name.view(np.int64).tolist(), p.tolist(), strict=True):
                     left = min(q, reach)
-                    rows.setdefault((a, left, whole[q - left : q + length]), (c, []))[1].append(q)
-                for (a, left, around), (c, at) in rows.items():
-                    for k, v in zip(out, (a, c, th1, th2, left, around, at), strict=True):
+                    rows.setdefault((a, left, whole[q - left : q + length]), []).append(q)
+                for (a, left, around), at in rows.items():
+                    for k, v in zip(out, (a, th1, th2, left, around, at), strict=True):
                         out[k].append(v)
-            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
 
-    return rows.mapInArrow(run, "a bigint, hot boolean, th1 bigint, th2 bigint, left int, around binary, at array<int>")
+    return rows.mapInArrow(run, "a bigint, th1 bigint, th2 bigint, left int, around binary, at array<int>")
 
 
 def _windows(left: np.ndarray, around: pa.Array, length: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,8 +276,9 @@ def repeated_spans(texts: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
     bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * count).bit_length()))
     repeated = spark.sparkContext.broadcast(_filter(kinds, bits))
     crowded = spark.sparkContext.broadcast(_filter(kinds.filter("hot"), bits))
-    around = checkpoint(_contexts(texts, repeated, crowded, bits, length))
-    runs = _compared(around.filter("not hot"), length).unionByName(_ranked(around.filter("hot"), length))
+    runs = _compared(_contexts(texts, repeated, crowded, False, bits, length), length)
+    if not kinds.filter("hot").isEmpty():
+        runs = runs.unionByName(_ranked(checkpoint(_contexts(texts, repeated, crowded, True, bits, length)), length))
     span = F.struct("a", "b")
 
     def merge(acc, s):
