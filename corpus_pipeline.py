@@ -30,8 +30,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template recurs across documents stay in one document only; every row stays."""
-    return _recounted(dedup_lines(docs))
+    """Lines that recur across documents, verbatim in two or by a template in more, stay in one only; every row stays."""
+    return _recounted(dedup_lines(docs, verbatim_docs=2))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ tokens; below that leaf, one of four stretches of the remaining tokens may be
 variable too.  So a line has four templates, one for each stretch left open (one
 template, all fixed, if it is short).  A template that recurs across documents
 keeps its lines in the document with the least id and drops them elsewhere.
+
+Where ``verbatim_docs`` is given, lines of ``min_tokens`` tokens also have a verbatim
+template, which needs that many documents only.
 """
 
 from __future__ import annotations
@@ -43,7 +46,13 @@ def template_keys(toks: Column, min_tokens: int = MIN_TOKENS) -> Column:
     return F.when(n >= OPEN_TOKENS, F.array(*open_at)).when(n >= min_tokens, F.array(F.xxhash64(F.lit(-1), n, toks))).otherwise(F.array().cast("array<bigint>"))
 
 
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def verbatim_key(line: Column, min_tokens: int = MIN_TOKENS) -> Column:
+    """The name of a trimmed line as it stands, an odd number; none for lines under ``min_tokens``."""
+    long = line.rlike(rf"(?:\S+\s+){{{min_tokens - 1}}}\S")
+    return F.when(long, F.array(F.xxhash64(F.lit(-2), line).bitwiseOR(F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, verbatim_docs: int | None = None) -> DataFrame:
     """(_qg_id, _qg_th, _qg_drop): for texts that lose lines, the sorted positions (from 0) of those.
 
     Null ids count as documents but keep nothing; of rows with one id each counts.
@@ -51,16 +60,21 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).alias("_qg_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_qg_text"))
     # one step a lambda: within a lambda, Spark evaluates an expression as often as it is named
     keys = F.transform(F.transform(F.transform(F.split("_qg_text", "\n", -1), masked), tokens), lambda t: template_keys(t, min_tokens))
+    least: Column = F.lit(min_docs)
+    if verbatim_docs is not None:
+        verbatim = F.transform(F.transform(F.split("_qg_text", "\n", -1), lambda s: F.btrim(s, F.lit(" \t\x0b\f\r"))), lambda s: verbatim_key(s, min_tokens))
+        keys = F.zip_with(F.transform(keys, lambda k: F.transform(k, lambda x: x.bitwiseAND(F.lit(-2)))), verbatim, lambda a, b: F.concat(a, b))
+        least = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, F.lit(verbatim_docs)).otherwise(least)
     lined = checkpoint(base.select("_qg_id", F.xxhash64("_qg_text").alias("_qg_th"), keys.alias("keys")))
     once = lined.select("_qg_id", F.explode(F.array_distinct(F.flatten("keys"))).alias("key"))
-    recurring = once.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("_qg_id").alias("keeper")).filter(F.col("df") >= min_docs).select("key", "keeper")
+    recurring = once.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("_qg_id").alias("keeper")).filter(F.col("df") >= least).select("key", "keeper")
     lines = lined.select("_qg_id", "_qg_th", F.posexplode("keys").alias("pos", "line")).select("_qg_id", "_qg_th", "pos", F.explode("line").alias("key"))
     gone = lines.join(recurring, "key").filter(F.col("keeper").isNull() | F.col("_qg_id").isNull() | (F.col("keeper") < F.col("_qg_id")))
     return gone.groupBy("_qg_id", "_qg_th").agg(F.array_sort(F.collect_set("pos")).alias("_qg_drop"))
 
 
-def _with_drops(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_tokens: int) -> DataFrame:
-    drops = recurring_lines(docs, id_col, text_col, min_docs, min_tokens)
+def _with_drops(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_tokens: int, verbatim_docs: int | None = None) -> DataFrame:
+    drops = recurring_lines(docs, id_col, text_col, min_docs, min_tokens, verbatim_docs)
     drops = drops.withColumnsRenamed({"_qg_id": "_qg_did", "_qg_th": "_qg_dth"})
     same = F.col(id_col).eqNullSafe(F.col("_qg_did")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_qg_dth"))
     return docs.join(drops, same, "left")
@@ -71,14 +85,14 @@ def _kept(text_col: str) -> Column:
     return F.when(F.col("_qg_drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_qg_drop", i)), "\n"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, verbatim_docs: int | None = None) -> DataFrame:
     """``docs`` without the lines whose template recurs elsewhere; every row and column stays.
 
     Null texts stay null; a text that loses all of its lines becomes empty.
     Lines end at a newline only.  Texts without recurring lines are unchanged to
     the byte.
     """
-    return _with_drops(docs, id_col, text_col, min_docs, min_tokens).withColumn(text_col, _kept(text_col)).select(*docs.columns)
+    return _with_drops(docs, id_col, text_col, min_docs, min_tokens, verbatim_docs).withColumn(text_col, _kept(text_col)).select(*docs.columns)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
