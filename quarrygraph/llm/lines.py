@@ -7,8 +7,9 @@ variable too.  So a line has four templates, one for each stretch left open (one
 template, all fixed, if it is short).  A template that recurs across documents
 keeps its lines in the document with the least id and drops them elsewhere.
 
-Where ``verbatim_docs`` is given, lines of ``min_tokens`` tokens also have a verbatim
-template, which needs that many documents only.
+Where ``verbatim_docs`` is given, lines also have a verbatim template: those of
+``min_tokens`` tokens or LONG_BYTES bytes need that many documents only, shorter
+ones with a letter ``min_docs``; and all lines of ``min_tokens`` have a stretch open.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ DEPTH = 2
 #: Stretches of the rest; lines of fewer tokens than OPEN_TOKENS have none open.
 STRETCHES = 4
 OPEN_TOKENS = 10
+#: Bytes of a line that is long whatever its tokens, as in scripts without spaces.
+LONG_BYTES = 40
 
 
 def masked(line: Column) -> Column:
@@ -38,18 +41,19 @@ def tokens(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(r"\S+"), F.lit(0))
 
 
-def template_keys(toks: Column, min_tokens: int = MIN_TOKENS) -> Column:
+def template_keys(toks: Column, min_tokens: int = MIN_TOKENS, open_tokens: int = OPEN_TOKENS) -> Column:
     """64-bit names of the line's templates; none for lines under ``min_tokens``."""
     n = F.size(toks)
     cut = [(F.lit(DEPTH) + F.floor((n - DEPTH) * j / STRETCHES)).cast("int") for j in range(STRETCHES + 1)]
     open_at = [F.xxhash64(F.lit(j), n, F.slice(toks, F.lit(1), cut[j]), F.slice(toks, cut[j + 1] + 1, n)) for j in range(STRETCHES)]
-    return F.when(n >= OPEN_TOKENS, F.array(*open_at)).when(n >= min_tokens, F.array(F.xxhash64(F.lit(-1), n, toks))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= open_tokens, F.array(*open_at)).when(n >= min_tokens, F.array(F.xxhash64(F.lit(-1), n, toks))).otherwise(F.array().cast("array<bigint>"))
 
 
 def verbatim_key(line: Column, min_tokens: int = MIN_TOKENS) -> Column:
-    """The name of a trimmed line as it stands, an odd number; none for lines under ``min_tokens``."""
-    long = line.rlike(rf"(?:\S+\s+){{{min_tokens - 1}}}\S")
-    return F.when(long, F.array(F.xxhash64(F.lit(-2), line).bitwiseOR(F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
+    """The name of a trimmed line as it stands, odd if the line is long; none for short lines without a letter."""
+    name = F.xxhash64(F.lit(-2), line)
+    long = (F.octet_length(line) >= LONG_BYTES) | line.rlike(rf"(?:\S+\s+){{{min_tokens - 1}}}\S")
+    return F.when(long, F.array(name.bitwiseOR(F.lit(1)))).when(line.rlike(r"\p{L}"), F.array(name.bitwiseAND(F.lit(-2)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, verbatim_docs: int | None = None) -> DataFrame:
@@ -59,7 +63,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     base = docs.select(F.col(id_col).alias("_qg_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_qg_text"))
     # one step a lambda: within a lambda, Spark evaluates an expression as often as it is named
-    keys = F.transform(F.transform(F.transform(F.split("_qg_text", "\n", -1), masked), tokens), lambda t: template_keys(t, min_tokens))
+    keys = F.transform(F.transform(F.transform(F.split("_qg_text", "\n", -1), masked), tokens), lambda t: template_keys(t, min_tokens, OPEN_TOKENS if verbatim_docs is None else min_tokens))
     least: Column = F.lit(min_docs)
     if verbatim_docs is not None:
         verbatim = F.transform(F.transform(F.split("_qg_text", "\n", -1), lambda s: F.btrim(s, F.lit(" \t\x0b\f\r"))), lambda s: verbatim_key(s, min_tokens))

@@ -19,3 +19,14 @@ def test_lines_of_two_documents(spark):
     w = a.split()
     edited = [a, " ".join([*w[:20], "edited", *w[21:]])]  # an open stretch needs three documents
     assert deduped(spark, edited) == edited
+
+
+def test_short_and_unspaced_lines(spark):
+    rng = random.Random(2)
+    own = [prose(rng, 12) for _ in range(4)]
+    wide = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(30))
+    texts = [f"{own[k]}\nAll rights reserved.\nPosted by {name} on Monday\n---\n7." for k, name in enumerate(["Ann", "Bob", "Cy"])]
+    assert deduped(spark, texts) == [texts[0], *[f"{own[k]}\n---\n7." for k in (1, 2)]]
+    assert deduped(spark, [f"{wide}\n{own[0]}", f"{own[1]}\n{wide}"]) == [f"{wide}\n{own[0]}", own[1]]
+    two = ["Thank you.\n" + own[0], "Thank you.\n" + own[1]]  # short lines need three documents
+    assert deduped(spark, two) == two
