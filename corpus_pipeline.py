@@ -35,8 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return dedup_near(docs)
+    """One document of each group of near copies stays: SimHashes within op4's radius, or a Jaccard similarity of 0.8."""
+    return dedup_near(docs, jaccard=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

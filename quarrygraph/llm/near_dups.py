@@ -7,6 +7,10 @@ some mask; so only fingerprints that share a masked value are compared.  A
 crowded masked value is cut again by masks on its free bits, after which at most
 2^14 different fingerprints can share a key, whatever the input.  Links become
 components by alternating star contractions, all as joins.
+
+Where a least Jaccard similarity is given, texts are linked by their sets of
+five-word shingles too: MinHash bands propose candidates (a pair at 0.8 shares
+none of the bands with a chance of 7 in a million), whose exact similarity counts.
 """
 
 from __future__ import annotations
@@ -19,13 +23,38 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, maybe_broadcast, table
 
 SHINGLE = 3
 RADIUS = 3
 #: Fingerprints under one masked value before it is cut again.
 CROWDED = 1024
 BLOCK = 1 << 16
+#: Words of the shingles whose sets are compared; bands, and minima in each.
+SET_SHINGLE = 5
+BANDS, BAND_ROWS = 30, 5
+#: Candidates up to this number are broadcast.
+BROADCAST_TEXTS = 200_000
+_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(data: bytes, shingle: int = SET_SHINGLE) -> np.ndarray:
+    """The XXH64 of each distinct shingle, ascending; no words: empty."""
+    tokens = data.lower().split()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(tokens[i : i + shingle]), 42) for i in range(max(1, len(tokens) - shingle + 1) if tokens else 0)), np.uint64))
+
+
+def set_keys(hashes: np.ndarray) -> tuple[int, list[int]]:
+    """A name of the set and the keys of its bands, as signed longs; an empty set has no bands."""
+    if not len(hashes):
+        return 0, []
+    least = np.full(len(_FACTORS), (1 << 64) - 1, np.uint64)
+    for i in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[i : i + 4096, None] * _FACTORS).min(axis=0))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    digest = xxhash.xxh64_intdigest
+    return _signed(digest(hashes.tobytes(), 42)), [_signed(digest(r.tobytes(), v)) for v, r in enumerate(rows)]
 
 
 def simhash(data: bytes, shingle: int = SHINGLE) -> int:
@@ -48,17 +77,26 @@ def simhash(data: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(starts), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(_qg_id, _qg_th, fp): id, text hash and SimHash (as a signed long) of each row; null texts have no words."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, sets: bool = False) -> DataFrame:
+    """(_qg_id, _qg_th, fp): id, text hash and SimHash (as a signed long) of each row; null texts have no words.
+
+    With ``sets`` also node and keys: the name and the band keys of the shingle set.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("_qg_id"), F.xxhash64(text).alias("_qg_th"), text.cast("binary").alias("_qg_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([simhash(t.as_py(), shingle) for t in b.column(2)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["_qg_id", "_qg_th", "fp"])
+            cols, names = [b.column(0), b.column(1), pa.array(fp)], ["_qg_id", "_qg_th", "fp"]
+            if sets:
+                found = [set_keys(shingle_set(t.as_py())) for t in b.column(2)]
+                cols += [pa.array([n for n, _ in found], pa.int64()), pa.array([k for _, k in found], pa.list_(pa.int64()))]
+                names += ["node", "keys"]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    return rows.mapInArrow(run, f"_qg_id {df.schema[id_col].dataType.simpleString()}, _qg_th bigint, fp bigint")
+    schema = f"_qg_id {df.schema[id_col].dataType.simpleString()}, _qg_th bigint, fp bigint"
+    return rows.mapInArrow(run, schema + (", node bigint, keys array<bigint>" if sets else ""))
 
 
 def covering_masks(bits: list[int], radius: int) -> list[int]:
@@ -175,26 +213,106 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def _starred(rows: DataFrame) -> DataFrame:
+    """Links (a, b) from each node to the first node with the same key; ``rows``: key, node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the last key and its first node
+        for b in batches:
+            key, node = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            if last:
+                key, node = np.concatenate([[last[0]], key]), np.concatenate([[last[1]], node])
+            if not len(key):
+                continue
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            first = node[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            last = key[-1], first[-1]
+            ok = first != node
+            yield pa.RecordBatch.from_arrays([pa.array(node[ok]), pa.array(first[ok])], ["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def similar(sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
+    """Pairs that join up all sets whose Jaccard similarity is ``least`` or more: a star for each component."""
+    sizes = np.array([len(s) for s in sets])
+    _, names = np.unique(np.concatenate(sets), return_inverse=True)
+    parts = np.split(names, np.cumsum(sizes)[:-1])
+    mark = np.zeros(int(names.max()) + 1, bool)
+    rest = list(range(len(sets)))
+    while len(rest) > 1:
+        seed, front = rest[0], rest[:1]
+        rest = rest[1:]
+        while front and rest:
+            one = front.pop()
+            mark[parts[one]] = True
+            n = sizes[rest]
+            shared = np.add.reduceat(mark[np.concatenate([parts[i] for i in rest])], np.concatenate([[0], np.cumsum(n)[:-1]]), dtype=np.int64)
+            mark[parts[one]] = False
+            near = shared >= least * (n + sizes[one] - shared)
+            front += [i for i, ok in zip(rest, near, strict=True) if ok]
+            yield from ((seed, i) for i, ok in zip(rest, near, strict=True) if ok)
+            rest = [i for i, ok in zip(rest, near, strict=True) if not ok]
+
+
+def similar_links(df: DataFrame, rows: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
+    """Links (a, b) of fingerprints whose texts' shingle sets have a Jaccard similarity of ``least`` or more.
+
+    ``rows`` are those of ``fingerprints`` with sets.  Candidates that bands join
+    up, each set once, meet in one task, where similarities are exact.
+    """
+    known = rows.filter(F.size("keys") > 0)
+    sets = checkpoint(known.groupBy("node").agg(F.min(F.struct("_qg_id", "_qg_th", "fp")).alias("one"), F.first("keys").alias("keys")))
+    equal = known.join(sets.select("node", F.col("one.fp").alias("b")), "node").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    roots = components(_starred(sets.select(F.explode("keys").alias("key"), "node")))
+    chosen = checkpoint(roots.join(sets, "node").select("root", F.col("one._qg_id").alias("_qg_id"), F.col("one._qg_th").alias("_qg_th"), F.col("one.fp").alias("fp")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = df.select(F.col(id_col).alias("_qg_did"), F.xxhash64(text).alias("_qg_dth"), text.cast("binary").alias("_qg_text"))
+    same = F.col("_qg_id").eqNullSafe(F.col("_qg_did")) & (F.col("_qg_th") == F.col("_qg_dth"))
+    texts = texts.join(maybe_broadcast(chosen, chosen.count(), BROADCAST_TEXTS), same).select("root", "fp", "_qg_text")
+
+    def verified(fps: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        found = [(fps[a], fps[b]) for a, b in similar(sets, least)] if len(fps) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, fps, sets = None, [], []
+        for b in batches:
+            for r, f, t in zip(*b.columns, strict=True):
+                if r.as_py() != root:
+                    yield verified(fps, sets)
+                    root, fps, sets = r.as_py(), [], []
+                fps.append(f.as_py())
+                sets.append(shingle_set(t.as_py()))
+        yield verified(fps, sets)
+
+    return equal.unionByName(texts.repartition("root").sortWithinPartitions("root").mapInArrow(run, "a bigint, b bigint"))
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, jaccard: float | None = None) -> DataFrame:
     """One row per input row: id, text_hash, fp (signed long), component_id, and the row that stands for the component.
 
     component_id is the least id among all rows reachable by links; null ids
     never name a component unless there is no other.  keeper_id and keeper_hash
     name one row of each component.  Texts without words share fingerprint 0.
+    Texts whose five-word shingles have at least the similarity ``jaccard`` are linked too.
     """
-    rows = checkpoint(fingerprints(df, id_col, text_col, shingle))
+    rows = checkpoint(fingerprints(df, id_col, text_col, shingle, jaccard is not None))
     first = F.min(F.struct(F.col("_qg_id").isNull().alias("none"), F.col("_qg_id").alias("id"), F.col("_qg_th").alias("th")))
     nodes = checkpoint(rows.groupBy("fp").agg(first.alias("first")))
-    roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    close = links(nodes.select("fp"), radius)
+    if jaccard is not None:
+        close = close.unionByName(similar_links(df, rows, id_col, text_col, jaccard))
+    roots = components(close).withColumnRenamed("node", "fp")
     nodes = checkpoint(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     named = nodes.groupBy("root").agg(F.min("first").alias("least"))
     named = nodes.select("fp", "root").join(named, "root").select("fp", "least")
     return rows.join(named, "fp").select(F.col("_qg_id").alias(id_col), F.col("_qg_th").alias("text_hash"), "fp", F.col("least.id").alias("component_id"), F.col("least.id").alias("keeper_id"), F.col("least.th").alias("keeper_hash"))
 
 
-def dedup_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def dedup_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, jaccard: float | None = None) -> DataFrame:
     """``df`` with one row of each component; the columns stay.  Rows repeated in full stay once."""
-    groups = near_groups(df, id_col, text_col, shingle, radius)
+    groups = near_groups(df, id_col, text_col, shingle, radius, jaccard)
     keep = checkpoint(groups.filter(F.col(id_col).eqNullSafe(F.col("keeper_id")) & (F.col("text_hash") == F.col("keeper_hash"))).groupBy(F.col(id_col).alias("_qg_id"), F.col("text_hash").alias("_qg_th")).count())
     same = F.col(id_col).eqNullSafe(F.col("_qg_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_qg_th"))
     out = df.join(keep, same, "left_semi")

@@ -4,6 +4,8 @@ import random
 
 import corpus_pipeline
 
+from quarrygraph.llm import near_dups
+
 from .helpers import DATA, docs, prose
 
 
@@ -30,3 +32,24 @@ def test_short_and_unspaced_lines(spark):
     assert deduped(spark, [f"{wide}\n{own[0]}", f"{own[1]}\n{wide}"]) == [f"{wide}\n{own[0]}", own[1]]
     two = ["Thank you.\n" + own[0], "Thank you.\n" + own[1]]  # short lines need three documents
     assert deduped(spark, two) == two
+
+
+def test_near_copies_by_jaccard(spark):
+    rng = random.Random(3)
+    texts, far = [], 0
+    for k in range(30):
+        w = prose(rng, 120).split()
+        v = list(w)
+        for i in rng.sample(range(4), 2 + k % 2):  # at most 15 of 116 shingles differ: 0.8 is about 12.9
+            v[10 + 30 * i] = "edited"
+        texts += [" ".join(w), " ".join(v)]
+        far += (near_dups.simhash(texts[-1].encode()) ^ near_dups.simhash(texts[-2].encode())).bit_count() > 3
+    assert far > 10
+    sets = [set(near_dups.shingle_set(t.encode()).tolist()) for t in texts]
+    alike = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert 0 < sum(alike) < 30
+    d = docs(spark, texts)
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.near_groups(d, radius=0, jaccard=0.8).collect()}
+    assert got == {i: i - (i % 2) * alike[i // 2] for i in range(60)}
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, d, DATA).collect()}
+    assert not kept & {2 * k + 1 for k, ok in enumerate(alike) if ok} and {2 * k for k in range(30)} <= kept
