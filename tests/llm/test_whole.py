@@ -1,10 +1,11 @@
 """The stages of the pipeline and the licence rules do the whole job."""
 
 import random
+import re
 
 import corpus_pipeline
 
-from quarrygraph.llm import near_dups
+from quarrygraph.llm import licenses, near_dups
 
 from .helpers import DATA, docs, prose
 
@@ -53,3 +54,55 @@ def test_near_copies_by_jaccard(spark):
     assert got == {i: i - (i % 2) * alike[i // 2] for i in range(60)}
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, d, DATA).collect()}
     assert not kept & {2 * k + 1 for k, ok in enumerate(alike) if ok} and {2 * k for k in range(30)} <= kept
+
+
+def a_match(parsed, rng):
+    """A random text that a parsed expression of the rules matches."""
+    out = b""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += bytes([arg])
+        elif op == "ANY":
+            out += rng.choice([b"x", b"\n"])
+        elif op == "IN":
+            if str(arg[0][0]) == "NEGATE":
+                out += rng.choice([b" ", b"\n", b"-", b"\r", b"*", b"\t", b"("])
+            else:
+                out += bytes([rng.choice([c for o, v in arg for c in ([v] if str(o) == "LITERAL" else range(v[0], v[1] + 1))])])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += b"".join(a_match(arg[2], rng) for _ in range(rng.randint(arg[0], min(int(arg[1]), arg[0] + 2))))
+        elif op == "SUBPATTERN":
+            out += a_match(arg[3], rng)
+        elif op == "BRANCH":
+            out += a_match(rng.choice(arg[1]), rng)
+        else:
+            assert op == "ASSERT_NOT"
+    return out
+
+
+def test_keywords_are_in_every_match():
+    rng = random.Random(4)
+    for rule in licenses.RULES:
+        pattern = licenses.compiled(rule)
+        for _ in range(20):
+            text = a_match(re._parser.parse(pattern.pattern), rng)
+            assert pattern.fullmatch(text) and rule.keyword in text, (rule, text)
+
+
+def test_wrapped_licence_texts():
+    rng = random.Random(5)
+    scanner, ungated = licenses.Scanner(), licenses.Scanner()
+    ungated.by_keyword = {b"": [x for v in ungated.by_keyword.values() for x in v]}
+
+    def labels(text):
+        return [r.label for _, _, r in scanner.detections(text)]
+
+    assert labels(b"permission is hereby\ngranted, free of charge, to any person obtaining a copy") == ["mit"]
+    assert labels(b"all rights\n * reserved") == ["all-rights-reserved"]
+    assert labels(b"this software is provided 'as is', without any express or\nimplied warranty. in no event will the authors be held liable") == ["zlib"]
+    assert "bsd-3-clause" in labels(b"neither the name of the\ncopyright holder nor the names of its contributors may be used to endorse")
+    parsed = [re._parser.parse(licenses.compiled(r).pattern) for r in licenses.RULES]
+    for _ in range(20):
+        text = b" | ".join(a_match(rng.choice(parsed), rng) for _ in range(30))
+        assert scanner.detections(text) == ungated.detections(text)
