@@ -32,6 +32,10 @@ OFFENDING = 0.5
 TOGETHER_BYTES, TOGETHER_ROWS = 1 << 22, 4096
 _PREFIXES = (4, 5, 6, 7, 8)
 FEATURES = 2 + len(_PREFIXES)
+#: Runs of more bytes, or of over PIECE bytes in scripts whose characters take three, are cut into overlapping pieces.
+RUN, PIECE = 32, 8
+_BYTES = np.random.default_rng(10).integers(0, 1 << 63, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -39,10 +43,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) with each long run replaced by what fits in PIECE bytes from each of its characters on."""
+    wide = np.concatenate([[0], np.cumsum(data >= 0xE0)])
+    long = (ends - starts > RUN) | ((ends - starts > PIECE) & (wide[ends] > wide[starts]))
+    if not long.any():
+        return starts, ends
+    a, b = starts[long], ends[long]
+    step = np.zeros(len(data) + 1, np.int64)
+    step[a] += 1
+    step[b] -= 1
+    lead = (data & 0xC0) != 0x80
+    lead[a] = True
+    at = np.flatnonzero((np.cumsum(step)[:-1] > 0) & lead)
+    run = np.searchsorted(a, at, "right") - 1
+    stop = np.minimum(at + PIECE, b[run])
+    for _ in range(3):  # back to the end of a character
+        stop -= (stop < b[run]) & ~lead[np.minimum(stop, len(data) - 1)]
+    fresh = np.concatenate([[True], (run[1:] != run[:-1]) | (stop[:-1] < b[run[:-1]])])
+    at, stop = np.concatenate([starts[~long], at[fresh]]), np.concatenate([ends[~long], stop[fresh]])
+    order = np.argsort(at, kind="stable")
+    return at[order], stop[order]
+
+
 def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, words before each text, hashed features by word): word, prefixes of 4 to 8 bytes, last 3 bytes.
 
-    Words are told apart by their first 16 bytes and their length; the capitals of Latin-1 are lower.
+    Words are told apart by all of their bytes; long runs are cut by ``pieces``; the capitals of Latin-1 are lower.
     """
     starts = word_starts(data, offsets)
     word = WORD_BYTE[data]
@@ -50,22 +77,24 @@ def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     last[:-1] &= ~word[1:]
     edge = offsets[1:][offsets[:-1] < offsets[1:]] - 1
     last[edge] = word[edge]
-    ends = np.flatnonzero(last) + 1
+    starts, ends = pieces(data, starts, np.flatnonzero(last) + 1)
     buf = np.zeros(len(data) + 24, np.uint8)
     buf[3 : 3 + len(data)] = LOWER_BYTE[data]
     # the capitals of Latin-1 in UTF-8, too: C3 80 to C3 9E without the multiplication sign
     capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
     buf[3 + capital] += 0x20
     eight = np.ndarray((len(data) + 16,), "<u8", buf, strides=(1,))
-    size = (ends - starts).astype(np.uint64)
 
     def head(at: np.ndarray, n: np.ndarray) -> np.ndarray:
         shift = np.uint64(64) - np.uint64(8) * np.clip(n, 1, 8).astype(np.uint64)
         return np.where(n > 0, (eight[at + 3] << shift) >> shift, np.uint64(0))
 
     signed = ends - starts
-    a, b = head(starts, signed), head(np.minimum(starts + 8, len(data)), signed - 8)
-    out = [_mix(a * np.uint64(0xD6E8FEB86659FD93) + _mix(b + size))]
+    # sums of byte values times powers of an odd base; a word's is brought to power 0 by the base's inverse
+    powers = np.multiply.accumulate(np.full(len(data), _BASE, np.uint64))
+    inverse = np.multiply.accumulate(np.full(len(data), pow(_BASE, -1, 1 << 64), np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[buf[3 : 3 + len(data)]] * powers, dtype=np.uint64)])
+    out = [_mix(_mix((sums[ends] - sums[starts]) * inverse[starts]) + signed.astype(np.uint64))]
     out += [_mix(head(starts, np.minimum(signed, k)) * np.uint64(31) + np.uint64(k)) for k in _PREFIXES]
     out.append(_mix((head(ends - np.minimum(signed, 3), np.minimum(signed, 3)) << np.uint64(8)) + np.uint64(255)))
     hashed = (np.stack(out, axis=1) >> np.uint64(32)).astype(np.int64)

@@ -4,8 +4,9 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 
-from quarrygraph.llm import licenses, near_dups
+from quarrygraph.llm import licenses, near_dups, toxicity
 
 from .helpers import DATA, docs, prose
 
@@ -106,3 +107,35 @@ def test_wrapped_licence_texts():
     for _ in range(20):
         text = b" | ".join(a_match(rng.choice(parsed), rng) for _ in range(30))
         assert scanner.detections(text) == ungated.detections(text)
+
+
+def test_words_by_all_bytes():
+    rng = random.Random(6)
+    words = ["a" * 18 + "b" + "c" * 5, "a" * 18 + "d" + "c" * 5, "Short", "short", "É" * 9, "é" * 9]
+    texts = [f"{prose(rng, k)} {w}".encode() for k, w in enumerate(words)]
+    _, _, at, f = toxicity.word_features(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    last = f[at[1:] - 1, 0].tolist()
+    assert last[0] != last[1] and last[2] == last[3] and last[4] == last[5] and len(set(last)) == 4
+
+
+def test_terms_within_unspaced_text(spark):
+    rng = random.Random(7)
+    term = "毒語"
+
+    def text(bad):
+        c = [chr(0x4E00 + rng.randrange(400)) for _ in range(40)]
+        k = rng.randint(6, 34)
+        return "".join(c[:k]) + (term if bad else "") + "".join(c[k:])
+
+    d = docs(spark, [text(i % 2) for i in range(400)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(d, labels)
+    new = [text(i % 2) for i in range(40)]
+    rows = toxicity.tag(docs(spark, new), model).orderBy("doc_id").collect()
+    assert [r["score"] >= 0.5 for r in rows] == [bool(i % 2) for i in range(40)]
+    for t, r in zip(new, rows, strict=True):
+        at = t.encode().find(term.encode())
+        assert at < 0 or any(s["start"] <= at and at + 6 <= s["end"] for s in r["spans"])
+    data = np.frombuffer("日本語テキスト ab".encode(), np.uint8)
+    starts, ends = toxicity.pieces(data, np.array([0, 22]), np.array([21, 24]))
+    assert starts.tolist() == [0, 3, 6, 9, 12, 15, 22] and ends.tolist() == [6, 9, 12, 15, 18, 21, 24]
