@@ -34,8 +34,6 @@ _PREFIXES = (4, 5, 6, 7, 8)
 FEATURES = 2 + len(_PREFIXES)
 #: Runs of more bytes, or of over PIECE bytes in scripts whose characters take three, are cut into overlapping pieces.
 RUN, PIECE = 32, 8
-_BYTES = np.random.default_rng(10).integers(0, 1 << 63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -45,17 +43,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) with each long run replaced by what fits in PIECE bytes from each of its characters on."""
-    wide = np.concatenate([[0], np.cumsum(data >= 0xE0)])
-    long = (ends - starts > RUN) | ((ends - starts > PIECE) & (wide[ends] > wide[starts]))
+    wide = np.flatnonzero(data >= 0xE0)
+    long = (ends - starts > RUN) | ((ends - starts > PIECE) & (np.searchsorted(wide, ends) > np.searchsorted(wide, starts)))
     if not long.any():
         return starts, ends
     a, b = starts[long], ends[long]
-    step = np.zeros(len(data) + 1, np.int64)
+    step = np.zeros(len(data) + 1, np.int8)
     step[a] += 1
     step[b] -= 1
     lead = (data & 0xC0) != 0x80
     lead[a] = True
-    at = np.flatnonzero((np.cumsum(step)[:-1] > 0) & lead)
+    at = np.flatnonzero((np.cumsum(step, dtype=np.int8)[:-1] > 0) & lead)
     run = np.searchsorted(a, at, "right") - 1
     stop = np.minimum(at + PIECE, b[run])
     for _ in range(3):  # back to the end of a character
@@ -90,11 +88,10 @@ def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         return np.where(n > 0, (eight[at + 3] << shift) >> shift, np.uint64(0))
 
     signed = ends - starts
-    # sums of byte values times powers of an odd base; a word's is brought to power 0 by the base's inverse
-    powers = np.multiply.accumulate(np.full(len(data), _BASE, np.uint64))
-    inverse = np.multiply.accumulate(np.full(len(data), pow(_BASE, -1, 1 << 64), np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[buf[3 : 3 + len(data)]] * powers, dtype=np.uint64)])
-    out = [_mix(_mix((sums[ends] - sums[starts]) * inverse[starts]) + signed.astype(np.uint64))]
+    whole = signed.astype(np.uint64)
+    for k in range(0, RUN, 8):  # no word is longer
+        whole = _mix(head(np.minimum(starts + k, len(data)), signed - k) * np.uint64(0xD6E8FEB86659FD93) + whole)
+    out = [whole]
     out += [_mix(head(starts, np.minimum(signed, k)) * np.uint64(31) + np.uint64(k)) for k in _PREFIXES]
     out.append(_mix((head(ends - np.minimum(signed, 3), np.minimum(signed, 3)) << np.uint64(8)) + np.uint64(255)))
     hashed = (np.stack(out, axis=1) >> np.uint64(32)).astype(np.int64)
