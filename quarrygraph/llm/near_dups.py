@@ -109,6 +109,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of signed fingerprints; counted unsigned, as numpy counts the bits of a negative number's absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _linked(rows: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) that join up what is within ``radius`` under each key; ``rows``: mask, key, fp, all distinct.
 
@@ -124,7 +129,7 @@ def _linked(rows: DataFrame, radius: int) -> DataFrame:
                 near = np.zeros(len(rest), bool)
                 step = max(1, (1 << 21) // len(rest))
                 for i in range(0, len(front), step):
-                    near |= (np.bitwise_count(front[i : i + step, None] ^ rest[None, :]) <= radius).any(axis=0)
+                    near |= (differing(front[i : i + step, None], rest[None, :]) <= radius).any(axis=0)
                 front, rest = rest[near], rest[~near]
                 left.append(np.full(len(front), seed, np.int64))
                 right.append(front)
@@ -140,7 +145,7 @@ def _linked(rows: DataFrame, radius: int) -> DataFrame:
         for lag in range(1, 8):
             a, b = fp[:-lag], fp[lag:]
             ok = (run[:-lag] == run[lag:]) & small[lag:]
-            ok[ok] = np.bitwise_count(a[ok] ^ b[ok]) <= radius
+            ok[ok] = differing(a[ok], b[ok]) <= radius
             left.append(a[ok])
             right.append(b[ok])
         for r in np.flatnonzero(sizes > 8):
