@@ -82,6 +82,21 @@ def test_links_of_dense_groups(spark):
         assert all(len(v) == 1 for v in by.values()) and len(by) == len(set(want.values()))
 
 
+def test_links_across_the_sign_bit(spark):
+    rng = random.Random(63)
+    pairs = []
+    for others in ([], [0], [5, 9], [62]):
+        for _ in range(12):
+            f = rng.getrandbits(64)
+            pairs.append((f, f ^ (1 << 63) ^ sum(1 << b for b in others)))
+    for crowded in (1024, 1):
+        got = groups_of(spark, [f for p in pairs for f in p], crowded)
+        assert all(got[a] == got[b] for a, b in pairs)
+    fronts = [pairs[0][0] ^ (1 << b) for b in range(12)] + [pairs[0][1]]  # a large key, searched front by front
+    got = groups_of(spark, fronts)
+    assert len(set(got.values())) == 1
+
+
 def test_a_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
     got = {r["node"]: r["root"] for r in near_dups.components(edges).collect()}
@@ -168,8 +183,9 @@ def test_repeats(spark, monkeypatch):
     want = repeats_brute(list(enumerate(texts)), 400)
     assert sum(w[1] for w in want.values()) > 20_000
     assert repeats(spark, d, 400) == want
-    monkeypatch.setattr(substrings, "CROWDED", 3)  # most names are ranked window by window
-    assert repeats(spark, d, 400) == want
+    for crowded in (3, 1):  # most groups are ranked at growing lengths; then all, up to single windows
+        monkeypatch.setattr(substrings, "CROWDED", crowded)
+        assert repeats(spark, d, 400) == want
     monkeypatch.setattr(substrings, "FILTER_BITS", 1 << 15)
     assert repeats(spark, d, 400) == want
     assert repeats(spark, d, 150) == repeats_brute(list(enumerate(texts)), 150)
