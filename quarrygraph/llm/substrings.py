@@ -38,13 +38,13 @@ MIN_LENGTH = 400
 GRAM = 128
 #: Of each so many bytes one sampled string is looked up for ``n_shared``.
 PASSAGE = 256
-#: Kinds of one group that are compared in memory (some 2 MB of text); Spark ranks a group with more by longer strings.
-CROWDED = 4096
+#: Kinds of one group that are compared in memory (some 0.3 MB of text); Spark ranks a group with more by longer strings.
+CROWDED = 512
 FAN_OUT = 4
 #: Bits of the filters, at most; a fuller filter costs time, not rows.
 FILTER_BITS = 1 << 29
 #: Repeated names up to this number are broadcast.
-BROADCAST_NAMES = 1_000_000
+BROADCAST_NAMES = 200_000
 #: Positions that are sampled at once; their offsets fill the low bits of a rank.
 _BLOCK = 1 << 16
 _LOW = np.uint64((1 << 17) - 1)
