@@ -17,8 +17,8 @@ from .common import checkpoint, maybe_broadcast, table
 
 #: Bucket digests that may be broadcast (two longs each); above it the join shuffles.
 BROADCAST_BUCKETS = 1_000_000
-#: Rows that stand together when neighbours by id are looked up.
-NEIGHBOUR_ROWS = 1024
+#: Rows that stand together when neighbours by id are looked up; small stretches are dealt out evenly.
+NEIGHBOUR_ROWS = 128
 #: Quantiles of the id that the driver holds, whatever the size of the input.
 MAX_SPLITS = 1024
 
@@ -83,10 +83,11 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _id_buckets(df: DataFrame, id_col: str) -> tuple[Column, int]:
-    """A bucket number that never falls as the id grows, about NEIGHBOUR_ROWS ids to a bucket; nulls get -1.
+    """A bucket number that never falls as the id grows, about NEIGHBOUR_ROWS ids to a bucket.
 
     Quantiles of the ids (at most MAX_SPLITS) follow their distribution, and
-    each stretch between two of them is cut evenly.
+    each stretch between two of them is cut evenly.  Rows without an id come below, in
+    as many buckets, by the hash of ``text``.
     """
     n = df.count()
     splits = max(1, min(MAX_SPLITS, math.ceil(n / NEIGHBOUR_ROWS)))
@@ -107,7 +108,10 @@ def _id_buckets(df: DataFrame, id_col: str) -> tuple[Column, int]:
     ends = F.array(*[F.lit(int(b)).cast("double") for b in bounds])
     lo, hi = F.get(ends, F.col("_qg_k") - 1), F.get(ends, F.col("_qg_k"))
     sub = F.least(F.greatest(F.floor((F.col(id_col).cast("double") - lo) * cuts / (hi - lo)), F.lit(0)), F.lit(cuts - 1))
-    return last, (F.col("_qg_k") * cuts + sub).cast("long"), cuts
+    least = -(1 << 63)
+    nth = F.floor((F.xxhash64("text").cast("double") - least) * (splits * cuts) / float(1 << 64))
+    unnamed = -1 - F.least(nth, F.lit(splits * cuts - 1))
+    return last, F.when(F.col(id_col).isNull(), unnamed).otherwise(F.col("_qg_k") * cuts + sub).cast("long"), cuts
 
 
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,7 +124,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     last, bucket, cuts = _id_buckets(docs.select("doc_id"), "doc_id")
-    docs = docs.withColumn("_qg_k", last).withColumn("_qg_b", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bucket)).drop("_qg_k")
+    docs = docs.withColumn("_qg_k", last).withColumn("_qg_b", bucket).drop("_qg_k")
     docs = docs.repartition("_qg_b").withColumn("canon", canonical(F.col("text"))).withColumn("fingerprint", digest(F.col("canon")))
     in_bucket = Window.partitionBy("_qg_b").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     rows = docs.select(
@@ -151,7 +155,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     heads = done.filter("_qg_rn = 1").select(F.col("_qg_b").alias("_qg_next"), F.col("text").alias("next_text"))
     numbers = heads.select(F.col("_qg_next").alias("_qg_b"), F.floor(F.col("_qg_next") / cuts).alias("k"))
     tops = numbers.groupBy("k").agg(F.max("_qg_b").alias("top"))
-    down = Window.orderBy(F.col("k").desc())  # at most MAX_SPLITS + 2 rows
+    down = Window.orderBy(F.col("k").desc())  # at most 2 * MAX_SPLITS + 2 rows
     tops = tops.select("k", F.coalesce(F.lead("top").over(down), F.first("top").over(down)).alias("below"))
     step = F.lead("_qg_b").over(Window.partitionBy("k").orderBy(F.col("_qg_b").desc()))
     following = numbers.withColumn("step", step).join(tops, "k").select("_qg_b", F.coalesce("step", "below").alias("_qg_next"))
@@ -161,6 +165,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and its edited text; null is empty, repeated rows follow one another, an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = edited_fingerprints(docs)
     clash = collisions(docs.select("text"))
