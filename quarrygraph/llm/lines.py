@@ -59,7 +59,8 @@ def verbatim_key(line: Column, min_tokens: int = MIN_TOKENS) -> Column:
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, verbatim_docs: int | None = None) -> DataFrame:
     """(_qg_id, _qg_th, _qg_drop): for texts that lose lines, the sorted positions (from 0) of those.
 
-    Null ids count as documents but keep nothing; of rows with one id each counts.
+    Rows of one id are one document; rows without an id are, if their texts are equal.  The
+    least id keeps a line; where no row has one, the text of the least hash does.
     """
     base = docs.select(F.col(id_col).alias("_qg_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_qg_text"))
     # one step a lambda: within a lambda, Spark evaluates an expression as often as it is named
@@ -70,10 +71,15 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         keys = F.zip_with(F.transform(keys, lambda k: F.transform(k, lambda x: x.bitwiseAND(F.lit(-2)))), verbatim, lambda a, b: F.concat(a, b))
         least = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, F.lit(verbatim_docs)).otherwise(least)
     lined = checkpoint(base.select("_qg_id", F.xxhash64("_qg_text").alias("_qg_th"), keys.alias("keys")))
-    once = lined.select("_qg_id", F.explode(F.array_distinct(F.flatten("keys"))).alias("key"))
-    recurring = once.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("_qg_id").alias("keeper")).filter(F.col("df") >= least).select("key", "keeper")
+    unnamed = F.when(F.col("_qg_id").isNull(), F.col("_qg_th")).alias("_qg_nth")
+    who = lined.select("_qg_id", unnamed).groupBy("_qg_id", "_qg_nth").count().filter("count > 1")
+    once = lined.select("_qg_id", unnamed, F.explode(F.array_distinct(F.flatten("keys"))).alias("key"))
+    if not who.isEmpty():
+        once = once.distinct()
+    recurring = once.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("_qg_id").alias("keeper"), F.min("_qg_nth").alias("keeper_th")).filter(F.col("df") >= least).select("key", "keeper", "keeper_th")
     lines = lined.select("_qg_id", "_qg_th", F.posexplode("keys").alias("pos", "line")).select("_qg_id", "_qg_th", "pos", F.explode("line").alias("key"))
-    gone = lines.join(recurring, "key").filter(F.col("keeper").isNull() | F.col("_qg_id").isNull() | (F.col("keeper") < F.col("_qg_id")))
+    keeps = F.col("_qg_id").eqNullSafe(F.col("keeper")) & (F.col("keeper").isNotNull() | (F.col("_qg_th") == F.col("keeper_th")))
+    gone = lines.join(recurring, "key").filter(~keeps)
     return gone.groupBy("_qg_id", "_qg_th").agg(F.array_sort(F.collect_set("pos")).alias("_qg_drop"))
 
 
@@ -100,6 +106,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dropped lines of every whole text; null is empty, rows of one id are one document, an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = _with_drops(docs, "doc_id", "text", MIN_DOCS, MIN_TOKENS)
     kept = F.coalesce(_kept("text"), F.lit(""))
