@@ -10,19 +10,21 @@ from .batches import sampled
 from .common import crc_mod
 
 HELD_OUT = 5
+#: Longer texts are not drawn into a training sample: the bound of its rows' size.
+SAMPLE_BYTES = 1 << 17
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_label: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
     """(label, text bytes, k) of about ``per_label`` labelled documents of each label, and how many labels there are.
 
     Only ids whose crc32 as text modulo 5 is not 0 teach.  Ids with contradicting
-    or null labels teach nothing.  The sample of labels is bounded, so it is
-    broadcast and no text is shuffled.
+    or null labels teach nothing, nor do texts of over SAMPLE_BYTES.  The sample of
+    labels is bounded (0 and 1 are the labels that count), so it is broadcast and no text is shuffled.
     """
-    one = labels.filter(F.col(label).isNotNull() & (crc_mod(id_col, HELD_OUT) != 0)).groupBy(id_col).agg(F.min(label).alias("label"), F.max(label).alias("hi")).filter("label = hi").drop("hi")
+    one = labels.filter(F.col(label).isNotNull() & (crc_mod(id_col, HELD_OUT) != 0)).groupBy(id_col).agg(F.min(label).alias("label"), F.max(label).alias("hi")).filter("label = hi and label in (0, 1)").drop("hi")
     counts = {r["label"]: r["count"] for r in one.groupBy("label").count().collect()}
     chosen = sampled(one, "label", id_col, per_label)
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).filter(F.coalesce(F.octet_length(text_col), F.lit(0)) <= SAMPLE_BYTES)
     return rows.select(F.col("label").cast("int").alias("label"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.xxhash64(id_col).alias("k")), counts
 
 

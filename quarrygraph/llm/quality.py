@@ -23,8 +23,8 @@ from .labelled import HELD_OUT, logistic, sigmoid, training_rows
 EMBED, WIDTH, STRIDE, FILTERS = 4, 8, 2, 24
 #: Bytes of a pooling block; a chunk is CHUNK blocks and the next starts half a chunk later.
 BLOCK, CHUNK = 64, 4
-#: The bounds of the training sample: documents of each label, chunks of each document.
-PER_LABEL, CHUNKS_EACH = 700, 6
+#: The bound of the training sample: documents of each label.
+PER_LABEL = 700
 
 
 @dataclass
@@ -74,7 +74,7 @@ def document_features(net: Network, data: np.ndarray, offsets: np.ndarray) -> np
     return np.hstack([mean, np.maximum.reduceat(chunk, first, axis=0), np.stack([np.add.reduceat(logit, first) / pairs, np.maximum.reduceat(logit, first), np.minimum.reduceat(logit, first), np.log1p(np.diff(offsets))], axis=1)])
 
 
-def fit(chunks: np.ndarray, y: np.ndarray, epochs: int = 14, batch: int = 128, seed: int = 3) -> Network:
+def fit(chunks: np.ndarray, y: np.ndarray, epochs: int = 4, batch: int = 128, seed: int = 3) -> Network:
     """Back-propagation with Adam; ``chunks`` are CHUNK*BLOCK + WIDTH bytes each."""
     rng = np.random.default_rng(seed)
     p = {"e": rng.normal(0, 0.5, (256, EMBED)), "w": rng.normal(0, 0.25, (WIDTH * EMBED, FILTERS)), "b": np.zeros(FILTERS), "h": rng.normal(0, 0.2, FILTERS), "c": np.zeros(1)}
@@ -108,39 +108,29 @@ def fit(chunks: np.ndarray, y: np.ndarray, epochs: int = 14, batch: int = 128, s
     return Network(p["e"], p["w"], p["b"], p["h"], float(p["c"][0]))
 
 
+def all_chunks(text: bytes) -> list[bytes]:
+    """The overlapping chunks that ``document_features`` pools over, the last one filled up, each with WIDTH more bytes."""
+    size, step = CHUNK * BLOCK, CHUNK * BLOCK // 2
+    starts = range(0, max(1, len(text) - step), step)
+    return [text[s : s + size].ljust(size, b"\0") + b"\0" * WIDTH for s in starts]
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", per_label: int = PER_LABEL) -> tuple[Network, float]:
-    """The network with its combination, and the share of label 1.  Without both labels, the score is that share."""
+    """The network with its combination, and the share of label 1.  Without both labels, the score is that share.
+
+    Filters and combination learn from all chunks of the sampled texts.
+    """
     rows, counts = training_rows(docs, labels, label, per_label, id_col, text_col)
-    rows = rows.cache()
     prior = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    size = CHUNK * BLOCK
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for y, text, k in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = text.as_py()
-                starts = sorted({int(s) // BLOCK * BLOCK for s in np.linspace(0, max(0, len(data) - size // 2), CHUNKS_EACH)})
-                out += [(y, data[s : s + size].ljust(size, b"\0") + b"\0" * WIDTH, k) for s in starts]
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], ["label", "x", "k"])
-
-    got = sorted(rows.mapInArrow(cut, "label int, x binary, k bigint").collect(), key=lambda r: (r["k"], r["x"]))
-    y = np.array([r["label"] for r in got], np.float32)
-    net = fit(np.frombuffer(b"".join(r["x"] for r in got), np.uint8).reshape(len(got), CHUNK * BLOCK + WIDTH), y)
+    got = sorted(rows.collect(), key=lambda r: (r["k"], r["text"]))  # bounded by per_label and SAMPLE_BYTES
+    y = np.array([r["label"] for r in got])
+    texts = [bytes(r["text"]) for r in got]
+    chunks = [all_chunks(t) for t in texts]
+    many = np.repeat(y, [len(c) for c in chunks]).astype(np.float32)
+    net = fit(np.frombuffer(b"".join(x for c in chunks for x in c), np.uint8).reshape(len(many), CHUNK * BLOCK + WIDTH), many)
     if len(set(y.tolist())) < 2:
         return net, prior
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            f = [document_features(net, data, offsets) for _, _, data, offsets in byte_chunks(batch.column(1))]
-            x = [r.astype(np.float64).tobytes() for part in f for r in part]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), batch.column(2)], ["label", "x", "k"])
-
-    got = sorted(rows.mapInArrow(whole, "label int, x binary, k bigint").collect(), key=lambda r: (r["k"], r["x"]))
-    rows.unpersist()
-    x = np.frombuffer(b"".join(r["x"] for r in got), np.float64).reshape(len(got), -1)
-    y = np.array([r["label"] for r in got])
+    x = np.concatenate([document_features(net, data, offsets) for _, _, data, offsets in byte_chunks(pa.array(texts, pa.binary()))]).astype(np.float64)
     mean, std = x.mean(axis=0), x.std(axis=0) + 1e-6
     weight = np.array([counts[k] / (y == k).sum() for k in y])  # the sample is even, the labels aren't
     w = logistic((x - mean) / std, y, weight)
@@ -164,6 +154,7 @@ def score(df: DataFrame, model: tuple[Network, float], id_col: str = "doc_id", t
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text; null scores as empty, repeated rows score alike, an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", F.coalesce(crc_mod("doc_id", HELD_OUT) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
