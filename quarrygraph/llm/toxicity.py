@@ -21,8 +21,10 @@ from .common import crc_mod, table
 from .labelled import HELD_OUT, logistic, sigmoid, training_rows
 
 DIMS = 1 << 20
-#: The bounds of the training sample: documents of each label; stretches of words of each document.
-PER_LABEL, STRETCHES, STRETCH = 900, 16, 128
+#: The bound of the training sample: documents of each label.
+PER_LABEL = 900
+#: The field learns from chains of this many words; a text is cut into such chains, and all of them teach.
+STRETCH = 128
 #: A feature marks words as toxic from this many toxic documents on, from this smoothed share, and only
 #: if so many would be this many standard deviations off were it independent of the label.
 SUPPORT, SHARE, DEVIATIONS = 3, 0.8, 4.5
@@ -144,10 +146,9 @@ def marginals(field: Field, emission: np.ndarray, at: np.ndarray) -> np.ndarray:
     return sigmoid(alpha + beta)
 
 
-def fit(features: list[np.ndarray], y: list[np.ndarray], rounds: int = 60) -> Field:
-    """Gradient steps (Adagrad) on the likelihood of the stretches' labels."""
-    f, lab = np.concatenate(features), np.concatenate(y).astype(float)
-    at = np.concatenate([[0], np.cumsum([len(x) for x in y])])
+def fit(f: np.ndarray, y: np.ndarray, at: np.ndarray, rounds: int = 60) -> Field:
+    """Gradient steps (Adagrad) on the likelihood of the chains' labels; ``at``: where each chain begins, and the end."""
+    lab = y.astype(float)
     field = Field(np.zeros(DIMS), -2.0, np.zeros((2, 2)), -2.0)
     sums = {k: 1e-8 for k in ("emit", "bias", "step", "start")}
     inner = np.ones(len(lab), bool)
@@ -184,17 +185,20 @@ def _pair(prior: np.ndarray, odds: np.ndarray, q1: float, q0: float) -> np.ndarr
     return np.clip((b - np.sqrt(np.maximum(b * b - 4 * k * (k - 1) * prior * post, 0))) / (2 * (k - 1)), 0, np.minimum(prior, post))
 
 
-def token_labels(features: list[np.ndarray], toxic: np.ndarray) -> list[np.ndarray]:
-    """1 for the words of toxic texts that a feature marks; a feature counts once a text."""
+def token_labels(f: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """1 for the words of toxic texts that a feature marks; a feature counts once a text (``at``: where each begins)."""
     bad, good = np.zeros(DIMS), np.zeros(DIMS)
-    for f, y in zip(features, toxic, strict=True):
-        (bad if y else good)[np.unique(f)] += 1
+    for a, b, y in zip(at[:-1], at[1:], toxic, strict=True):
+        (bad if y else good)[np.unique(f[a:b])] += 1
     scale = max(1, (toxic == 0).sum()) / max(1, (toxic == 1).sum())
     share = (bad * scale) / (bad * scale + good + 0.5)
     part = (toxic == 1).mean()
     off = (bad - (bad + good) * part) / np.sqrt(np.maximum((bad + good) * part * (1 - part), 1e-9))
     marks = (bad >= SUPPORT) & (share >= SHARE) & (off >= DEVIATIONS)
-    return [marks[f].any(axis=1) * int(y) for f, y in zip(features, toxic, strict=True)]
+    hit = np.zeros(len(f), bool)
+    for k in range(FEATURES):
+        hit |= marks[f[:, k]]
+    return hit & np.repeat(toxic == 1, np.diff(at))
 
 
 def document_features(p: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -226,30 +230,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             out = []
             for _, _, data, offsets in byte_chunks(batch.column(1)):
                 _, _, at, f = word_features(data, offsets)
-                for a, b in zip(at[:-1], at[1:], strict=True):
-                    begin = sorted({int(x) // STRETCH * STRETCH for x in np.linspace(0, max(0, b - a - 1), STRETCHES)}) if b - a > STRETCHES * STRETCH else range(0, b - a, STRETCH)
-                    out.append(b"".join(f[a + s : min(a + s + STRETCH, b)].astype("<i4").tobytes() for s in begin))
+                out += [f[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["label", "x", "k"])
 
-    got = sorted(rows.mapInArrow(cut, "label int, x binary, k bigint").collect(), key=lambda r: (r["k"], r["x"]))
-    features = [np.frombuffer(r["x"], "<i4").reshape(-1, FEATURES) for r in got]
-    toxic = np.array([r["label"] for r in got])
+    got = rows.mapInArrow(cut, "label int, x binary, k bigint").toArrow()
+    order = sorted(range(len(got)), key=lambda i: (got["k"][i].as_py(), got["x"][i].as_py()))
+    toxic = got["label"].to_numpy()[order]
+    size = pa.compute.binary_length(got["x"]).to_numpy()[order] // (4 * FEATURES)
+    at = np.concatenate([[0], np.cumsum(size)])
+    f = np.empty((int(at[-1]), FEATURES), np.int32)
+    for a, i, n in zip(at, order, size, strict=False):
+        f[a : a + n] = np.frombuffer(got["x"][i].as_buffer(), "<i4").reshape(-1, FEATURES)
     del got
-    if not (0 < toxic.sum() < len(toxic)):
+    if not (0 < toxic.sum() < len(toxic)) or not len(f):
         return None, prior
-    y = token_labels(features, toxic)
-    parts = [(f[i : i + STRETCH], t[i : i + STRETCH]) for f, t in zip(features, y, strict=True) for i in range(0, len(t), STRETCH)]
-    if not parts:
-        return None, prior
-    field = fit([f for f, _ in parts], [t for _, t in parts])
-    at = np.concatenate([[0], np.cumsum([len(f) for f in features])])
-    x = document_features(marginals(field, field.emission(np.concatenate(features)), at), at)
+    y = token_labels(f, at, toxic)
+    chains = np.concatenate([np.arange(a, b, STRETCH) for a, b in zip(at[:-1], at[1:], strict=True)] + [at[-1:]])
+    field = fit(f, y, chains)
+    x = document_features(marginals(field, field.emission(f), at), at)
     weight = np.array([counts[k] / (toxic == k).sum() for k in toxic])  # the sample is even, the labels aren't
     field.combine = logistic(x, toxic, weight, l2=1e-4)
     return field, prior
 
 
-def tag(df: DataFrame, model: tuple[Field | None, float], id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
+def tag(df: DataFrame, model: tuple[Field | None, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, score, and the offending spans (byte offsets of runs of words, and their peak).
 
     Null texts score as empty ones.
@@ -283,7 +287,7 @@ def tag(df: DataFrame, model: tuple[Field | None, float], id_col: str = "doc_id"
                 starts, ends, at, f = word_features(data, offsets)
                 p = marginals(field, field.emission(f), at)
                 scores.append(sigmoid(document_features(p, at) @ field.combine[:-1] + field.combine[-1]))
-                lists += found(p, starts, ends, at, offsets) if spans else [[]] * (j - i)
+                lists += found(p, starts, ends, at, offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores), pa.float64()), pa.array(lists, kind)], ["_qg_id", "score", "spans"])
 
     return rows.mapInArrow(run, f"_qg_id {df.schema[id_col].dataType.simpleString()}, score double, spans array<struct<start:bigint,end:bigint,marginal:double>>").withColumnRenamed("_qg_id", id_col)
@@ -310,6 +314,7 @@ def reject_toxic(docs: DataFrame, model: tuple[Field | None, float], text_col: s
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, with the offending spans; null scores as empty, repeated rows score alike, an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = tag(docs, train(docs, table(spark, sf_dir, "labels")), spans=False)
-    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", HELD_OUT) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = tag(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", HELD_OUT) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
