@@ -50,12 +50,16 @@ def text_bytes(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit("")).cast("binary")
 
 
-def sampled(df: DataFrame, label: str, id_col: str, per_label: int) -> DataFrame:
+def sampled(df: DataFrame, label: str, id_col: str, per_label: int, in_all: int | None = None) -> DataFrame:
     """About ``per_label`` rows of each label (all if there are fewer), the same ones at every run.
 
+    With ``in_all``, that many rows are shared out among the labels.
+
     A row is taken if the hash of its id is below its label's threshold.
     """
     counts = df.groupBy(label).count().collect()
+    if in_all and len(counts) * per_label > in_all:
+        per_label = max(1, in_all // len(counts))
     take = F.lit(0.0)
     for r in counts:
         take = F.when(F.col(label).eqNullSafe(F.lit(r[label])), F.lit(min(1.0, per_label / r["count"]))).otherwise(take)

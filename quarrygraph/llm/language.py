@@ -20,8 +20,8 @@ from .batches import LOWER_BYTE, byte_chunks, sampled, text_bytes
 from .common import crc_mod, table
 
 DIMS = 4096
-#: Training documents of each language: the bound of the sample.
-PER_LANGUAGE = 600
+#: Training documents of each language and of all together: the bounds of the sample.
+PER_LANGUAGE, IN_ALL = 600, 6000
 #: A text is ambiguous if its best language has less than this share.
 AMBIGUOUS = 0.7
 UNKNOWN = "und"
@@ -116,9 +116,11 @@ def fit(x: np.ndarray, labels: list[str], rounds: int = 150, l2: float = 1e-5) -
     return Model(languages, code, w, b)
 
 
-def train(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on about ``per_language`` documents of each language; rows without a language teach nothing."""
-    rows = sampled(df.filter(F.col(lang_col).isNotNull()).select(id_col, lang_col, text_col), lang_col, id_col, per_language)
+def train(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> Model:
+    """Fit on about ``per_language`` documents of each language, fewer with many languages, so that the driver
+    gets some ``in_all`` rows of features (50 MB) at most; rows without a language teach nothing."""
+    known = df.filter(F.col(lang_col).isNotNull()).select(id_col, lang_col, text_col)
+    rows = sampled(known, lang_col, id_col, per_language, in_all)
     rows = rows.select(F.col(lang_col).alias("label"), text_bytes(text_col).alias("text"), F.xxhash64(id_col).alias("k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +159,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text; null and texts without a letter are ``und``, repeated rows alike, an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = crc_mod("doc_id", 4) == 2
     model = train(docs.filter(~held_out))
