@@ -327,5 +327,6 @@ def dedup_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every whole text; null has no words, repeated rows share both, an empty table gives no rows."""
     groups = near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
