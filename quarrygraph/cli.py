@@ -66,7 +66,8 @@ def ingest(spark: SparkSession, docs: DataFrame, lexicon: text_graph.Lexicon | N
     chunks = text_graph.chunk_documents(docs)
     used = text_graph.for_graph(chunks).join(docs.select("document_id", "company"), "document_id")
     entities = text_graph.extract_entities(used, "id", "text", lexicon)
-    relations = used.select("document_id", F.col("id").alias("scope"), "text", F.posexplode(text_graph.scope_relations(F.col("company"), F.col("text"), lexicon)).alias("pos", "r")).select("document_id", "scope", "pos", "text", "r.*")
+    found = text_graph.scope_relations(used.select("document_id", F.col("id").alias("scope"), "text", "company"), F.col("company"), F.col("text"), lexicon)
+    relations = found.select("document_id", "scope", "text", F.posexplode("relations").alias("pos", "r")).select("document_id", "scope", "pos", "text", "r.*")
     return {"chunks": chunks, "entities": entities, "relations": relations}
 
 
@@ -78,9 +79,10 @@ def sync(spark: SparkSession, folder: str, manifest: DataFrame, out: str, patter
     """
     files = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
     files = files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("filename"), F.col("value").alias("markdown"))
-    rows = files.join(manifest.withColumn("_known", F.lit(True)), "filename", "left")
-    known = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("no manifest entry for "), "filename")).cast("boolean")).otherwise(F.lit(True))
-    rows = rows.filter(known)
+    unknown = files.select("filename").join(manifest, "filename", "left_anti").orderBy("filename").limit(10).collect()
+    if unknown:
+        raise ValueError("no manifest entry for " + ", ".join(r["filename"] for r in unknown))
+    rows = files.join(manifest, "filename")
     if not any_source:
         rows = rows.filter(markup.is_conference_call(F.col("source_type")))
     stem = F.regexp_replace("filename", r"\.[^.]*$", "")

@@ -86,6 +86,30 @@ SOURCE_ADAPTERS = (  # name, domain, source type; first match wins
     ("tsmc-ir-pdf", "investor.tsmc.com", "transcript_pdf"),
 )
 CONFERENCE_CALL_TYPES = ("transcript_pdf", "transcript_html", "conference_call_transcript_html", "conference_call_event_html", "conference_call_prepared_remarks_html", "conference_call_prepared_remarks_pdf", "earnings_call_transcript_html", "seeking_alpha_transcript_html", "third_party_transcript_html")
+# layout of extracted text: what a paragraph looks like, and how long it may be
+PAGE_PREFIX = "Page "
+NAME_AND_TITLE = r"^[A-Z][A-Za-z .'-]{1,80},? (CEO|CFO|Chief|EVP|President|Chairman)\b"
+NAME_AND_COLON = r"^[A-Z][A-Za-z .'-]{1,80}:\s"
+NAME_ALONE = r"^[A-Z][A-Za-z .'-]{2,80}\s*:$"
+HEADING_CHARS, OPEN_END_CHARS, SHORT_REST_CHARS = 90, 90, 55
+SENTENCE_ENDS = (".", "!", "?", ":")
+# Markdown lines of speakers, and page marks
+SPEAKER_LINES = (
+    r"\*\*([^*:\n]{2,120})\*\*\s*:\s*(.*)$",
+    r"\*\*([^*:\n]{2,120}):\*\*\s*(.*)$",
+    r"([A-Z][^:\n]{1,120})\s*:\s*(.+)$",
+)
+PAGE_MARK, PAGE_NUMBER = r"(?i)page\s+\d+", r"\d{1,4}"
+# transcript links: what raises or rules out a candidate
+LINK_TRANSCRIPT = ("transcript", "q&a", "qanda")
+LINK_CALL = ("prepared remark", "conference call", "earnings call")
+LINK_NEVER = ("slide", "powerpoint", "annual-report", "download-center", "presentation", "press release", "earnings release", "financial statement", "financial result", "financial and business result")
+LINK_PDF = (".pdf",)
+LINK_DOCX = (".docx", "officeapps.live.com", "aka.ms/transcript", "transcript")
+LINK_POINTS = {"transcript": 50, "call": 30, "pdf": 100, "docx": 70}
+# answer clean-up: sections and table columns that go
+GAP_SECTIONS = ("evidence gap", "caveat")
+SIGNAL_COLUMNS = ("positive signal", "product/category signal", "signal", "evidence", "why it matters")
 SOURCE_NOTE = "> Full official source text extracted from"
 AUDIT_POSITIVE = ("transcript", "earnings", "prepared-remarks", "prepared_remarks", "results", "quarter", "q1", "q2", "q3", "q4", "call")
 AUDIT_OFF_TOPIC = ("supply-chain", "transparency", "sustainability", "annual-report", "annual_report", "proxy", "code-of-conduct", "privacy")

@@ -78,19 +78,19 @@ def _node_stats(g: Graph) -> DataFrame:
     """Per entity with a fact: distinct facts, insights, companies, chunks, and the summed confidence over fact rows.
 
     A fact that starts and ends at one entity counts once, but its confidence
-    twice, as it has two rows.
+    twice, as it has two rows.  Rows that repeat a fact's id are one fact, whose
+    confidences all count.
     """
-    company_of = g.chunks.select(F.col("id").alias("chunk_id"), "document_id").join(g.documents.select(F.col("id").alias("document_id"), "company_id"), "document_id").select("chunk_id", "company_id")
-    facts = g.facts.select("from_id", "to_id", "layer", "conf100", "chunk_id")
-    facts = facts.filter("chunk_id is not null").join(company_of, "chunk_id", "left").unionByName(facts.filter("chunk_id is null"), allowMissingColumns=True)
+    facts = g.facts.select(F.col("id").alias("fact_id"), "from_id", "to_id", "layer", "conf100", "chunk_id")
     rows = F.when(F.col("from_id") == F.col("to_id"), 2).otherwise(1)
-    ends = facts.select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("id"), "layer", F.coalesce("conf100", F.lit(0)).alias("conf100"), "chunk_id", "company_id", rows.alias("n"))
-    near = ends.groupBy("id", "chunk_id", "company_id").agg(F.count(F.lit(1)).alias("facts"), F.sum(_insight(F.col("layer"))).alias("insights"), F.sum(F.col("conf100") * F.col("n")).alias("conf"), F.sum("n").alias("n"))
-    seen = F.when(F.col("company_id").isNotNull(), 1)
-    per_company = near.groupBy("id", "company_id").agg(*[F.sum(c).alias(c) for c in ("facts", "insights", "conf", "n")], F.count(seen).alias("chunks"))
-    return per_company.groupBy("id").agg(
-        F.sum("facts").alias("relation_count"), F.sum("insights").alias("insight_count"), F.count("company_id").alias("company_count"), F.sum("chunks").alias("evidence_count"), (F.sum("conf").cast("double") / F.sum("n") / 100.0).alias("avg_confidence")
-    )
+    ends = facts.select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("id"), "fact_id", _insight(F.col("layer")).alias("insight"), F.coalesce("conf100", F.lit(0)).alias("conf100"), "chunk_id", rows.alias("n"))
+    one = ends.groupBy("id", "fact_id").agg(F.max("insight").alias("insight"), F.sum(F.col("conf100") * F.col("n")).alias("conf"), F.sum("n").alias("n"))
+    by_fact = one.groupBy("id").agg(F.count(F.lit(1)).alias("relation_count"), F.sum("insight").alias("insight_count"), (F.sum("conf").cast("double") / F.sum("n") / 100.0).alias("avg_confidence"))
+    company_of = g.chunks.select(F.col("id").alias("chunk_id"), "document_id").join(g.documents.select(F.col("id").alias("document_id"), "company_id"), "document_id").select("chunk_id", "company_id")
+    near = ends.filter("chunk_id is not null").select("id", "chunk_id").distinct().join(company_of, "chunk_id").filter("company_id is not null")
+    by_chunk = near.groupBy("id", "company_id").agg(F.count(F.lit(1)).alias("chunks")).groupBy("id").agg(F.count(F.lit(1)).alias("company_count"), F.sum("chunks").alias("evidence_count"))
+    zero = F.lit(0)
+    return by_fact.join(by_chunk, "id", "left").withColumns({c: F.coalesce(c, zero) for c in ("company_count", "evidence_count")})
 
 
 def key_nodes(g: Graph, limit: int = 25) -> DataFrame:
@@ -183,25 +183,63 @@ def _search_order() -> list[Column]:
     return [desc(_insight(F.col("relation_layer"))), desc(F.size("matched_terms")), desc(F.coalesce("confidence", F.lit(0.0))), *map(asc, ["company", "source", "relation", "target", "fact_id"])]
 
 
-def _search_rows(g: Graph, terms: list[str], ticker: str = "") -> DataFrame:
-    rows = _rows(g, _searched(g, terms))
-    if ticker:
-        rows = rows.filter(F.col("ticker") == ticker)
-    return _shaped(_with_concepts(g, rows), "source_url", "source_concepts", "target_concepts", "matched_terms", "chunk_text")
+def _placed(g: Graph, facts: DataFrame) -> DataFrame:
+    """Facts with what searches are ordered by: names and company, without the texts of chunks."""
+    where = g.chunks.select(F.col("id").alias("chunk_id"), "document_id", (F.coalesce("text", F.lit("")) != "").alias("has_text"))
+    where = where.join(g.documents.select(F.col("id").alias("document_id"), "company_id"), "document_id")
+    where = where.join(g.companies.select(F.col("id").alias("company_id"), F.col("name").alias("company"), "ticker"), "company_id")
+    f = facts.withColumnsRenamed({"id": "fact_id", "from_id": "source_id", "to_id": "target_id"})
+    rows = f.filter("chunk_id is not null").join(where, "chunk_id", "left").unionByName(f.filter("chunk_id is null"), allowMissingColumns=True)
+    for side in ("source", "target"):
+        rows = rows.join(g.entities.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(side)), f"{side}_id")
+    return rows.withColumns({"relation": F.col("relation_type"), "relation_layer": F.coalesce("layer", F.lit("coverage")), "evidence": F.col("evidence_text"), "confidence": F.col("conf100") / 100.0})
+
+
+def _widened(g: Graph, top: DataFrame, *more: str) -> DataFrame:
+    """A top-k of placed facts with all columns of a search row.
+
+    Its rows, bounded by its limit, are held by the driver and pick what they need out of
+    the wide tables, which are scanned but not shuffled.
+    """
+    top = g.facts.sparkSession.createDataFrame(top.collect(), top.schema)
+
+    def looked_up(table: DataFrame, key: str) -> None:
+        nonlocal top
+        keys = F.broadcast(top.select(key).distinct())  # no more than the limit
+        top = top.join(table.join(keys, key, "left_semi"), key, "left")
+
+    looked_up(g.chunks.select(F.col("id").alias("chunk_id"), "text_preview", "text"), "chunk_id")
+    looked_up(g.documents.select(F.col("id").alias("document_id"), "title", "source_url"), "document_id")
+    known = F.col("document_id").isNotNull()
+    top = top.withColumns({"chunk_preview": F.when(known, F.col("text_preview")), "chunk_text": F.when(known, F.col("text"))})
+    concepts, none = _entity_concepts(g), F.array().cast("array<string>")
+    for side in ("source", "target"):
+        looked_up(_entity(g, side).drop(side), f"{side}_id")
+        looked_up(concepts.select(F.col("id").alias(f"{side}_id"), F.col("concepts").alias(f"{side}_concepts")), f"{side}_id")
+        top = top.withColumn(f"{side}_concepts", F.coalesce(f"{side}_concepts", none))
+    return top.select(*_ROW, "source_value", "source_context", "target_value", "target_context", "source_url", "source_concepts", "target_concepts", "matched_terms", "chunk_text", *more)
 
 
 def relation_search(g: Graph, terms: list[str], limit: int = 50, ticker: str = "") -> DataFrame:
     """Facts by keyword, insights first, then terms matched, then confidence; a ticker drops unsupported facts."""
-    return _search_rows(g, terms, ticker).orderBy(*_search_order()).limit(limit)
+    rows = _placed(g, _searched(g, terms))
+    if ticker:
+        rows = rows.filter(F.col("ticker") == ticker)
+    return _widened(g, rows.orderBy(*_search_order()).limit(limit)).orderBy(*_search_order())
 
 
 def balanced_relation_search(g: Graph, terms: list[str], limit: int = 50) -> DataFrame:
     """relation_search dealt round-robin over companies: each one's best, then each one's second, and so on."""
     bucket = F.coalesce("company", F.lit("Unknown"))
-    # ranks beyond the limit can't be returned, so each company's window keeps only the top
+    # ranks beyond the limit can't be returned, so each task keeps only the top of each company before rows are dealt out
     w = Window.partitionBy("bucket").orderBy(*_search_order())
-    rows = _search_rows(g, terms).withColumn("bucket", bucket).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-    return rows.orderBy("rank", "bucket").limit(limit).drop("bucket")
+    rows = _placed(g, _searched(g, terms)).withColumn("bucket", bucket).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    return _widened(g, rows.orderBy("rank", "bucket").limit(limit), "rank", "bucket").orderBy("rank", "bucket").drop("bucket")
+
+
+def _search_rows(g: Graph, terms: list[str]) -> DataFrame:
+    rows = _rows(g, _searched(g, terms))
+    return _shaped(_with_concepts(g, rows), "source_url", "source_concepts", "target_concepts", "matched_terms", "chunk_text")
 
 
 def relation_count(g: Graph, terms: list[str], ticker: str = "") -> DataFrame:
@@ -214,22 +252,19 @@ def relation_count(g: Graph, terms: list[str], ticker: str = "") -> DataFrame:
 
 def connected_nodes(g: Graph, terms: list[str], limit: int = 60, ticker: str = "", nodes_per_company: int = 3, chunks_per_node: int = 2) -> DataFrame:
     """The best connected entities of each company in the search's scope, with their first fact rows that have a text."""
-    facts = _searched(g, terms).filter("chunk_id is not null").withColumnRenamed("id", "fact_id")
-    ev = g.evidence()
+    facts = _placed(g, _searched(g, terms).filter("chunk_id is not null")).filter("company_id is not null")
     if ticker:
-        ev = ev.filter(F.col("ticker") == ticker)
-    ends = facts.join(ev.select("chunk_id", "company_id", "company", "ticker"), "chunk_id").select("company_id", "company", "ticker", "chunk_id", "fact_id", F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("id"))
-    degree = ends.groupBy("company_id", "company", "ticker", "id").agg(F.count_distinct("fact_id").alias("node_degree"), F.count_distinct("chunk_id").alias("evidence_count"))
-    nodes = degree.join(g.entities.select("id", F.col("name").alias("focus_node"), F.col("entity_type").alias("focus_node_type")), "id").filter(F.coalesce("focus_node_type", F.lit("")) != "Company")
-    top = Window.partitionBy("company_id").orderBy(desc("node_degree"), desc("evidence_count"), asc(F.lower("focus_node")), asc("id"))
-    nodes = nodes.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= nodes_per_company).select(F.col("company_id").alias("focus_company_id"), F.col("id").alias("focus_node_id"), "focus_node", "focus_node_type", "node_degree", "evidence_count")
-    at = _search_rows(g, terms, ticker).filter("chunk_id is not null")
-    companies = g.companies.select(F.col("id").alias("focus_company_id"), F.col("name").alias("company"))
-    at = at.join(companies, "company").withColumn("focus_node_id", F.explode(F.array_distinct(F.array("source_id", "target_id"))))
-    rows = nodes.join(at, ["focus_company_id", "focus_node_id"])
-    first = Window.partitionBy("focus_company_id", "focus_node_id").orderBy(desc(_insight(F.col("relation_layer"))), desc(F.coalesce("confidence", F.lit(0.0))), *map(asc, ["source", "relation", "target", "fact_id"]))
-    rows = rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= chunks_per_node).filter(F.coalesce("chunk_text", F.lit("")) != "")
-    return rows.orderBy(asc("company"), desc("node_degree"), desc("evidence_count"), *map(asc, ["source", "relation", "target", "focus_node_id", "fact_id"])).limit(limit).drop("rank", "focus_company_id")
+        facts = facts.filter(F.col("ticker") == ticker)
+    ends = facts.withColumn("focus_node_id", F.explode(F.array_distinct(F.array("source_id", "target_id"))))
+    key = ["company_id", "focus_node_id"]
+    degree = ends.groupBy(*key).agg(F.count_distinct("fact_id").alias("node_degree"), F.count_distinct("chunk_id").alias("evidence_count"))
+    nodes = degree.join(g.entities.select(F.col("id").alias("focus_node_id"), F.col("name").alias("focus_node"), F.col("entity_type").alias("focus_node_type")), "focus_node_id").filter(F.coalesce("focus_node_type", F.lit("")) != "Company")
+    top = Window.partitionBy("company_id").orderBy(desc("node_degree"), desc("evidence_count"), asc(F.lower("focus_node")), asc("focus_node_id"))
+    nodes = nodes.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= nodes_per_company).drop("rank")
+    first = Window.partitionBy(*key).orderBy(desc(_insight(F.col("relation_layer"))), desc(F.coalesce("confidence", F.lit(0.0))), *map(asc, ["source", "relation", "target", "fact_id"]))
+    rows = ends.join(nodes, key).withColumn("rank", F.row_number().over(first)).filter((F.col("rank") <= chunks_per_node) & F.col("has_text")).drop("rank")
+    order = [asc("company"), desc("node_degree"), desc("evidence_count"), *map(asc, ["source", "relation", "target", "focus_node_id", "fact_id"])]
+    return _widened(g, rows.orderBy(*order).limit(limit), "focus_node_id", "focus_node", "focus_node_type", "node_degree", "evidence_count").orderBy(*order)
 
 
 def graph_counts(g: Graph) -> DataFrame:
@@ -275,7 +310,7 @@ def frequent_entities(g: Graph, limit: int = 25) -> DataFrame:
     direct = g.mentions().join(company, "chunk_id", "left")
     d = direct.groupBy(F.col("entity_id").alias("id")).agg(F.count_distinct("chunk_id").alias("direct_chunk_mentions"), F.collect_set("company").alias("c1"))
     ends = g.facts.select(F.col("id").alias("fact_id"), "chunk_id", F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("id"))
-    f = ends.groupBy("id").agg(F.count(F.lit(1)).alias("relation_mentions"), F.count_distinct("chunk_id").alias("fact_chunks"))
+    f = ends.groupBy("id").agg(F.count_distinct("fact_id").alias("relation_mentions"), F.count_distinct("chunk_id").alias("fact_chunks"))
     e = g.entities.filter(F.coalesce("entity_type", F.lit("")) != "Company").select("id", F.col("name").alias("entity"), "entity_type")
     out = e.join(d, "id", "left").join(f, "id", "left").join(_entity_concepts(g), "id", "left")
     zero, none = F.lit(0), F.array().cast("array<string>")
@@ -398,8 +433,8 @@ def category_signals(g: Graph, category_terms: list[str], signal_terms: list[str
 
 
 def related_to(g: Graph) -> DataFrame:
-    """One edge for each (from, relation, to) with the confidence of the last fact by id."""
-    return g.facts.groupBy("from_id", "relation_type", "to_id").agg(F.max_by("conf100", "id").alias("conf100")).select("from_id", "relation_type", "to_id", (F.col("conf100") / 100.0).alias("latest_confidence"))
+    """One edge for each (from, relation, to) with the confidence of the last fact by id, the greater one of a repeated id."""
+    return g.facts.groupBy("from_id", "relation_type", "to_id").agg(F.max_by("conf100", F.struct("id", "conf100")).alias("conf100")).select("from_id", "relation_type", "to_id", (F.col("conf100") / 100.0).alias("latest_confidence"))
 
 
 def relation_rank(rows: DataFrame, terms: list[str], cli: bool = False) -> DataFrame:

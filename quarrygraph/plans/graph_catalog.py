@@ -196,7 +196,7 @@ ORACLE_SQL: dict[str, str] = {
         + CASE WHEN relation IN ('DRIVES', 'PRESSURES', 'CONVERTS_TO', 'GUIDES_TO', 'OFFSETS', 'INCREASES') THEN 2 ELSE 0 END + CASE WHEN relation_layer = 'insight' THEN 6 ELSE 0 END) AS insight_rank FROM r ORDER BY insight_rank, relevance DESC, fact_id LIMIT 100""",
     "relation_signal": PRELUDE + "SELECT CASE WHEN relation_type IN ('DRIVES', 'INCREASES', 'OFFSETS', 'GUIDES_TO', 'CONVERTS_TO') THEN 'support' WHEN relation_type IN ('PRESSURES', 'RISKS', 'CONSTRAINS', 'EXPOSED_TO', 'REDUCES', 'AFFECTS') THEN 'risk' ELSE 'neutral' END AS signal, count(*) AS facts FROM fact GROUP BY 1",
     "company_balanced_rows": _SHOWN + f"SELECT company, fact_id, rank FROM (SELECT company, fact_id, row_number() OVER (PARTITION BY company ORDER BY fact_id) AS rank FROM (SELECT * FROM shown ORDER BY {SEARCH_ORDER} LIMIT 200)) WHERE rank <= 3",
-    "related_to_projection": PRELUDE + "SELECT from_id, relation_type, to_id, arg_max_null(conf100, id) / 100.0 AS latest_confidence FROM fact GROUP BY ALL",
+    "related_to_projection": PRELUDE + "SELECT from_id, relation_type, to_id, conf100 / 100.0 AS latest_confidence FROM fact QUALIFY row_number() OVER (PARTITION BY from_id, relation_type, to_id ORDER BY id DESC, conf100 DESC NULLS LAST) = 1",
     "mentions_entity": PRELUDE + "SELECT DISTINCT chunk_id, node AS entity_id FROM ends WHERE chunk_id IS NOT NULL",
     "payload_nodes": _TOP400 + _NODES,
     "payload_edges": _TOP400 + _EDGES,

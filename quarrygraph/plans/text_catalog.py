@@ -44,7 +44,7 @@ def _packed(d: DataFrame) -> DataFrame:
 
 
 def _relation_cross(d: DataFrame) -> DataFrame:
-    rows = d.select("doc_id", F.posexplode(t.scope_relations(F.col("source"), F.col("text"), LEXICON)).alias("pos", "r"))
+    rows = t.scope_relations(d.select("doc_id", "source", "text"), F.col("source"), F.col("text"), LEXICON).select("doc_id", F.explode("relations").alias("r"))
     return rows.select("doc_id", "r.source", "r.relation", "r.target")
 
 
@@ -135,8 +135,7 @@ def _constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _relations_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = star_graph(spark, sf_dir)
     rows = g.facts.select("id", F.col("from_id").alias("source_entity_id"), "relation_type", F.col("to_id").alias("target_entity_id"), "evidence_text", F.col("conf100").alias("confidence"), "chunk_id", F.lit(None).cast("long").alias("scope_id"), F.xxhash64("id").alias("load_seq"))
-    keep = g.entities.filter("id % 7 <> 0")
-    f = loader.relation_tables(rows, keep, g.chunks)["relation_fact"]
+    f = loader.relation_tables(rows, g.entities, g.chunks)["relation_fact"]
     return f.select("id", "source_entity_id", "relation_type", "target_entity_id", "confidence", "support")
 
 
@@ -241,7 +240,7 @@ ORACLE_SQL: dict[str, str] = {
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM p) SELECT query_id, id, round(cosine, 6) AS cosine, rank FROM r WHERE rank <= 5""",
     "entity_upsert": """WITH p AS (SELECT user_id AS id, event_type, arg_max(value, event_id) AS v FROM events GROUP BY ALL), l AS (SELECT user_id AS id, arg_max(event_type, event_id) AS name, max(event_id) AS load_seq FROM events GROUP BY 1)
       SELECT l.id, name, load_seq, string_agg(event_type || '=' || CAST(v AS VARCHAR), '; ' ORDER BY event_type || '=' || CAST(v AS VARCHAR)) AS properties FROM l JOIN p USING (id) GROUP BY ALL""",
-    "relation_upsert": PRELUDE + "SELECT id, from_id AS source_entity_id, relation_type, to_id AS target_entity_id, conf100 AS confidence, chunk_id AS support FROM fact WHERE from_id % 7 <> 0 AND to_id % 7 <> 0",
+    "relation_upsert": PRELUDE + "SELECT fact.id, from_id AS source_entity_id, relation_type, to_id AS target_entity_id, conf100 AS confidence, chunk_id AS support FROM fact JOIN entity s ON from_id = s.id JOIN entity t ON to_id = t.id QUALIFY row_number() OVER (PARTITION BY fact.id ORDER BY relation_type DESC NULLS LAST, evidence_text DESC NULLS LAST, conf100 DESC NULLS LAST, chunk_id DESC NULLS LAST) = 1",
     "constraint_check": PRELUDE + " UNION ALL ".join(f"SELECT '{label}' AS label, (SELECT count(*) FROM (SELECT id FROM {cte} GROUP BY id HAVING count(*) > 1 OR id IS NULL)) AS violations" for label, cte in (("company", "company"), ("source_document", "doc"), ("chunk", "chunk"), ("entity", "entity"), ("relation_fact", "fact"), ("ontology_concept", "concept"), ("earnings_call", "call"))),
     "pending_chunks": PRELUDE + """, i AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY day, id) AS index FROM chunk) SELECT id, document_id, index, heading FROM i WHERE id % 3 = 0 OR id % 5 = 0 OR id % 7 = 0""",
     "embedding_coverage": "SELECT count(*) AS chunks, count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS embedded_chunks FROM orders",

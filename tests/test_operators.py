@@ -106,10 +106,21 @@ def test_manifests(spark, tmp_path):
         markup.read_manifest(spark, str(tmp_path / "c.json")).collect()
 
 
-def test_html():
-    assert markup.html_text("<p>One</p><script>x</script><p>Two &amp; three<br>go on.</p>") == "One Two & three go on."
-    assert markup.html_text(None) == ""
-    assert markup.normalise_text("JANE ROE:\n\nWe grew.\n\nPage 2\n\nMore.") == "JANE ROE: We grew.\n\nPage 2\n\nMore."
+def test_html(spark):
+    pages = spark.createDataFrame([(1, "<p>One</p><script>x</script><p>Two &amp; three<br>go on.</p>"), (2, None)], "page_id int, html string")
+    assert {r["page_id"]: r["text"] for r in markup.html_texts(pages).collect()} == {1: "One Two & three go on.", 2: ""}
+
+
+@pytest.mark.parametrize("text, want", [
+    ("JANE ROE:\n\nWe grew.\n\nPage 2\n\nMore.", ["JANE ROE: We grew.", "Page 2", "More."]),
+    ("a \n\n\n b.\n\nC d", ["a b.", "C d"]),
+    ("Ends here.\n\nand goes on\n\nStill going,\n\nto the end.", ["Ends here. and goes on Still going, to the end."]),
+    ("x" * 95 + "\n\nNext one.", ["x" * 95, "Next one."]),
+    ("Some words\n\nAnn Lee, CFO speaks.\n\nTHE END\n\nok", ["Some words", "Ann Lee, CFO speaks.", "THE END", "ok"]),
+    ("", []),
+])
+def test_layout(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(markup.layout_text(F.col("t")).alias("t")).first()["t"] == "\n\n".join(want)
 
 
 def test_links(spark):
