@@ -1,27 +1,71 @@
 """Benchmark decontamination: windows of benchmark words looked up in training texts, native functions only.
 
-The distinct word windows of the benchmark form a hash table.  Every training
-text is scanned window by window; a hash that is found is verified word by word.
+The distinct word windows of the benchmark form a hash table.  Each has a mark,
+the least hash of two neighbouring words.  Every training text is scanned pair by
+pair; the windows around a pair that may be a mark are looked up, and a hash that
+is found is verified word by word.
 No text crosses the network: only hits do, combined per document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ANY_WORD, WORD, ascii_lower, checkpoint, maybe_broadcast, table, words
+from .common import WORD, ascii_lower, checkpoint, maybe_broadcast, table, words
 
+#: Bytes of the filter of word pairs, at most, as it is part of the plan; a fuller filter costs time, not hits.
+FILTER_BYTES = 1 << 16
 #: Distinct benchmark windows (about 150 bytes each) that may be broadcast; above it the join shuffles.
 BROADCAST_WINDOWS = 500_000
 WINDOW = 10
 
 
-def _over_windows(tokens: Column, n: int, kind: str, of: Callable[[Column], Column]) -> Column:
-    """``of`` each window of ``n`` tokens, or none."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: of(F.slice(tokens, i, n)))).otherwise(F.array().cast(kind))
+def _windows(tokens: Column, starts: Column, n: int) -> Column:
+    """array<struct<pos, words>>: the windows of ``n`` tokens at ``starts``."""
+    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.slice(tokens, i + 1, n).alias("words")))
+
+
+def _pair(tokens: Column, i: Column) -> Column:
+    return F.xxhash64(F.get(tokens, i), F.get(tokens, i + 1))
+
+
+def _marks(tokens: Column, n: int) -> Column:
+    """The mark of a window: the least hash of its neighbouring words; of one word, its own."""
+    return F.xxhash64(F.get(tokens, F.lit(0))) if n == 1 else F.array_min(F.transform(F.sequence(F.lit(0), F.lit(n - 2)), lambda i: _pair(tokens, i)))
+
+
+def _filter(wins: DataFrame, lengths: list[int]) -> bytes:
+    """A byte for each slot of the windows' marks; bounded by FILTER_BYTES."""
+    marks = None
+    for n in lengths:
+        one = wins.filter(F.col("n") == n).select(_marks(F.col("win"), n).alias("mark"))
+        marks = one if marks is None else marks.unionByName(one)
+    marks = marks.distinct()
+    slots = min(FILTER_BYTES, max(1 << 10, 1 << (16 * marks.count()).bit_length()))
+    out = bytearray(slots)
+    for r in marks.select(F.col("mark").bitwiseAND(F.lit(slots - 1)).alias("slot")).distinct().collect():
+        out[r["slot"]] = 1
+    return bytes(out)
+
+
+def _starts(tokens: Column, lengths: list[int], marked: bytes) -> dict[int, Column]:
+    """By length, where the windows of a text start that may have a mark of the filter."""
+    size = F.size(tokens)
+    hit = lambda h: F.substring(F.lit(bytearray(marked)), h.bitwiseAND(F.lit(len(marked) - 1)).cast("int") + 1, 1) == F.lit(bytearray(b"\1"))
+    none = F.array().cast("array<int>")
+    at = {}
+    if 1 in lengths:
+        at[1] = F.when(size >= 1, F.filter(F.sequence(F.lit(0), size - 1), lambda i: hit(F.xxhash64(F.get(tokens, i))))).otherwise(none)
+    if max(lengths) > 1:
+        at[2] = F.when(size >= 2, F.filter(F.sequence(F.lit(0), size - 2), lambda i: hit(_pair(tokens, i)))).otherwise(none)
+    return at
+
+
+def _around(pairs: Column, size: Column, n: int) -> Column:
+    """Where the windows of ``n`` words start that hold one of the pairs."""
+    each = F.transform(pairs, lambda p: F.sequence(F.greatest(p - (n - 2), F.lit(0)), F.least(p, size - n)))
+    return F.when(size >= n, F.array_distinct(F.flatten(each))).otherwise(F.array().cast("array<int>"))
 
 
 def benchmark_windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -30,7 +74,7 @@ def benchmark_windows(bench: DataFrame, id_col: str = "item_id", text_col: str =
     An item of fewer words than ``window``, but not none, is one window.
     """
     b = bench.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).filter("size(w) > 0")
-    wins = F.when(F.size("w") < window, F.array(F.col("w"))).otherwise(_over_windows(F.col("w"), window, "array<array<string>>", lambda win: win))
+    wins = F.when(F.size("w") < window, F.array(F.col("w"))).otherwise(F.transform(F.sequence(F.lit(1), F.size("w") - window + 1), lambda i: F.slice("w", i, window)))
     b = b.select("item", F.explode(wins).alias("win"))
     return b.groupBy("win").agg(F.collect_set("item").alias("items")).select(F.xxhash64("win").alias("h"), F.size("win").alias("n"), "win", "items")
 
@@ -42,21 +86,24 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     told apart by their text; an empty benchmark hits nothing.
     """
     wins = checkpoint(benchmark_windows(bench, item_col, item_text, window))
-    lengths = [r["n"] for r in wins.select("n").distinct().collect()]  # at most `window` values
+    lengths = sorted(r["n"] for r in wins.select("n").distinct().collect())  # at most `window` values
+    marked = _filter(wins, lengths) if lengths else b""
     wins = maybe_broadcast(wins.select("h", "win", "items"), wins.count(), BROADCAST_WINDOWS)
     base = docs.select(F.col(id_col).alias("_qg_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_qg_text"))
     keyed = base.select("_qg_id", F.xxhash64("_qg_text").alias("_qg_th"), F.char_length("_qg_text").alias("_qg_n"), "_qg_text")
-    light = keyed.select("_qg_id", "_qg_th", "_qg_n", F.regexp_count("_qg_text", F.lit(ANY_WORD)).cast("long").alias("n_words"))
+    light = keyed.select("_qg_id", "_qg_th", "_qg_n", F.size(words(F.col("_qg_text"))).cast("long").alias("n_words"))
     tokens = keyed.select("_qg_id", "_qg_th", "_qg_n", words(F.col("_qg_text")).alias("w"))
-    found = None
-    for n in sorted(lengths):
-        hashes = _over_windows(F.col("w"), n, "array<bigint>", F.xxhash64)
-        one = tokens.select("_qg_id", "_qg_th", "_qg_n", "w", F.posexplode(hashes).alias("pos", "h"))
-        one = one.join(wins, (one["h"] == wins["h"]) & (F.slice("w", one["pos"] + 1, n) == wins["win"])).select("_qg_id", "_qg_th", "_qg_n", F.struct(F.col("pos").alias("a"), (F.col("pos") + n).alias("b")).alias("span"), "items")
-        found = one if found is None else found.unionByName(one)
     none = F.array().cast("array<struct<a:int,b:int>>")
-    if found is None:
+    if not lengths:
         return light.select(F.col("_qg_id").alias(id_col), F.col("_qg_th").alias("text_hash"), "n_words", none.alias("spans"), F.array().cast("array<string>").alias("items"))
+    # windows that share no pair of neighbouring words with a benchmark window's mark can't be hits; the others become
+    # rows, with their position and their words only, and are looked up and verified word by word
+    marks = _starts(F.col("w"), lengths, marked)
+    tokens = tokens.withColumns({f"_qg_at{k}": c for k, c in marks.items()})  # no filter here: pushed down, it would split each text once a pair
+    starts = {n: F.col("_qg_at1") if n == 1 else _around(F.col("_qg_at2"), F.size("w"), n) for n in lengths}
+    windows = tokens.select("_qg_id", "_qg_th", "_qg_n", F.inline(F.concat(*[_windows(F.col("w"), starts[n], n) for n in lengths]))).withColumn("h", F.xxhash64("words"))
+    found = windows.join(wins, (windows["h"] == wins["h"]) & (windows["words"] == wins["win"]))
+    found = found.select("_qg_id", "_qg_th", "_qg_n", F.struct(F.col("pos").alias("a"), (F.col("pos") + F.size("win")).alias("b")).alias("span"), "items")
     merged = F.aggregate(
         F.array_sort(F.collect_set("span")),
         none,
@@ -113,6 +160,7 @@ def _offset(gaps: Column, ends: str, word: Column) -> Column:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words of every whole text; null has no words, repeated rows are hit alike, an empty table gives no rows."""
     found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["b"] - s["a"])
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
