@@ -1,4 +1,4 @@
-"""Command line: sync, load, ask, key-nodes, explain-node, audit.
+"""Command line: ingest-markdown, sync, load (load-extracted), reset, embed, ask, tool, key-nodes, explain-node, audit.
 
 A loaded graph is a folder of Parquet tables with the names of ``Graph``'s fields.
 """
@@ -8,47 +8,89 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from importlib import import_module
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import plugins
 from .functions.expressions import preview, short_hash, slug
-from .operators import audit, graph_queries, loader, text_graph
-from .operators.answers import answer
+from .operators import agent, audit, embeddings, graph_queries, loader, model_ingest, text_graph
+from .operators.answers import answer, node_explanation
 from .operators.questions import query_terms
 from .sources import graph_json, markup, vocabulary
 from .sources.star import Graph
 
 TABLES = ("companies", "documents", "calls", "chunks", "entities", "facts", "concepts", "maps_to", "schema_edges")
+KEYED = ("companies", "documents", "calls", "chunks", "entities", "facts", "concepts")
+
+
+def _files(spark: SparkSession, path: str):
+    """(file system, Hadoop path) of a path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def open_graph(spark: SparkSession, path: str) -> Graph:
     return Graph(**{t: spark.read.parquet(f"{path}/{t}") for t in TABLES})
 
 
-def load_graph(spark: SparkSession, exports: DataFrame, path: str, ontology: str | None = None) -> None:
-    """Extracted graphs into a graph folder, all tables at once; a rerun writes the same."""
+def reset_graph(spark: SparkSession, path: str) -> None:
+    """Delete a graph folder's tables; other files in it stay."""
+    for name in (*TABLES, "extraction_runs"):
+        fs, p = _files(spark, f"{path}/{name}")
+        fs.delete(p, True)
+
+
+def load_graph(spark: SparkSession, exports: DataFrame, path: str, ontology: str | None = None, reset: bool = False) -> None:
+    """Extracted graphs into a graph folder, over what it holds; with ``reset`` it is emptied first.
+
+    What is loaded again replaces its rows, and nothing else changes: an entity keeps a value or context
+    that the new load doesn't have, and facts may end at entities loaded before.  Concepts, their edges and the
+    entities' concepts are made anew.  All tables are written and their keys checked before any is replaced.
+    """
+    fs, root = _files(spark, f"{path}/facts")
+    old = vars(open_graph(spark, path)) if fs.exists(root) and not reset else {}
     rows = graph_json.graph_rows(exports)
     d = loader.document_tables(rows["documents"])
-    entities = loader.entity_table(rows["entities"]).cache()
-    chunks = loader.chunk_table(rows["chunks"]).cache()
-    r = loader.relation_tables(rows["relations"].withColumn("chunk_id", F.lit(None).cast("string")), entities, chunks)
+    doc = d["source_document"]
+    entities = loader.entity_table(rows["entities"]).select("id", "name", "canonical_name", "entity_type", "value", "context")
+    entities = loader.merged(old.get("entities"), entities, "id", ("value", "context"))
+    chunks = loader.chunk_table(rows["chunks"])
+    chunks = chunks.join(doc.select(F.col("id").alias("document_id"), "call_id"), "document_id", "left").withColumn("day", F.lpad(F.col("index").cast("string"), 9, "0"))
+    chunks = loader.merged(old.get("chunks"), chunks, "id")
+    relations = rows["relations"].withColumns({"chunk_id": F.lit(None).cast("string"), "layer": F.col("properties")["layer"]})
+    facts = loader.relation_tables(relations, entities, chunks)["relation_fact"]
+    facts = facts.select("id", F.col("source_entity_id").alias("from_id"), F.col("target_entity_id").alias("to_id"), "relation_type", "layer", F.round(F.col("confidence") * 100).cast("long").alias("conf100"), "evidence_text", F.col("support").alias("chunk_id"))
     concepts, aliases, edges = vocabulary.tables(spark, ontology)
     candidates = entities.select("id", "entity_type", F.array("name", "canonical_name", "context", "value").alias("candidates"))
-    doc = d["source_document"]
     tables = {
-        "companies": d["company"].select("id", "name", "ticker", "sector"),
-        "documents": doc.select("id", "title", "source_url", "company_id"),
-        "calls": d["earnings_call"].select("id", "company_id", "fiscal_quarter", "call_date"),
-        "chunks": chunks.join(doc.select(F.col("id").alias("document_id"), "call_id"), "document_id", "left").withColumn("day", F.lpad(F.col("index").cast("string"), 9, "0")),
-        "entities": entities.select("id", "name", "canonical_name", "entity_type", "value", "context"),
-        "facts": r["relation_fact"].select("id", F.col("source_entity_id").alias("from_id"), F.col("target_entity_id").alias("to_id"), "relation_type", F.lit(None).cast("string").alias("layer"), F.round(F.col("confidence") * 100).cast("long").alias("conf100"), "evidence_text", F.col("support").alias("chunk_id")),
+        "companies": loader.merged(old.get("companies"), d["company"].select("id", "name", "ticker", "sector"), "id"),
+        "documents": loader.merged(old.get("documents"), doc.select("id", "title", "source_url", "company_id"), "id"),
+        "calls": loader.merged(old.get("calls"), d["earnings_call"].select("id", "company_id", "fiscal_quarter", "call_date"), "id"),
+        "chunks": chunks,
+        "entities": entities,
+        "facts": loader.merged(old.get("facts"), facts, "id"),
         "concepts": concepts,
         "maps_to": text_graph.resolve_concepts(candidates, aliases).select("entity_id", "concept_id", F.round(F.col("confidence") * 100).cast("int").alias("conf100")),
         "schema_edges": loader.schema_edges(edges, concepts).select("source_id", "relation_type", "target_id"),
+        "extraction_runs": loader.extraction_runs(exports),
     }
+    if old and _files(spark, f"{path}/extraction_runs")[0].exists(_files(spark, f"{path}/extraction_runs")[1]):
+        tables["extraction_runs"] = loader.merged(spark.read.parquet(f"{path}/extraction_runs"), tables["extraction_runs"], "id")
+    staged = f"{path}/_next-{uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.parquet(f"{staged}/{name}")
+    try:
+        loader.require_keys({t: spark.read.parquet(f"{staged}/{t}") for t in KEYED})
+        for name in tables:
+            fs, target = _files(spark, f"{path}/{name}")
+            fs.delete(target, True)
+            fs.rename(_files(spark, f"{staged}/{name}")[1], target)
+    finally:
+        fs, folder = _files(spark, staged)
+        fs.delete(folder, True)
 
 
 def ask(g: Graph, question: str, limit: int = 12) -> dict:
@@ -57,8 +99,42 @@ def ask(g: Graph, question: str, limit: int = 12) -> dict:
 
 
 def explain_node(g: Graph, node_id, limit: int = 12) -> dict:
-    rows = graph_queries.node_context(g, node_id, limit)
-    return answer(rows, []).first().asDict()
+    name = g.entities.filter(F.col("id") == node_id).select("name").first()
+    return node_explanation(graph_queries.node_context(g, node_id, limit), name["name"] if name else str(node_id))
+
+
+def ingest_file(spark: SparkSession, path: str, out: str, company: str, quarter: str, **more: str) -> int:
+    """One Markdown file to an exported graph; ``more``: other keys of a manifest entry, as ticker."""
+    folder, _, name = path.rpartition("/")
+    entry = {"filename": name, "company": company, "quarter": quarter, **{k: v for k, v in more.items() if v}}
+    manifest = markup.manifest_entries(spark.createDataFrame([(entry,)], "m map<string,string>"))
+    return sync(spark, folder or ".", manifest, out, name, any_source=True)
+
+
+def embed_chunks(spark: SparkSession, path: str, function, model: str, dimensions: int, force: bool = False, limit: int | None = None) -> dict:
+    """Vectors of the graph's chunks that have none of this model and size, stored beside its tables; returns the coverage."""
+    g = open_graph(spark, path)
+    fs, at = _files(spark, f"{path}/embeddings")
+    schema = "chunk_id string, embedding array<double>, embedding_model string, embedding_dimensions int, embedding_created_at string"
+    stored = spark.read.parquet(f"{path}/embeddings") if fs.exists(at) else spark.createDataFrame([], schema)
+    todo = embeddings.pending(g.chunks.withColumn("index", F.col("day").cast("int")), stored, model, dimensions, force, limit)
+    docs = g.documents.select(F.col("id").alias("document_id"), "title", "company_id").join(g.companies.select(F.col("id").alias("company_id"), F.col("name").alias("company"), "ticker"), "company_id", "left")
+    texts = todo.select("id", "document_id", "heading", "text").join(docs, "document_id", "left")
+    texts = texts.select(F.col("id").alias("chunk_id"), embeddings.embedding_text(F.col("ticker"), F.col("company"), F.substring("title", 1, 512), F.col("heading"), F.col("text")).alias("embedding_text"))
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    new = embeddings.embed(texts, function, dimensions).select("chunk_id", "embedding", F.lit(model).alias("embedding_model"), "embedding_dimensions", now.alias("embedding_created_at"))
+    staged = f"{path}/_next-{uuid4().hex}"
+    embeddings.store(stored, new.persist()).write.parquet(staged)
+    fs.delete(at, True)
+    fs.rename(_files(spark, staged)[1], at)
+    embeddings.declare_index(spark, f"{path}/indexes", "chunk-vectors", dimensions)
+    return embeddings.coverage(g.chunks, spark.read.parquet(f"{path}/embeddings")).first().asDict()
+
+
+def model_graphs(spark: SparkSession, docs: DataFrame, model, mode: str = "batch", seed_themes: list[str] = []) -> dict[str, DataFrame]:  # noqa: B006
+    """Markdown documents (document_id, company, quarter, source_url, markdown) to chunks, entities, relations and summaries by a language model."""
+    chunks = text_graph.chunk_documents(docs)
+    return {"chunks": chunks, **model_ingest.extract(docs, chunks, model, mode, seed_themes)}
 
 
 def ingest(spark: SparkSession, docs: DataFrame, lexicon: text_graph.Lexicon | None = None) -> dict[str, DataFrame]:
@@ -93,7 +169,7 @@ def sync(spark: SparkSession, folder: str, manifest: DataFrame, out: str, patter
             rows = rows.join(done.select(F.col("document.id").alias("document_id")), "document_id", "left_anti")
     rows = rows.orderBy("filename").limit(limit) if limit else rows
     made = ingest(spark, rows, lexicon)
-    chunk = F.struct("id", "document_id", "index", "chunk_type", "heading", "text", "start_line", "end_line", "text_hash")
+    chunk = F.struct("id", "document_id", "index", "chunk_type", "heading", "text", "start_line", "end_line", F.col("speaker").alias("speaker_name"), F.col("title").alias("speaker_title"), "text_hash")
     chunks = made["chunks"].groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("index", chunk.alias("c")))).alias("c")).select("document_id", F.transform("c", lambda x: x["c"]).alias("chunks"))
     scope = made["chunks"].select(F.col("id").alias("scope"), "document_id")
     ent = made["entities"].join(scope, "scope").select("document_id", "id", "name", F.col("type").alias("entity_type")).distinct()
@@ -110,7 +186,10 @@ def sync(spark: SparkSession, folder: str, manifest: DataFrame, out: str, patter
     one = F.struct("id", "source_entity_id", F.col("relation").alias("relation_type"), "target_entity_id", F.col("scope").alias("scope_id"), preview(F.col("text"), 260).alias("evidence_text"), F.lit(0.7).alias("confidence"))
     relations = rel.groupBy("document_id").agg(F.array_sort(F.collect_list(one)).alias("relations"))
     doc = F.struct(F.col("document_id").alias("id"), F.col("filename").alias("title"), "company_id", F.col("company").alias("company_name"), "ticker", "sector", F.col("quarter").alias("fiscal_quarter"), F.when(F.col("call_id") == "", slug(F.concat_ws("-", "company", "quarter"))).otherwise(F.col("call_id")).alias("call_id"), "call_date", "source_url", F.col("source_type").alias("source_kind"), F.col("filename").alias("markdown_path"))
-    graphs = rows.select("document_id", doc.alias("document")).join(chunks, "document_id", "left").join(entities, "document_id", "left").join(relations, "document_id", "left").drop("document_id")
+    at = made["chunks"].select(F.col("id").alias("scope"), F.col("index").alias("seq"))
+    named = made["entities"].join(scope.join(at, "scope"), "scope").select("document_id", "id", "name", F.col("type").alias("entity_type"), "seq").unionByName(firm.withColumn("seq", F.lit(0)))
+    overview = text_graph.overviews(rows.select("document_id", "company", "quarter"), made["chunks"], named, rel.select("document_id", "id"))
+    graphs = rows.select("document_id", doc.alias("document")).join(overview, "document_id", "left").join(chunks, "document_id", "left").join(entities, "document_id", "left").join(relations, "document_id", "left").drop("document_id")
     before = 0 if (done := _exports(spark, out)) is None else done.count()
     graphs.write.mode("overwrite" if force else "append").json(out)
     return _exports(spark, out).count() - (0 if force else before)
@@ -127,9 +206,30 @@ def _exports(spark: SparkSession, path: str) -> DataFrame | None:
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quarrygraph")
     commands = parser.add_subparsers(dest="command", required=True)
-    c = commands.add_parser("load")
-    c.add_argument("exports")
-    c.add_argument("--pattern", default="*graph.json")
+    for name in ("load", "load-extracted"):
+        c = commands.add_parser(name)
+        c.add_argument("exports")
+        c.add_argument("--pattern", default="*graph.json")
+        c.add_argument("--ontology")
+        c.add_argument("--reset", action="store_true")
+    commands.add_parser("reset")
+    c = commands.add_parser("ingest-markdown")
+    c.add_argument("file")
+    c.add_argument("--company", required=True)
+    c.add_argument("--quarter", required=True)
+    c.add_argument("--ticker", default="")
+    c.add_argument("--source-url", default="")
+    c.add_argument("--out", default="exports")
+    c = commands.add_parser("embed")
+    c.add_argument("--function", default="", help="module:name of a function from texts to vectors; a stand-in without")
+    c.add_argument("--model", default="stand-in")
+    c.add_argument("--dimensions", type=int, default=768)
+    c.add_argument("--limit", type=int)
+    c.add_argument("--force", action="store_true")
+    c = commands.add_parser("tool")
+    c.add_argument("question")
+    c.add_argument("--tool", choices=sorted(agent.TOOLS))
+    c.add_argument("--limit", type=int, default=50)
     c = commands.add_parser("sync")
     c.add_argument("folder")
     c.add_argument("manifest")
@@ -153,8 +253,16 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--graph", default="graph")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("quarrygraph").getOrCreate()
-    if args.command == "load":
-        load_graph(spark, graph_json.read_graphs(spark, args.exports, args.pattern), args.graph)
+    if args.command in ("load", "load-extracted"):
+        load_graph(spark, graph_json.read_graphs(spark, args.exports, args.pattern), args.graph, args.ontology, args.reset)
+    elif args.command == "reset":
+        reset_graph(spark, args.graph)
+    elif args.command == "ingest-markdown":
+        print(json.dumps({"exported": ingest_file(spark, args.file, args.out, args.company, args.quarter, ticker=args.ticker, source_url=args.source_url)}))
+    elif args.command == "embed":
+        module, _, name = args.function.partition(":")
+        function = getattr(import_module(module), name) if name else plugins.hashed_vector(args.dimensions)
+        print(json.dumps(embed_chunks(spark, args.graph, function, args.model, args.dimensions, args.force, args.limit)))
     elif args.command == "sync":
         n = sync(spark, args.folder, markup.read_manifest(spark, args.manifest), args.out, args.pattern, args.limit, args.force, args.any_source)
         print(json.dumps({"exported": n}))
@@ -169,6 +277,8 @@ def main(argv: list[str] | None = None) -> int:
         g = open_graph(spark, args.graph)
         if args.command == "ask":
             print(json.dumps(ask(g, args.question, args.limit), ensure_ascii=False))
+        elif args.command == "tool":
+            print(agent.respond(g, args.question, args.tool, limit=args.limit))
         elif args.command == "explain-node":
             print(json.dumps(explain_node(g, args.node_id, args.limit), ensure_ascii=False))
         else:

@@ -105,3 +105,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         return spark.createDataFrame([], "query_id bigint, id bigint, cosine double, rank int")
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def declare_index(spark, path: str, name: str, dimensions: int) -> None:
+    """Note a cosine index over the stored vectors; a search is exact, so there is nothing to build."""
+    row = [(name, safe_dimensions(dimensions), "cosine")]
+    spark.createDataFrame(row, "name string, dimensions int, similarity string").coalesce(1).write.mode("overwrite").json(f"{path}/{name}")

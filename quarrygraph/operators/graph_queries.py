@@ -409,12 +409,16 @@ def concept_chunks(g: Graph, concept_id: int, limit: int = 20, ticker: str = "")
     return best.join(indexed, "chunk_id", "left").select("concept_id", "chunk_id", "chunk_index", "chunk_text", "document_id", "company", "ticker", "matched_entities", "relation_types", "relation_count")
 
 
-def _agent_rows(g: Graph) -> DataFrame:
-    rows = _search_rows(g, []).filter(F.coalesce("evidence", F.lit("")) != "")
+def with_paths(rows: DataFrame) -> DataFrame:
+    """Search rows with the path and the text that an answer shows."""
     path = F.concat(F.coalesce("source", F.lit("")), F.lit(" -"), "relation", F.lit("-> "), F.coalesce("target", F.lit("")))
     return rows.withColumn("graph_reasoning_path", path).withColumn("referenced_chunk", F.coalesce("chunk_text", "evidence"))
 
 
+def _agent_rows(g: Graph) -> DataFrame:
+    return with_paths(_search_rows(g, []).filter(F.coalesce("evidence", F.lit("")) != ""))
+
+
 def company_deep_dive(g: Graph, company_terms: list[str], topic_terms: list[str], limit: int = 25) -> DataFrame:
     """One company's facts on a topic, by confidence."""
     who = F.lower(F.concat_ws("\x01", "company", "ticker"))

@@ -83,7 +83,8 @@ def relation_tables(rows: DataFrame, entities: DataFrame, chunks: DataFrame, ord
     for name in ("chunk_id", "scope_id"):
         f = f.join(c.select(F.col("id").alias(f"_{name}")), F.col(name) == F.col(f"_{name}"), "left")
     f = f.withColumn("support", F.coalesce("_chunk_id", "_scope_id")).drop("_chunk_id", "_scope_id")
-    facts = upsert(None, f.select("id", "source_entity_id", "relation_type", "target_entity_id", "evidence_text", "confidence", "support", order), "id", order)
+    layer = ["layer"] if "layer" in f.columns else []
+    facts = upsert(None, f.select("id", "source_entity_id", "relation_type", "target_entity_id", "evidence_text", "confidence", "support", *layer, order), "id", order)
     related = f.groupBy("source_entity_id", "relation_type", "target_entity_id").agg(F.max_by("confidence", F.struct(order, "id")).alias("latest_confidence"))
     mentions = f.filter("support is not null").select(F.col("support").alias("chunk_id"), F.explode(F.array("source_entity_id", "target_entity_id")).alias("entity_id")).distinct()
     return {"relation_fact": facts, "related_to": related, "mentions_entity": mentions}
@@ -105,3 +106,29 @@ def violations(table: DataFrame, key: str) -> DataFrame:
 def only_new(found: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What isn't there yet: the rows whose key has no output."""
     return found.join(done.select(key), key, "left_anti")
+
+
+def extraction_runs(graphs: DataFrame, extractor: str = "quarrygraph") -> DataFrame:
+    """One run a loaded document, with how much it gave."""
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return graphs.select(
+        F.concat(F.col("document.id"), F.lit("-extraction-run")).alias("id"), F.col("document.id").alias("document_id"), F.lit(extractor).alias("extractor"),
+        n("entities").alias("entity_count"), n("relations").alias("relation_count"), n("chunks").alias("chunk_count"), "load_seq",
+    )
+
+
+def merged(old: DataFrame | None, new: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``new`` rows over ``old`` ones by key; columns in ``keep`` hold on to the old value where the new one is null."""
+    if old is None:
+        return new
+    if keep:
+        before = old.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in keep])
+        new = new.join(before, new[key] == before["_key"], "left").withColumns({c: F.coalesce(c, f"_{c}") for c in keep}).drop("_key", *[f"_{c}" for c in keep])
+    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def require_keys(tables: dict[str, DataFrame], key: str = "id") -> None:
+    """An error that names the tables with null or repeated keys."""
+    bad = [name for name, df in tables.items() if not violations(df, key).isEmpty()]
+    if bad:
+        raise ValueError(f"keys are null or repeated in {', '.join(bad)}")

@@ -64,3 +64,45 @@ def edge_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.select("id", "label")
     out = edges.join(n.select(F.col("id").alias("source"), F.col("label").alias("source_label")), "source", "left")
     return out.join(n.select(F.col("id").alias("target"), F.col("label").alias("target_label")), "target", "left")
+
+
+HIERARCHY = ("IS_A", "PART_OF")
+
+
+def ontology_payload(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of concept relations (source_id, relation, target_id, source, target, relation_layer)."""
+    ends = [rows.select(F.col(f"{s}_id").alias("id"), F.col(s).alias("label")) for s in ("source", "target")]
+    nodes = ends[0].unionByName(ends[1]).groupBy("id").agg(F.max("label").alias("label")).withColumn("type", F.lit("OntologyConcept"))
+    name = F.concat(F.lit("ontology-"), F.col("source_id").cast("string"), F.lit("-"), "relation", F.lit("-"), F.col("target_id").cast("string"))
+    edges = rows.groupBy("source_id", "relation", "target_id").agg(F.max("relation_layer").alias("layer"))
+    return nodes, edges.select(name.alias("id"), F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.col("relation").alias("label"), "layer")
+
+
+def drawn(nodes: DataFrame, edges: DataFrame, most: int = 120, hierarchical: bool = False, least_degree: int = 1) -> tuple[DataFrame, DataFrame]:
+    """What a drawing shows: the first ``most`` edges by id between nodes of enough degree, sized nodes.
+
+    A hierarchical drawing keeps the schema's IS_A and PART_OF edges and their nodes, if there are any.
+    """
+    nodes, edges = min_degree(nodes, edges, least_degree)
+    edges = edges.orderBy("source", "label", "target", "id").limit(most)
+    if hierarchical:
+        schema = edges.filter((F.col("layer") == "ontology_schema") & F.col("label").isin(*HIERARCHY))
+        if not schema.isEmpty():  # at most ``most`` edges
+            edges = schema
+            ends = schema.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+            nodes = nodes.join(ends, "id", "left_semi")
+    degree = edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    nodes = nodes.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return nodes.withColumn("size", display_size()), edges
+
+
+def concept_choices(rows: DataFrame) -> DataFrame:
+    """(label, id) to choose a concept by."""
+    kept = rows.filter(F.col("concept_id").isNotNull() & (F.coalesce("name", F.lit("")) != ""))
+    return kept.select(F.format_string("%s (%s) \u00b7 %s mapped", F.col("name"), F.col("concept_type"), F.coalesce("mapped_entities", F.lit(0)).cast("string")).alias("label"), F.col("concept_id").cast("string").alias("id"))
+
+
+def node_choices(rows: DataFrame) -> DataFrame:
+    """(label, id) to choose a node by."""
+    kept = rows.filter(F.col("node_id").isNotNull() & (F.coalesce("name", F.lit("")) != ""))
+    return kept.select(F.format_string("%s (%s)", F.col("name"), F.coalesce("entity_type", F.lit("Entity"))).alias("label"), F.col("node_id").alias("id"))

@@ -11,11 +11,11 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RESPONSE_SCHEMA = (
-    "document_summary string, entities array<struct<name:string, entity_type:string, aliases:array<string>, confidence:double>>, "
+    "document_summary string, themes array<string>, entities array<struct<name:string, entity_type:string, aliases:array<string>, confidence:double>>, "
     "relations array<struct<source_entity:string, relation_type:string, target_entity:string, scope_id:string, evidence_text:string, confidence:double>>"
 )
 RETRY_STATUS = (429, 500, 502, 503, 504)
@@ -56,10 +56,6 @@ def hashed_vector(dimensions: int = 16) -> Callable[[list[str]], list[list[float
     return run
 
 
-def chunk_prompt(company: Column, chunk_id: Column, text: Column) -> Column:
-    return F.concat(F.lit("Extract entities and relations as JSON.\nCompany: "), company, F.lit("\nChunk "), chunk_id, F.lit(":\n"), text)
-
-
 def ask_model(prompts: DataFrame, call: Callable[[str], str], prompt_col: str = "prompt") -> DataFrame:
     """Add the model's answers, parsed; an answer that isn't such JSON gives null."""
 
@@ -68,17 +64,3 @@ def ask_model(prompts: DataFrame, call: Callable[[str], str], prompt_col: str =
         return p.map(call)
 
     return prompts.withColumn("response", F.from_json(run(prompt_col), RESPONSE_SCHEMA))
-
-
-def response_rows(responses: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(entities, relations) of parsed answers; a relation's ends resolve by alias first, then by normalised name."""
-    from .functions.expressions import norm, slug
-
-    e = responses.select(key, F.inline("response.entities"))
-    e = e.withColumn("id", F.concat(F.lit("entity-"), F.lower("entity_type"), F.lit("-"), slug(F.col("name"))))
-    alias = e.select(key, "id", F.explode(F.coalesce("aliases", F.array().cast("array<string>"))).alias("a")).select(key, norm(F.col("a")).alias("n"), F.lit(0).alias("p"), "id")
-    names = alias.unionByName(e.select(key, norm(F.col("name")).alias("n"), F.lit(1).alias("p"), "id")).groupBy(key, "n").agg(F.min(F.struct("p", "id")).alias("m")).select(key, "n", F.col("m.id").alias("id"))
-    r = responses.select(key, F.inline("response.relations"))
-    for side in ("source", "target"):
-        r = r.withColumn("n", norm(F.col(f"{side}_entity"))).join(names.withColumnRenamed("id", f"{side}_entity_id"), [key, "n"]).drop("n")
-    return e, r

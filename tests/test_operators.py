@@ -165,14 +165,6 @@ def test_retries():
         plugins.with_retries(lambda p: (_ for _ in ()).throw(plugins.ModelError("no", 400)))("p")
 
 
-def test_model_answers(spark):
-    answer = json.dumps({"entities": [{"name": "AI demand", "entity_type": "Theme", "aliases": ["demand for AI"]}, {"name": "Revenue", "entity_type": "Metric"}], "relations": [{"source_entity": "Demand for AI", "relation_type": "DRIVES", "target_entity": "revenue"}, {"source_entity": "nobody", "relation_type": "DRIVES", "target_entity": "revenue"}]})
-    prompts = spark.createDataFrame([("d", "p")], "document_id string, prompt string")
-    e, r = plugins.response_rows(plugins.ask_model(prompts, lambda p: answer), "document_id")
-    assert e.count() == 2
-    assert [(x["source_entity_id"], x["target_entity_id"]) for x in r.collect()] == [("entity-theme-ai-demand", "entity-metric-revenue")]
-
-
 def graph_file(folder, name, **more):
     doc = {"id": f"doc-{name}", "title": "Q1 call transcript", "company_id": "acme", "company_name": "Acme", "ticker": "ACM", "fiscal_quarter": "FY2026 Q1", "call_id": f"call-{name}", "source_url": "https://x.example/earnings"}
     c = {"id": f"c-{name}", "document_id": doc["id"], "index": 1, "heading": "h", "text": "AI demand lifts revenue."}
