@@ -93,6 +93,19 @@ def load_graph(spark: SparkSession, exports: DataFrame, path: str, ontology: str
         fs.delete(folder, True)
 
 
+def refresh_concepts(spark: SparkSession, path: str, ontology: str | None = None) -> int:
+    """Resolve all of a graph's entities anew and replace what they map to; returns the number of mappings."""
+    g = open_graph(spark, path)
+    aliases = vocabulary.tables(spark, ontology)[1]
+    found = text_graph.resolve_concepts(g.entities.select("id", "entity_type", F.array("name", "canonical_name", "context", "value").alias("candidates")), aliases)
+    staged = f"{path}/_next-{uuid4().hex}"
+    found.select("entity_id", "concept_id", F.round(F.col("confidence") * 100).cast("int").alias("conf100")).write.parquet(staged)
+    fs, target = _files(spark, f"{path}/maps_to")
+    fs.delete(target, True)
+    fs.rename(_files(spark, staged)[1], target)
+    return spark.read.parquet(f"{path}/maps_to").count()
+
+
 def ask(g: Graph, question: str, limit: int = 12) -> dict:
     terms = query_terms(question)
     return answer(graph_queries.relation_search(g, terms, limit), terms).first().asDict()

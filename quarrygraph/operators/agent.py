@@ -29,7 +29,9 @@ class Tool:
     """``rows`` gives None where the question lacks what the tool needs."""
 
     title: str
+    when: str
     across: bool  # whether it compares companies
+    example: str
     rows: Callable[[Graph, str, int], DataFrame | None]
 
 
@@ -65,15 +67,21 @@ def _signals(name: str) -> Callable[[Graph, str, int], DataFrame]:
 
 
 TOOLS: dict[str, Tool] = {
-    "company_ai_deep_dive": Tool("One company on a topic", False, _deep_dive),
-    "ai_positive_demand_by_company": Tool("Demand by company", True, _signals("ai_positive_demand_by_company")),
-    "ai_risks_constraints_by_company": Tool("Risks by company", True, _signals("ai_risks_constraints_by_company")),
-    "product_category_evidence_map": Tool("Products by company", True, _signals("product_category_evidence_map")),
-    "frequent_entities": Tool("Most mentioned entities", False, lambda g, _, limit: q.frequent_entities(g, limit)),
-    "loaded_company_universe": Tool("Companies of the graph", False, lambda g, _, limit: q.company_universe(g, limit)),
+    "company_ai_deep_dive": Tool("One company on a topic", "a question names one company", False, "What does Nvidia say about data center demand?", _deep_dive),
+    "product_category_evidence_map": Tool("Products by company", "a question is about a product or a category", True, "Map the evidence on networking by company", _signals("product_category_evidence_map")),
+    "ai_risks_constraints_by_company": Tool("Risks by company", "a question is about risks, limits or shortages", True, "Which risks do companies report?", _signals("ai_risks_constraints_by_company")),
+    "ai_positive_demand_by_company": Tool("Demand by company", "a question is about growing demand", True, "Where are positive demand signals?", _signals("ai_positive_demand_by_company")),
+    "frequent_entities": Tool("Most mentioned entities", "a question asks what is mentioned most", False, "What are the top entities?", lambda g, _, limit: q.frequent_entities(g, limit)),
+    "loaded_company_universe": Tool("Companies of the graph", "a question asks which companies are there", False, "Which companies are loaded?", lambda g, _, limit: q.company_universe(g, limit)),
 }
 
 
+def router_prompt(question: str) -> str:
+    """What a model is asked that is to name a tool; the first that fits, as they stand from narrow to wide."""
+    lines = [f"- {name}: {t.title}; when {t.when}" for name, t in TOOLS.items()]
+    return "\n".join(["Answer with the name of one tool, the first that fits.", *lines, f"Question: {question}"])
+
+
 def views(g: Graph) -> str:
     """Make the graph's tables views of their session and describe them, from their schemas."""
     lines = []
@@ -148,7 +156,7 @@ def run_tool(g: Graph, question: str, tool: str | None = None, model: Model | No
     ``router`` picks a tool where keywords don't; ``model`` writes SQL.  A query that
     takes too long falls back on the fixed rows of its tool, if there are any.
     """
-    name = tool or route_with(question, router)
+    name = tool or route_with(question, (lambda x: router(router_prompt(x)).strip()) if router else None)
     if name is not None and name not in TOOLS:
         raise ValueError(f"unknown tool {name!r}")
     limit = q.clamp_limit(limit)

@@ -376,7 +376,7 @@ def concept_options(g: Graph) -> DataFrame:
     into = g.schema_edges.groupBy(F.col("target_id").alias("id")).agg(F.count_distinct("source_id").alias("i"))
     zero = F.lit(0)
     rows = g.concepts.join(mapped, "id", "left").join(out, "id", "left").join(into, "id", "left")
-    return rows.select(F.col("id").alias("concept_id"), "name", "concept_type", "description", F.coalesce("mapped_entities", zero).alias("mapped_entities"), (F.coalesce("o", zero) + F.coalesce("i", zero)).alias("linked_concepts"))
+    return rows.select(F.col("id").alias("concept_id"), "name", "concept_type", "description", F.coalesce("mapped_entities", zero).alias("mapped_entities"), (F.coalesce("o", zero) + F.coalesce("i", zero)).alias("linked_concepts")).orderBy(F.desc("mapped_entities"), F.desc("linked_concepts"), asc("name"), asc("concept_id"))
 
 
 def concept_context(g: Graph, concept_id: int, limit: int = 10) -> DataFrame:
@@ -406,7 +406,8 @@ def concept_chunks(g: Graph, concept_id: int, limit: int = 20, ticker: str = "")
     rows = per.join(ev, "chunk_id").withColumn("concept_id", F.lit(concept_id))
     indexed = with_index(g.chunks).select(F.col("id").alias("chunk_id"), F.col("index").alias("chunk_index"))
     best = rows.orderBy(desc("relation_count"), asc("company"), asc("document_id"), asc("chunk_id")).limit(limit)
-    return best.join(indexed, "chunk_id", "left").select("concept_id", "chunk_id", "chunk_index", "chunk_text", "document_id", "company", "ticker", "matched_entities", "relation_types", "relation_count")
+    out = best.join(indexed, "chunk_id", "left").select("concept_id", "chunk_id", "chunk_index", "chunk_text", "document_id", "company", "ticker", "matched_entities", "relation_types", "relation_count")
+    return out.orderBy(desc("relation_count"), asc("company"), asc("document_id"), asc("chunk_index"), asc("chunk_id"))
 
 
 def with_paths(rows: DataFrame) -> DataFrame:

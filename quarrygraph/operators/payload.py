@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.star import Graph
+from .graph_queries import balanced_relation_search, relation_search
+
 
 def payload(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of relation rows: nodes by id (the last row wins), edges by fact id.
@@ -15,7 +18,14 @@ def payload(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = ends[0].unionByName(ends[1])
     last = both.groupBy("id").agg(F.max_by(F.struct("label", "type", "value", "context"), "at").alias("n"))
     edges = rows.groupBy("fact_id").agg(F.max(F.struct(F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.col("relation").alias("label"), F.col("relation_layer").alias("layer"))).alias("e"))
-    return last.select("id", "n.*"), edges.select(F.col("fact_id").alias("id"), "e.*")
+    return last.select("id", "n.*").orderBy("type", "label", "id"), edges.select(F.col("fact_id").alias("id"), "e.*").orderBy("source", "label", "target", "id")
+
+
+def graph_payload(g: Graph, terms: list[str], limit: int = 100, ticker: str = "") -> tuple[DataFrame, DataFrame]:
+    """The payload of a search: one company's facts with its hub, or facts dealt round-robin over companies."""
+    if not ticker:
+        return payload(balanced_relation_search(g, terms, limit))
+    return company_context(*payload(relation_search(g, terms, limit, ticker)), ticker)
 
 
 def node_degree(edges: DataFrame, context_layer: str = "company_scope") -> DataFrame:

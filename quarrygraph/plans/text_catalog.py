@@ -13,7 +13,7 @@ from ..operators import audit as audits
 from ..operators import embeddings as emb
 from ..operators import loader, questions
 from ..operators import text_graph as t
-from ..sources import markup
+from ..sources import markup, vocabulary
 from ..sources.star import star_graph, with_index
 from .prelude import PRELUDE, sql_list
 
@@ -49,7 +49,7 @@ def _relation_cross(d: DataFrame) -> DataFrame:
 
 
 def _entities(d: DataFrame) -> DataFrame:
-    return t.extract_entities(d, "doc_id", "text", LEXICON).filter("type <> 'BusinessTerm'").select(F.col("scope").alias("doc_id"), "type", "name", "id")
+    return t.extract_entities(d, "doc_id", "text", LEXICON).select(F.col("scope").alias("doc_id"), "type", "name", "id")
 
 
 def _qa(d: DataFrame) -> DataFrame:
@@ -63,15 +63,21 @@ def _entity_upsert(e: DataFrame) -> DataFrame:
     return out.select("id", "name", "load_seq", F.array_join(F.array_sort(F.transform(F.map_entries("properties"), lambda p: F.concat_ws("=", p["key"], p["value"]))), "; ").alias("properties"))
 
 
+def _stored(g) -> DataFrame:
+    """Vectors of the chunks of orders that aren't open; by priority some have no model and some an old one."""
+    done = g.chunks.filter(~F.col("text").contains(" status O "))
+    model = F.when(F.col("heading").startswith("1"), F.lit(None).cast("string")).when(F.col("heading").startswith("2"), "old").otherwise("model-a")
+    return done.select(F.col("id").alias("chunk_id"), F.array(F.lit(1.0)).alias("embedding"), model.alias("embedding_model"), F.lit(768).alias("embedding_dimensions"))
+
+
 def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = star_graph(spark, sf_dir)
-    stored = g.chunks.filter("id % 3 <> 0").select(F.col("id").alias("chunk_id"), F.array(F.lit(1.0)).alias("embedding"), F.when(F.col("id") % 5 == 0, F.lit(None).cast("string")).when(F.col("id") % 7 == 0, "old").otherwise("model-a").alias("embedding_model"), F.lit(768).alias("embedding_dimensions"))
-    return emb.pending(with_index(g.chunks), stored, "model-a", 768).select("id", "document_id", "index", "heading")
+    return emb.pending(with_index(g.chunks), _stored(g), "model-a", 768).select("id", "document_id", "index", "heading")
 
 
 def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = star_graph(spark, sf_dir)
-    return emb.coverage(g.chunks, g.chunks.filter("id % 3 <> 0").select(F.col("id").alias("chunk_id"), F.lit(1).alias("embedding")))
+    return emb.coverage(g.chunks, _stored(g))
 
 
 def _embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +124,7 @@ _QUESTIONS = {"en": "Across the loaded graph, what risks do companies report for
 
 def _question(d: DataFrame) -> DataFrame:
     q = F.create_map(*[F.lit(y) for p in _QUESTIONS.items() for y in p])[F.col("lang")]
-    asked = F.concat(q, F.lit(" "), F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 40))
+    asked = F.concat(q, F.lit(" "), F.regexp_replace("text", "[^A-Za-z ]", ""))
     rows = d.select("doc_id", asked.alias("question"))
     return rows.select("doc_id", F.array_join(questions.query_terms_column(F.col("question")), "|").alias("terms"), questions.route_column(F.col("question")).alias("tool"))
 
@@ -139,6 +145,58 @@ def _relations_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("id", "source_entity_id", "relation_type", "target_entity_id", "confidence", "support")
 
 
+def _documents_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order loads its customer's document; the last load of a document wins."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    o = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    label = F.concat(F.lit("FY"), F.year("o_orderdate").cast("string"), F.lit(" Q"), F.quarter("o_orderdate").cast("string"))
+    rows = o.select(
+        F.col("c_custkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("c_nationkey").alias("company_id"), F.concat(F.lit("Company "), "c_nationkey").alias("company_name"), F.lit("T").alias("ticker"),
+        F.when(F.col("o_orderstatus") == "O", "").otherwise(F.col("o_orderstatus")).alias("sector"), label.alias("fiscal_quarter"), F.concat_ws("-", "c_nationkey", label).alias("call_id"), F.lit("d").alias("call_date"),
+        F.lit("u").alias("source_url"), F.lit("k").alias("source_kind"), F.lit("p").alias("markdown_path"), F.col("o_orderkey").alias("load_seq"),
+    )
+    d = loader.document_tables(rows)
+    key = lambda name, c: d[name].select(F.lit(name).alias("label"), F.col(c[0]).cast("string").alias("id"), F.concat_ws("|", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in c[1:]]).alias("row"))
+    parts = [("source_document", ("id", "company_id", "call_id", "title")), ("company", ("id", "name", "sector")), ("earnings_call", ("id", "company_id", "fiscal_quarter")), ("sector", ("name",)), ("quarter", ("name", "number")), ("fiscal_period", ("id", "label", "fiscal_year", "quarter"))]
+    out = None
+    for name, c in parts:
+        out = key(name, c) if out is None else out.unionByName(key(name, c))
+    return out
+
+
+def _chunks_loaded(d: DataFrame) -> DataFrame:
+    """Neighbours by id write one chunk; the later one wins."""
+    rows = d.select(F.floor(F.col("doc_id") / 2).alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").alias("heading"), F.col("doc_id").alias("load_seq"))
+    out = loader.chunk_table(rows)
+    return out.select("id", "load_seq", "heading", F.array_join("heading_path", "|").alias("heading_path"), "text_hash", F.sha1("text_preview").alias("preview"))
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    url = F.concat(F.element_at(F.array(*map(F.lit, _HOSTS)), (F.col("c_nationkey") % len(_HOSTS) + 1).cast("int")), "c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", ".PDF?x=1").otherwise(".html"))
+    pair = lambda k, v: [F.lit(k), v]
+    m = F.create_map(*pair("filename", F.concat(F.lit("in/"), "c_name", F.lit(".md"))), *pair("company", F.concat(F.lit(" Firm & "), "c_nationkey", F.lit(" "))), *pair("quarter", F.lit("FY2026 Q1")), *pair("source_url", url), *pair("segment", F.col("c_mktsegment")))
+    rows = markup.manifest_entries(c.select(m.alias("m")))
+    return rows.select("filename", "company", "company_id", "quarter", "source_url", "adapter", "source_type", F.col("extra")["segment"].alias("segment"), markup.is_conference_call(F.col("source_type")).alias("is_call"))
+
+
+_HOSTS = ["https://www.adobe.com/", "https://q4cdn.com/", "https://notadobe.com/", "http://user@investor.tsmc.com:80/", "https://News.Apple.com/", "https://x.example/"]
+_PHRASES = [
+    "AI demand", "Azure growth", "gross margin pressure", "Revenue", "remaining performance obligation", "capex", "pricing power", "supply constraints", "data centers", "foreign exchange", "Product", "cloud",
+    "memory bandwidth", "storage", "enterprise AI adoption", "consumer demand in Asia", "share repurchases", "liquid cooling", "component costs", "regulatory scrutiny", "credit consumption", "growth demand driver", "networking fabric", "none of these", "compute capacity",
+]
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts named by phrases, resolved to the vocabulary."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    phrase = lambda n: F.element_at(F.array(*map(F.lit, _PHRASES)), (n % len(_PHRASES) + 1).cast("int"))
+    name, context = phrase(F.col("p_partkey")), F.when(F.col("p_size") > 25, F.concat("p_name", F.lit("  "), phrase(F.col("p_size"))))
+    kind = F.when(F.col("p_type") == "PROMO", "Company").when(F.col("p_type") == "SMALL", F.lit(None).cast("string")).otherwise("Theme")
+    rows = p.select(F.col("p_partkey").alias("id"), kind.alias("entity_type"), F.array(name, F.concat("p_name", F.lit(" "), F.lower(name)), context).alias("candidates"))
+    return t.resolve_concepts(rows, vocabulary.tables(spark)[1])
+
+
 def _links(p: DataFrame) -> DataFrame:
     found = p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">([^<]*)</a>'), F.lit(0))).alias("pos", "a"))
     url, label = F.regexp_extract("a", 'href="([^"]*)"', 1), F.regexp_extract("a", ">([^<]*)<", 1)
@@ -157,7 +215,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stance": _read("documents", lambda d: d.select("doc_id", t.stance(F.concat_ws(" ", "text", F.when(F.col("doc_id") % 2 == 0, "cost pressure"), F.when(F.col("doc_id") % 3 == 0, "strong growth"))).alias("stance"))),
     "claim_type": _read("documents", lambda d: d.select("doc_id", t.claim_type(F.concat_ws(" ", "text", F.when(F.col("doc_id") % 2 == 0, "headwind"), F.when(F.col("doc_id") % 3 == 0, "adoption"), F.when(F.col("doc_id") % 5 == 0, "depreciation"))).alias("claim_type"))),
     "qa_pairs": _read("conversations", _qa),
-    "slug": _read("documents", lambda d: d.select("doc_id", x.slug(F.substring("text", 1, 60)).alias("slug"))),
+    "slug": _read("documents", lambda d: d.select("doc_id", x.slug(F.col("text")).alias("slug"))),
     "preview": _read("documents", lambda d: d.select("doc_id", x.preview(x.clean_text(F.col("text")), 360).alias("preview"))),
     "sha1_ids": _read("documents", lambda d: d.select("doc_id", F.concat(F.lit("rel-"), F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0"), F.lit("-"), x.short_hash(F.concat("source", "lang", "text"))).alias("id"))),
     "fiscal_parse": _read("orders", lambda o: o.select("o_orderkey", F.concat(F.when(F.col("o_orderkey") % 2 == 0, "FY").otherwise("fiscal "), F.date_format("o_orderdate", "yyyy"), F.lit(" q"), F.quarter("o_orderdate")).alias("l")).select("o_orderkey", x.fiscal_year(F.col("l")).alias("fiscal_year"), x.quarter_number(F.col("l")).alias("quarter"))),
@@ -175,6 +233,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "entity_upsert": _read("events", _entity_upsert),
     "relation_upsert": _relations_loaded,
     "constraint_check": _constraints,
+    "document_upsert": _documents_loaded,
+    "chunk_upsert": _read("documents", _chunks_loaded),
+    "manifest_entries": _manifest,
+    "concept_resolution": _resolved,
     "pending_chunks": _pending,
     "embedding_coverage": _coverage,
     "embedding_text": _embedding_texts,
@@ -189,12 +251,14 @@ def _has(text: str, terms) -> str:
     return "(" + " OR ".join(f"contains({text}, '{y}')" for y in terms) + ")"
 
 
+_PACK = f"""CASE WHEN length(c) <= 900 THEN [c] ELSE string_split(list_reduce({_SENTENCES.format('c')}, lambda a, s: CASE WHEN length(string_split(a, chr(2))[-1]) + 1 + length(s) > 900 THEN a || chr(2) || s ELSE a || ' ' || s END), chr(2)) END"""
+_ACRONYMS = r"SELECT DISTINCT doc_id, acronym FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+')) AS acronym FROM documents) WHERE regexp_full_match(acronym, '[A-Z][A-Z0-9]{1,6}') AND acronym NOT IN ('CEO', 'CFO', 'Q', 'A')"
 _ENT = "SELECT * FROM (" + " UNION ALL ".join(
     [f"SELECT doc_id, source, 'Theme' AS type, '{k}' AS name, {i} AS o FROM documents WHERE {_has('lower(text)', [k.lower(), *v])}" for i, (k, v) in enumerate(LEXICON.themes.items())]
     + [f"SELECT doc_id, source, '{kind}', '{v}', 0 FROM documents WHERE contains(lower(text), '{v}')" for kind, terms in (("Metric", LEXICON.metrics), ("Risk", LEXICON.risks)) for v in terms]
 ) + ")"
 _THEMES = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS theme, {i} AS o FROM documents WHERE {_has('lower(text)', [k.lower(), *v])}" for i, (k, v) in enumerate(fixed.THEME_ALIASES.items()))
-_ASKED = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _QUESTIONS.items()) + " END || ' ' || substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 40)"
+_ASKED = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _QUESTIONS.items()) + " END || ' ' || regexp_replace(text, '[^A-Za-z ]', '', 'g')"
 _ROUTE = "CASE " + " ".join(f"WHEN {_has('low', a)}" + (f" AND {_has('low', b)}" if b else "") + f" THEN '{tool}'" for tool, a, b in fixed.ROUTES) + " END"
 _LOW = "lower(concat_ws(' ', url, label))"
 _PRIORITY = f"""CASE WHEN {_has('low', ['slide', 'powerpoint', 'annual-report', 'download-center', 'presentation'])} OR tr + ca = 0 OR {_has('low', ['press release', 'earnings release', 'financial statement', 'financial result', 'financial and business result'])} THEN 0
@@ -206,14 +270,69 @@ _PDF = "ends_with(lower(regexp_extract(url, '^([^?#]*)', 1)), '.pdf')"
 _ADAPTER = "CASE WHEN trim(coalesce(url, '')) = '' THEN 'unconfigured' " + " ".join(f"WHEN {_HOST} = '{d}' OR ends_with({_HOST}, '.{d}') THEN '{n}'" for n, d, _ in fixed.SOURCE_ADAPTERS) + f" WHEN {_PDF} THEN 'generic-pdf' ELSE 'generic-html' END"
 _TYPE = "CASE adapter " + " ".join(f"WHEN '{n}' THEN '{k}'" for n, _, k in fixed.SOURCE_ADAPTERS) + f" ELSE CASE WHEN {_PDF} THEN 'transcript_pdf' ELSE 'transcript_html' END END"
 
+_BLANK = "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_SPOKEN = [p.replace("(?i)", "") for p in fixed.SPEAKER_LINES]
+_CHUNKS = rf"""WITH l AS (SELECT doc_id, i, ls[i] AS line, trim(ls[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split('# Overview' || chr(10) || chr(10) || coalesce(text, ''), chr(10)) AS ls FROM documents))),
+s AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(bare, '^{p}') THEN regexp_extract(bare, '^{p}', 1)" for p in _SPOKEN)} END AS label, CASE WHEN i = 1 THEN 'Overview' {" ".join(f"WHEN regexp_matches(bare, '^{p}') THEN regexp_extract(bare, '^{p}', 2)" for p in _SPOKEN)} ELSE line END AS text FROM l),
+b AS (SELECT *, sum(CASE WHEN i = 1 OR label IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM s WHERE NOT starts_with(trim(text), '{fixed.SOURCE_NOTE}')),
+g AS (SELECT *, first_value(label) OVER (PARTITION BY doc_id, block ORDER BY i) AS who, sum(CASE WHEN {_BLANK} = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, block ORDER BY i) AS para FROM b),
+p AS (SELECT doc_id, block, para, any_value(who) AS who, min(i) AS start_line, max(i) AS end_line, string_agg(text, chr(10) ORDER BY i) AS raw FROM g WHERE {_BLANK} <> '' GROUP BY doc_id, block, para),
+c AS (SELECT *, {_CLEAN.format("raw")} AS c, {_CLEAN.format("who")} AS person FROM p),
+k AS (SELECT *, {_PACK} AS pieces FROM c WHERE c <> '' AND NOT regexp_full_match(c, '{fixed.PAGE_MARK}') AND NOT regexp_full_match(c, '{fixed.PAGE_NUMBER}')),
+n AS (SELECT *, pieces[j] AS piece, row_number() OVER (PARTITION BY doc_id ORDER BY block, para, j) AS index FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS j FROM k)),
+w AS (SELECT *, coalesce(trim(CASE WHEN contains(person, ',') THEN string_split(person, ',')[1] ELSE string_split(person, ' - ')[1] END), '') AS speaker,
+  coalesce(trim(CASE WHEN contains(person, ',') THEN substr(person, strpos(person, ',') + 1) WHEN contains(person, ' - ') THEN substr(person, strpos(person, ' - ') + 3) ELSE '' END), '') AS title FROM n),
+t AS (SELECT *, CASE WHEN who IS NULL THEN 'document_overview' WHEN contains(lower(speaker), 'question') OR contains(lower(speaker), 'analyst') THEN 'analyst_question' ELSE 'speaker_statement' END AS chunk_type FROM w)
+SELECT doc_id || '-chunk-' || CASE WHEN index < 100 THEN lpad(CAST(index AS VARCHAR), 3, '0') ELSE CAST(index AS VARCHAR) END AS id, CAST(doc_id AS VARCHAR) AS document_id, index, chunk_type, 'Overview' AS heading, speaker, title, piece AS text,
+  start_line, end_line, substr(sha1(piece), 1, 10) AS text_hash, CASE WHEN length(piece) <= 360 THEN piece ELSE rtrim(substr(piece, 1, 359)) || '…' END AS text_preview FROM t WHERE chunk_type <> 'analyst_question'"""
+_LABEL = "'FY' || year(o_orderdate) || ' Q' || quarter(o_orderdate)"
+_LOADED = f"""WITH o AS (SELECT c_custkey AS id, o_orderpriority AS title, c_nationkey AS company_id, o_orderstatus AS status, {_LABEL} AS label, o_orderkey AS seq FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT 'source_document' AS label, CAST(id AS VARCHAR) AS id, arg_max(company_id || '|' || company_id || '-' || label || '|' || title, seq) AS row FROM o GROUP BY id
+UNION ALL SELECT 'company', CAST(company_id AS VARCHAR), 'Company ' || company_id || '|' || arg_max(CASE WHEN status = 'O' THEN 'Unknown' ELSE status END, seq) FROM o GROUP BY company_id
+UNION ALL SELECT DISTINCT 'earnings_call', company_id || '-' || label, company_id || '|' || label FROM o
+UNION ALL SELECT DISTINCT 'sector', CASE WHEN status = 'O' THEN 'Unknown' ELSE status END, '' FROM o
+UNION ALL SELECT DISTINCT 'quarter', right(label, 2), right(label, 1) FROM o
+UNION ALL SELECT DISTINCT 'fiscal_period', replace(lower(label), ' ', '-'), label || '|' || CASE WHEN contains(label, 'FY20') THEN substr(label, 3, 4) ELSE '' END || '|' || right(label, 2) FROM o"""
+_ENTRIES = f"""WITH m AS (SELECT c_name || '.md' AS filename, 'Firm & ' || c_nationkey AS company, 'firm-' || c_nationkey AS company_id, 'FY2026 Q1' AS quarter, {sql_list(_HOSTS)}[c_nationkey % {len(_HOSTS)} + 1] || c_custkey || CASE WHEN c_mktsegment = 'BUILDING' THEN '.PDF?x=1' ELSE '.html' END AS url, c_mktsegment AS segment FROM customer),
+a AS (SELECT *, {_ADAPTER} AS adapter FROM m), k AS (SELECT *, {_TYPE} AS source_type FROM a)
+SELECT filename, company, company_id, quarter, url AS source_url, adapter, source_type, segment, list_contains({sql_list(list(fixed.CONFERENCE_CALL_TYPES))}, source_type) AS is_call FROM k"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_VOCABULARY = vocabulary.load()[0]
+_PHRASED = lambda n: f"{sql_list(_PHRASES)}[{n} % {len(_PHRASES)} + 1]"
+_WORDS = "(' ' || regexp_replace({0}, '[^a-z0-9]', ' ', 'g') || ' ')"
+_IN = lambda hay, needle: f"(contains({_WORDS.format(hay)}, {_WORDS.format(needle)}) AND contains({hay}, {needle}))"
+_TOKENS_OF = "list_filter(regexp_extract_all({0}, '[a-z0-9]+'), lambda y: length(y) > 1)"
+_CONCEPTS = f"""WITH v(concept_id, name, alias) AS (VALUES {", ".join(f"({_quoted(c['id'])}, {_quoted(c['name'])}, {_quoted(a)})" for c in _VOCABULARY for a in c["aliases"])}),
+al AS (SELECT DISTINCT concept_id, name, trim(regexp_replace(lower(alias), '[ \t\n]+', ' ', 'g')) AS a FROM v),
+e AS (SELECT p_partkey AS id, list_distinct(list_filter(list_transform([{_PHRASED("p_partkey")}, p_name || ' ' || lower({_PHRASED("p_partkey")}), CASE WHEN p_size > 25 THEN p_name || '  ' || {_PHRASED("p_size")} END], lambda y: trim(regexp_replace(lower(y), '[ \t\n]+', ' ', 'g'))), lambda y: y <> '')) AS cs FROM part WHERE p_type <> 'PROMO'),
+pair AS (SELECT id, concept_id, name, c, a, {_TOKENS_OF.format("c")} AS t, {_TOKENS_OF.format("a")} AS u FROM (SELECT id, unnest(cs) AS c FROM e), al),
+conf AS (SELECT id, concept_id, name, CASE WHEN c = a THEN 1.0 WHEN either AND len(short) = 1 AND list_contains({sql_list(list(fixed.GENERIC_TOKENS))}, short[1]) THEN 0.0 WHEN either AND least(length(c), length(a)) >= 5 THEN 0.88
+  WHEN len(list_distinct(t)) >= 2 AND len(list_distinct(u)) >= 2 AND len(list_intersect(t, u)) / least(len(list_distinct(t)), len(list_distinct(u))) >= 0.75 THEN 0.74 ELSE 0.0 END AS confidence
+  FROM (SELECT *, {_IN("c", "a")} OR {_IN("a", "c")} AS either, CASE WHEN length(c) <= length(a) THEN t ELSE u END AS short FROM pair)),
+txt AS (SELECT id, array_to_string(cs, ' | ') AS x FROM (SELECT id, cs FROM e)),
+hit AS (SELECT id, concept_id, name, CAST(confidence AS DOUBLE) AS confidence, 'alias' AS method FROM conf WHERE confidence > 0
+  {" ".join(f"UNION ALL SELECT id, {_quoted(i)}, {_quoted(next(c['name'] for c in _VOCABULARY if c['id'] == i))}, {fixed.RULE_CONFIDENCE}, 'entity_resolution_rule' FROM txt WHERE regexp_matches(x, {_quoted('|'.join(p))})" for i, _, p in fixed.RESOLUTION_RULES if any(c["id"] == i for c in _VOCABULARY))}),
+best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY id, concept_id ORDER BY confidence DESC, method DESC) = 1)
+SELECT id AS entity_id, concept_id, confidence, method FROM best QUALIFY row_number() OVER (PARTITION BY id ORDER BY confidence DESC, name, concept_id) <= 2"""
+
 ORACLE_SQL: dict[str, str] = {
+    "markdown_chunks": _CHUNKS,
+    "document_upsert": _LOADED,
+    "chunk_upsert": "SELECT id, seq AS load_seq, source AS heading, source AS heading_path, sha1(t) AS text_hash, sha1(CASE WHEN length(t) <= 360 THEN t ELSE rtrim(substr(t, 1, 359)) || '…' END) AS preview FROM (SELECT doc_id // 2 AS id, max(doc_id) AS seq, arg_max(source, doc_id) AS source, arg_max(coalesce(text, ''), doc_id) AS t FROM documents GROUP BY 1)",
+    "manifest_entries": _ENTRIES,
+    "concept_resolution": _CONCEPTS,
     "sentence_split": f"SELECT doc_id, len(s) AS n, s[1] AS first, sha1(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, {_SENTENCES.format('text')} AS s FROM documents)",
-    "long_text_pack": f"""WITH c AS (SELECT doc_id, {_CLEAN.format('text')} AS c FROM documents), p AS (SELECT doc_id, CASE WHEN length(c) <= 900 THEN [c] ELSE string_split(list_reduce({_SENTENCES.format('c')}, lambda a, s: CASE WHEN length(string_split(a, chr(2))[-1]) + 1 + length(s) > 900 THEN a || chr(2) || s ELSE a || ' ' || s END), chr(2)) END AS p FROM c)
+    "long_text_pack": f"""WITH c AS (SELECT doc_id, {_CLEAN.format('text')} AS c FROM documents), p AS (SELECT doc_id, {_PACK} AS p FROM c)
       SELECT doc_id, len(p) AS n, list_max(list_transform(p, lambda s: length(s))) AS longest, sha1(array_to_string(p, '|')) AS digest FROM p""",
     "paragraphs": rf"SELECT doc_id, pos, paragraph FROM (SELECT doc_id, i - 1 AS pos, {_CLEAN.format('ps[i]')} AS paragraph FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '\n[ \t\n\x0B\f\r]*', chr(10), 'g'), chr(10)) AS ps FROM documents))) WHERE paragraph <> ''",
-    "acronyms": r"SELECT DISTINCT doc_id, acronym FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+')) AS acronym FROM documents) WHERE regexp_full_match(acronym, '[A-Z][A-Z0-9]{1,6}') AND acronym NOT IN ('CEO', 'CFO', 'Q', 'A')",
+    "acronyms": _ACRONYMS,
     "theme_match": f"SELECT d.doc_id, coalesce(string_agg(theme, '|' ORDER BY o), '') AS themes FROM documents d LEFT JOIN ({_THEMES}) x ON d.doc_id = x.doc_id GROUP BY 1",
-    "entity_extract": f"SELECT doc_id, type, name, 'entity-' || lower(type) || '-' || replace(lower(name), ' ', '-') AS id FROM ({_ENT})",
+    "entity_extract": f"SELECT doc_id, type, name, 'entity-' || lower(type) || '-' || replace(lower(name), ' ', '-') AS id FROM (SELECT doc_id, type, name FROM ({_ENT}) UNION ALL SELECT doc_id, 'BusinessTerm', acronym FROM ({_ACRONYMS}))",
     "relation_cross": f"""WITH e AS ({_ENT}) SELECT doc_id, source, 'DISCUSSES' AS relation, name AS target FROM e WHERE type = 'Theme'
       UNION ALL SELECT a.doc_id, a.name, CASE WHEN a.type = 'Risk' THEN 'PRESSURES' WHEN b.type = 'Metric' THEN 'AFFECTS' ELSE 'EXPOSED_TO' END, b.name FROM e a JOIN e b ON a.doc_id = b.doc_id AND ((a.type = 'Theme' AND b.type IN ('Metric', 'Risk')) OR (a.type = 'Risk' AND b.type = 'Metric'))""",
     "claim_sentences": rf"SELECT doc_id, coalesce(array_to_string(list_filter({_SENTENCES.format(chr(40) + chr(39) + 'We expect strong cloud growth this year. ' + chr(39) + ' || text' + chr(41))}, lambda s: len(regexp_split_to_array(s, '[ \t\n\x0B\f\r]+')) >= 6 AND {_has('lower(s)', fixed.CLAIM_KEYWORDS)})[1:8], '|'), '') AS claims FROM documents",
@@ -221,7 +340,7 @@ ORACLE_SQL: dict[str, str] = {
     "claim_type": "SELECT doc_id, CASE " + " ".join(f"WHEN {_has('x', terms)} THEN '{n}'" for n, terms in fixed.CLAIM_TYPES) + " ELSE 'operational_update' END AS claim_type FROM (SELECT doc_id, lower(concat_ws(' ', text, CASE WHEN doc_id % 2 = 0 THEN 'headwind' END, CASE WHEN doc_id % 3 = 0 THEN 'adoption' END, CASE WHEN doc_id % 5 = 0 THEN 'depreciation' END)) AS x FROM documents)",
     "qa_pairs": """WITH s AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS sequence FROM conversations)
       SELECT conv_id, sequence, sha1(string_agg(text, '|' ORDER BY turn) FILTER (WHERE role = 'user')) AS question, count(*) FILTER (WHERE role <> 'user') AS n_answers, sha1(coalesce(string_agg(text, '|' ORDER BY turn) FILTER (WHERE role <> 'user'), '')) AS answers FROM s WHERE sequence > 0 GROUP BY ALL""",
-    "slug": "SELECT doc_id, CASE WHEN s = '' THEN substr(sha1(t), 1, 10) ELSE s END AS slug FROM (SELECT doc_id, substr(text, 1, 60) AS t, regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM documents)",
+    "slug": "SELECT doc_id, CASE WHEN s = '' THEN substr(sha1(t), 1, 10) ELSE s END AS slug FROM (SELECT doc_id, text AS t, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM documents)",
     "preview": f"SELECT doc_id, CASE WHEN length(c) <= 360 THEN c ELSE rtrim(substr(c, 1, 359)) || '…' END AS preview FROM (SELECT doc_id, {_CLEAN.format('text')} AS c FROM documents)",
     "sha1_ids": "SELECT doc_id, 'rel-' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || '-' || substr(sha1(source || lang || text), 1, 10) AS id FROM documents",
     "fiscal_parse": "SELECT o_orderkey, CASE WHEN year(o_orderdate) >= 2000 THEN year(o_orderdate) END AS fiscal_year, quarter(o_orderdate) AS quarter FROM orders",
@@ -242,8 +361,8 @@ ORACLE_SQL: dict[str, str] = {
       SELECT l.id, name, load_seq, string_agg(event_type || '=' || CAST(v AS VARCHAR), '; ' ORDER BY event_type || '=' || CAST(v AS VARCHAR)) AS properties FROM l JOIN p USING (id) GROUP BY ALL""",
     "relation_upsert": PRELUDE + "SELECT fact.id, from_id AS source_entity_id, relation_type, to_id AS target_entity_id, conf100 AS confidence, chunk_id AS support FROM fact JOIN entity s ON from_id = s.id JOIN entity t ON to_id = t.id QUALIFY row_number() OVER (PARTITION BY fact.id ORDER BY relation_type DESC NULLS LAST, evidence_text DESC NULLS LAST, conf100 DESC NULLS LAST, chunk_id DESC NULLS LAST) = 1",
     "constraint_check": PRELUDE + " UNION ALL ".join(f"SELECT '{label}' AS label, (SELECT count(*) FROM (SELECT id FROM {cte} GROUP BY id HAVING count(*) > 1 OR id IS NULL)) AS violations" for label, cte in (("company", "company"), ("source_document", "doc"), ("chunk", "chunk"), ("entity", "entity"), ("relation_fact", "fact"), ("ontology_concept", "concept"), ("earnings_call", "call"))),
-    "pending_chunks": PRELUDE + """, i AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY day, id) AS index FROM chunk) SELECT id, document_id, index, heading FROM i WHERE id % 3 = 0 OR id % 5 = 0 OR id % 7 = 0""",
-    "embedding_coverage": "SELECT count(*) AS chunks, count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS embedded_chunks FROM orders",
+    "pending_chunks": PRELUDE + """, i AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY day, id) AS index FROM chunk) SELECT id, document_id, index, heading FROM i WHERE contains(text, ' status O ') OR starts_with(heading, '1') OR starts_with(heading, '2')""",
+    "embedding_coverage": "SELECT count(*) AS chunks, count(*) FILTER (WHERE o_orderstatus <> 'O') AS embedded_chunks FROM orders",
     "embedding_text": PRELUDE + "SELECT chunk_id, sha1(substr('Company: ' || company || chr(10) || 'Ticker: ' || ticker || chr(10) || 'Document: ' || title || chr(10) || 'Heading: ' || heading || chr(10) || 'Text:' || chr(10) || chunk_text, 1, 8000)) AS digest FROM ev JOIN chunk ON chunk_id = chunk.id",
     "export_audit": f"""WITH p AS (SELECT page_id, lower(concat_ws(' ', url, regexp_extract(html, '<title>([^<]*)</title>', 1), '')) AS x, page_id % 3 AS chunks, page_id % 4 AS entities, page_id % 5 AS relations FROM pages),
       o AS (SELECT *, array_to_string(list_filter({sql_list(fixed.AUDIT_OFF_TOPIC)}, lambda y: contains(x, y)), ', ') AS off FROM p)

@@ -74,14 +74,17 @@ def fetched_files(manifest: DataFrame, fetch: Fetch, most: int = 12) -> DataFram
     """(filename, url, content, content_type): the source of each entry.
 
     A page is followed to the first of its ``most`` best links that is a PDF or DOCX
-    file; a page without such a link stands for itself.  Office viewers give way to their file.
+    file, one shown in an office viewer before all; a page without such a link stands for itself.
     """
     first = _fetched(manifest.filter(F.coalesce("source_url", F.lit("")) != "").select("filename", F.array(markup.viewer_source(F.col("source_url"))).alias("urls")), fetch)
     first = first.withColumn("kind", markup.file_kind(F.col("url"), F.col("content_type"), F.col("content"))).persist()  # so that a page isn't fetched again
     pages = first.filter("kind = 'html'")
+    viewed = pages.select("filename", markup.viewer_source_in(F.col("content").cast("string")).alias("viewed"))
     links = markup.links(pages.select(F.col("filename").alias("page_id"), "url", F.col("content").cast("string").alias("html"))).filter("priority > 0")
     ranked = markup.best_links(links, most=most).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("rank", markup.viewer_source(F.col("url")).alias("url")))).alias("c"))
-    followed = _fetched(ranked.select(F.col("page_id").alias("filename"), F.transform("c", lambda x: x["url"]).alias("urls")), fetch)
+    ranked = viewed.join(ranked.withColumnRenamed("page_id", "filename"), "filename", "left")
+    urls = F.array_distinct(F.array_compact(F.concat(F.array("viewed"), F.coalesce(F.transform("c", lambda x: x["url"]), F.array().cast("array<string>")))))
+    followed = _fetched(ranked.select("filename", urls.alias("urls")).filter("size(urls) > 0"), fetch)
     followed = followed.withColumn("kind", markup.file_kind(F.col("url"), F.col("content_type"), F.col("content"))).filter("kind <> 'html'").persist()
     return first.join(followed.select("filename"), "filename", "left_anti").unionByName(followed)
 

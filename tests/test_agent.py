@@ -48,6 +48,12 @@ def test_fixed_tools(graph):
     assert "AI demand -DRIVES-> Cloud revenue" in agent.respond(graph, "What lifts revenue?")
     with pytest.raises(ValueError, match="unknown tool"):
         agent.run_tool(graph, "x", "no_such_tool")
+    seen = []
+    out = agent.run_tool(graph, "hm", router=lambda p: seen.append(p) or " frequent_entities\n")
+    assert out.tool == "frequent_entities" and all(name in seen[0] for name in agent.TOOLS) and "hm" in seen[0]
+    assert all(agent.route_with(t.example) == name for name, t in agent.TOOLS.items())
+    nodes, edges = payload.graph_payload(graph, ["revenue"], 10, "ACM")
+    assert edges.filter("layer = 'company_scope'").count() == 2 and payload.graph_payload(graph, ["revenue"], 10)[1].count() == 2
 
 
 def test_generated_sql_is_repaired(graph):
@@ -135,6 +141,8 @@ def test_loads_add_up_until_a_reset(spark, tmp_path):
     assert {r["id"]: r["layer"] for r in g.facts.collect()} == {"fact-rel-a": "insight", "fact-r9": None}  # e1 was loaded before; "gone" never was
     assert {r["id"]: (r["name"], r["value"]) for r in g.entities.collect()} == {"e1": ("AI demand", None), "e2": ("Cloud sales", "5"), "e3": ("Margin", None)}
     assert {r["name"] for r in g.companies.collect()} == {"Acme", "Beta"} and spark.read.parquet(f"{path}/extraction_runs").count() == 2
+    before = sorted(map(tuple, g.maps_to.collect()))
+    assert cli.refresh_concepts(spark, path) == len(before) > 0 and sorted(map(tuple, cli.open_graph(spark, path).maps_to.collect())) == before
     cli.load_graph(spark, graph_json.read_graphs(spark, str(tmp_path / "b")), path, reset=True)
     assert {r["id"] for r in cli.open_graph(spark, path).documents.collect()} == {"doc-b"}
     export(spark, tmp_path / "b", "bad", "Beta", "BET", document={"id": None, "title": "t", "company_id": "beta"})
@@ -251,6 +259,9 @@ def test_overviews_and_counts(spark, tmp_path):
     r = cli._exports(spark, out).first()
     assert r["overview"]["themes"][0] == "AI demand" and "revenue" in r["overview"]["metrics"] and r["overview"]["chunk_count"] == 2 == len(r["chunks"])
     assert r["document"]["ticker"] == "FRM" and {c["speaker_name"] for c in r["chunks"]} == {"", "Jane Roe"}
+    q = [("Analyst", "", "Ann Lee, Firm X", True), ("Bo", "CFO", "Why?", True), ("", "", "Analyst: Cy Do, Firm Y\nWhy", True), ("question", "", "What now?", True), (None, None, "It grew.", False)]
+    rows = spark.createDataFrame(q, "s string, t string, x string, is_q boolean").select("is_q", text_graph.is_question(F.col("s"), F.lit(""), F.col("x")).alias("q"), text_graph.analyst(F.col("s"), F.col("t"), F.col("x")).alias("a")).collect()
+    assert all(r["q"] == r["is_q"] for r in rows) and [tuple(r["a"]) for r in rows] == [("Ann Lee", "Firm X"), ("Bo", "CFO"), ("Cy Do", "Firm Y"), ("Unknown Analyst", ""), ("Unknown Analyst", "")]
     assert set(r["overview"]["entity_ids"]) == {e["id"] for e in r["entities"]} and len(r["overview"]["relation_ids"]) == len(r["relations"]) > 0
     n = text_graph.result_counts(cli._exports(spark, out)).first()
     assert (n["chunks"], n["entities"], n["relations"]) == (2, len(r["entities"]), len(r["relations"])) and n["themes"] >= 1
