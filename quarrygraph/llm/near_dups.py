@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, maybe_broadcast, table
+from .common import checkpoint, maybe_broadcast, stored, table
 
 SHINGLE = 3
 RADIUS = 3
@@ -33,6 +33,8 @@ BLOCK = 1 << 16
 #: Words of the shingles whose sets are compared; bands, and minima in each.
 SET_SHINGLE = 5
 BANDS, BAND_ROWS = 30, 5
+#: Sets that are compared with one another in one task; what bands join up beyond that is dealt into blocks.
+BLOCK_SETS = 512
 #: Candidates up to this number are broadcast.
 BROADCAST_TEXTS = 200_000
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -264,7 +266,8 @@ def similar_links(df: DataFrame, rows: DataFrame, id_col: str, text_col: str, le
     """Links (a, b) of fingerprints whose texts' shingle sets have a Jaccard similarity of ``least`` or more.
 
     ``rows`` are those of ``fingerprints`` with sets.  Candidates that bands join
-    up, each set once, meet in one task, where similarities are exact.
+    up, each set once, are compared exactly, at most some BLOCK_SETS of one group (or
+    twice that, of two blocks) in one task.
     """
     known = rows.filter(F.size("keys") > 0)
     sets = checkpoint(known.groupBy("node").agg(F.min(F.struct("_qg_id", "_qg_th", "fp")).alias("one"), F.first("keys").alias("keys")))
@@ -275,23 +278,57 @@ def similar_links(df: DataFrame, rows: DataFrame, id_col: str, text_col: str, le
     texts = df.select(F.col(id_col).alias("_qg_did"), F.xxhash64(text).alias("_qg_dth"), text.cast("binary").alias("_qg_text"))
     same = F.col("_qg_id").eqNullSafe(F.col("_qg_did")) & (F.col("_qg_th") == F.col("_qg_dth"))
     texts = texts.join(maybe_broadcast(chosen, chosen.count(), BROADCAST_TEXTS), same).select("root", "fp", "_qg_text")
-
-    def verified(fps: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    large = checkpoint(chosen.groupBy("root").count().filter(F.col("count") > BLOCK_SETS).select("root", "count"))
+    count = large.count()
+    if not count:
+        return equal.unionByName(_verified(texts, ["root"], least))
+    large = maybe_broadcast(large, count, BROADCAST_TEXTS)
+    found = equal.unionByName(_verified(texts.join(large, "root", "left_anti"), ["root"], least))
+    hot = stored(texts.join(large.select("root"), "root"))
+    # within blocks first, then what stands for their components: copies of one text are one component by now
+    within = checkpoint(_verified(_blocks(hot), ["root", "block"], least))
+    named = components(within)
+    seeds = hot.join(named.filter("node <> root").select(F.col("node").alias("fp")), "fp", "left_anti")
+    across = checkpoint(_verified(_paired(seeds), ["root", "block", "other"], least))
+    # only where components are left apart, blocks are compared with blocks
+    named = components(within.unionByName(across)).select(F.col("node").alias("fp"), F.col("root").alias("name"))
+    names = hot.select("root", "fp").join(named, "fp", "left").groupBy("root").agg(F.min(F.coalesce("name", "fp")).alias("lo"), F.max(F.coalesce("name", "fp")).alias("hi"))
+    apart = checkpoint(names.filter("lo <> hi").select("root"))
+    rest = _verified(_paired(hot.join(apart, "root", "left_semi")), ["root", "block", "other"], least)
+    return found.unionByName(within).unionByName(across).unionByName(rest)
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (root, fp, text) with a block of each: a root's are dealt into blocks of about BLOCK_SETS."""
+    sizes = rows.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
+    return rows.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """``rows`` under each pair of their block with another, or under it alone if there is one only: any two meet."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
+    return _blocks(rows).select("root", "fp", "_qg_text", "block", other).select("root", "fp", "_qg_text", F.least("block", "j").alias("block"), F.greatest("block", "j").alias("other"))
+
+
+def _verified(texts: DataFrame, key: list[str], least: float) -> DataFrame:
+    """Links (a, b) that join up what is similar among the texts of each key, compared in one task."""
+
+    def links(fps: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         found = [(fps[a], fps[b]) for a, b in similar(sets, least)] if len(fps) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, fps, sets = None, [], []
+        last, fps, sets = None, [], []
         for b in batches:
-            for r, f, t in zip(*b.columns, strict=True):
-                if r.as_py() != root:
-                    yield verified(fps, sets)
-                    root, fps, sets = r.as_py(), [], []
+            for k, f, t in zip(*b.columns, strict=True):
+                if k.as_py() != last:
+                    yield links(fps, sets)
+                    last, fps, sets = k.as_py(), [], []
                 fps.append(f.as_py())
                 sets.append(shingle_set(t.as_py()))
-        yield verified(fps, sets)
+        yield links(fps, sets)
 
-    return equal.unionByName(texts.repartition("root").sortWithinPartitions("root").mapInArrow(run, "a bigint, b bigint"))
+    return texts.select(F.xxhash64(*key).alias("_qg_key"), "fp", "_qg_text").repartition("_qg_key").sortWithinPartitions("_qg_key").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, jaccard: float | None = None) -> DataFrame:

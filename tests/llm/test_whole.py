@@ -57,6 +57,36 @@ def test_near_copies_by_jaccard(spark):
     assert not kept & {2 * k + 1 for k, ok in enumerate(alike) if ok} and {2 * k for k in range(30)} <= kept
 
 
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
+    """Chains, tight groups and groups that bands join up but similarity doesn't, whatever the size of a block."""
+    rng = random.Random(33)
+    texts = []
+    for _ in range(3):
+        w = prose(rng, 150).split()
+        for k in range(14):
+            v = list(w)
+            v[5 + 10 * k] = f"edit{k}"  # each is 5 of 146 shingles off the first
+            texts.append(" ".join(v))
+        chain = list(w)
+        for k in range(10):  # neighbours are similar, the ends aren't
+            chain[3 + 14 * k] = f"link{k}"
+            texts.append(" ".join(chain))
+    texts += [prose(rng, 60) for _ in range(10)]
+    sets = [set(near_dups.shingle_set(t.encode()).tolist()) for t in texts]
+    want = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if len(a & b) >= 0.8 * len(a | b):
+                    want[i] = want[j] = min(want[i], want[j])
+    assert len(set(want)) == 13
+    d = docs(spark, texts)
+    for block in (512, 8, 3):
+        monkeypatch.setattr(near_dups, "BLOCK_SETS", block)
+        got = {r["doc_id"]: r["component_id"] for r in near_dups.near_groups(d, radius=0, jaccard=0.8).collect()}
+        assert got == dict(enumerate(want)), block
+
+
 def a_match(parsed, rng):
     """A random text that a parsed expression of the rules matches."""
     out = b""
