@@ -156,7 +156,7 @@ def ingest(spark: SparkSession, docs: DataFrame, lexicon: text_graph.Lexicon | N
     used = text_graph.for_graph(chunks).join(docs.select("document_id", "company"), "document_id")
     entities = text_graph.extract_entities(used, "id", "text", lexicon)
     found = text_graph.scope_relations(used.select("document_id", F.col("id").alias("scope"), "text", "company"), F.col("company"), F.col("text"), lexicon)
-    relations = found.select("document_id", "scope", "text", F.posexplode("relations").alias("pos", "r")).select("document_id", "scope", "pos", "text", "r.*")
+    relations = found.select("document_id", "scope", "text", F.posexplode_outer("relations").alias("pos", "r")).filter("r is not null").select("document_id", "scope", "pos", "text", "r.*")
     return {"chunks": chunks, "entities": entities, "relations": relations}
 
 

@@ -163,20 +163,30 @@ def cli_relations(g: Graph, terms: list[str], limit: int = 12) -> DataFrame:
 
 def _searched(g: Graph, terms: list[str]) -> DataFrame:
     """Facts with matched_terms over names, canonical names, values, contexts, concepts, evidence and relation."""
-    terms = [t.lower() for t in terms]
+    terms = list(dict.fromkeys(t.lower() for t in terms))
     if not terms:
         return g.facts.withColumn("matched_terms", F.array().cast("array<string>"))
     c = g.concepts.select(F.col("id").alias("concept_id"), F.concat_ws("\x01", "name", "description").alias("text"))
     mapped = g.maps_to.join(c, "concept_id").groupBy(F.col("entity_id").alias("id")).agg(F.concat_ws("\x01", F.collect_set("text")).alias("concept_text"))
     text = F.lower(F.concat_ws("\x01", "name", "canonical_name", "value", "context", "concept_text"))
-    hits = g.entities.join(mapped, "id", "left").select("id", _found(text, terms).alias("hits"))
+    hits = g.entities.join(mapped, "id", "left").select("id", _bits(text, terms).alias("hits"))
     facts = g.facts
     for side in ("from", "to"):
         facts = facts.join(hits.select(F.col("id").alias(f"{side}_id"), F.col("hits").alias(f"{side}_hits")), f"{side}_id")
-    own = F.lower(F.concat_ws("\x01", "evidence_text", "relation_type"))
-    every = F.array(*map(F.lit, terms))
-    facts = facts.withColumn("matched_terms", F.filter(every, lambda t: F.array_contains(F.concat("from_hits", "to_hits", _found(own, terms)), t)))
-    return facts.filter(F.size("matched_terms") > 0).drop("from_hits", "to_hits")
+    own = _bits(F.lower(F.concat_ws("\x01", "evidence_text", "relation_type")), terms)
+    facts = facts.withColumn("_hits", F.col("from_hits").bitwiseOR(F.col("to_hits")).bitwiseOR(own)).filter("_hits <> 0")
+    named = F.array_compact(F.array(*[F.when(F.col("_hits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(t)) for i, t in enumerate(terms)]))
+    return facts.withColumn("matched_terms", named).drop("from_hits", "to_hits", "_hits")
+
+
+def _bits(text: Column, terms: list[str]) -> Column:
+    """A number with a bit for each term that occurs in a lower-case text."""
+    if len(terms) > 62:
+        raise ValueError("a search takes 62 terms at most")
+    out = F.lit(0).cast("long")
+    for i, t in enumerate(terms):
+        out = out.bitwiseOR(F.when(text.contains(t), F.lit(1 << i)).otherwise(0).cast("long"))
+    return out
 
 
 def _search_order() -> list[Column]:

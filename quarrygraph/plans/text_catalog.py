@@ -44,7 +44,7 @@ def _packed(d: DataFrame) -> DataFrame:
 
 
 def _relation_cross(d: DataFrame) -> DataFrame:
-    rows = t.scope_relations(d.select("doc_id", "source", "text"), F.col("source"), F.col("text"), LEXICON).select("doc_id", F.explode("relations").alias("r"))
+    rows = t.scope_relations(d.select("doc_id", "source", "text"), F.col("source"), F.col("text"), LEXICON).select("doc_id", F.explode_outer("relations").alias("r")).filter("r is not null")
     return rows.select("doc_id", "r.source", "r.relation", "r.target")
 
 
