@@ -67,6 +67,16 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def joined_counted(rows: DataFrame, small: DataFrame, key: str, count: int, limit: int, salts: int = 16) -> DataFrame:
+    """``rows`` with the columns of ``small`` (one row a key, null one of them) by a counted broadcast, or beyond its limit by a join that deals out each key's rows."""
+    right = small.withColumnRenamed(key, "_qg_key")
+    if count <= limit:
+        return rows.join(F.broadcast(right), F.col(key).eqNullSafe(F.col("_qg_key"))).drop("_qg_key")
+    right = right.withColumn("_qg_slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = rows.withColumn("_qg_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    return left.join(right, F.col(key).eqNullSafe(F.col("_qg_key")) & (F.col("_qg_salt") == F.col("_qg_slot"))).drop("_qg_key", "_qg_slot", "_qg_salt")
+
+
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))

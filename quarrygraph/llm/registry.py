@@ -12,6 +12,7 @@ from .near_dups import op4_near_dups
 from .quality import op9_quality
 from .substrings import op8_suffix_dedup
 from .toxicity import op10_toxicity
+from .vector_codes import OP13_SQL, op13_vector_codes
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": OP5_SQL,
     "op6_mixing": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
