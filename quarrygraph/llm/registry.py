@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
 from .decontamination import OP5_SQL, op5_decontamination
 from .fingerprints import op1_fingerprints
 from .language import op3_language
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
     "op13_vector_codes": op13_vector_codes,
 }
 
