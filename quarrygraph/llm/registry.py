@@ -5,6 +5,7 @@ from __future__ import annotations
 from .alignment import op11_alignment
 from .decontamination import OP5_SQL, op5_decontamination
 from .fingerprints import op1_fingerprints
+from .jaccard_join import OP12_SQL, op12_jaccard_join
 from .language import op3_language
 from .licenses import op2_licenses
 from .lines import OP7_SQL, op7_line_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
     "op11_alignment": op11_alignment,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -34,5 +36,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": OP5_SQL,
     "op6_mixing": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op12_jaccard_join": OP12_SQL,
     "op13_vector_codes": OP13_SQL,
 }
