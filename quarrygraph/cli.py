@@ -155,9 +155,7 @@ def ingest(spark: SparkSession, docs: DataFrame, lexicon: text_graph.Lexicon | N
     chunks = text_graph.chunk_documents(docs)
     used = text_graph.for_graph(chunks).join(docs.select("document_id", "company"), "document_id")
     entities = text_graph.extract_entities(used, "id", "text", lexicon)
-    found = text_graph.scope_relations(used.select("document_id", F.col("id").alias("scope"), "text", "company"), F.col("company"), F.col("text"), lexicon)
-    relations = found.select("document_id", "scope", "text", F.posexplode_outer("relations").alias("pos", "r")).filter("r is not null").select("document_id", "scope", "pos", "text", "r.*")
-    return {"chunks": chunks, "entities": entities, "relations": relations}
+    return {"chunks": chunks, "entities": entities, "relations": text_graph.document_relations(used, lexicon)}
 
 
 def sync(spark: SparkSession, folder: str, manifest: DataFrame, out: str, pattern: str = "*.md", limit: int | None = None, force: bool = False, any_source: bool = False, lexicon: text_graph.Lexicon | None = None) -> int:
@@ -186,13 +184,10 @@ def sync(spark: SparkSession, folder: str, manifest: DataFrame, out: str, patter
     chunks = made["chunks"].groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("index", chunk.alias("c")))).alias("c")).select("document_id", F.transform("c", lambda x: x["c"]).alias("chunks"))
     scope = made["chunks"].select(F.col("id").alias("scope"), "document_id")
     ent = made["entities"].join(scope, "scope").select("document_id", "id", "name", F.col("type").alias("entity_type")).distinct()
-    firm = rows.select("document_id", F.concat(F.lit("entity-company-"), slug(F.col("company"))).alias("id"), F.col("company").alias("name"), F.lit("Company").alias("entity_type"))
+    firm = rows.select("document_id", text_graph.entity_id(F.lit("Company"), F.col("company")).alias("id"), F.col("company").alias("name"), F.lit("Company").alias("entity_type"))
     every = ent.unionByName(firm).distinct()
     entities = every.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("id", "name", "entity_type", F.lit("text").alias("source")))).alias("entities"))
-    ids = every.select("document_id", "name", "id")
     rel = made["relations"]
-    for side in ("source", "target"):
-        rel = rel.join(ids.select("document_id", F.col("name").alias(side), F.col("id").alias(f"{side}_entity_id")), ["document_id", side])
     order = Window.partitionBy("document_id").orderBy("scope", "pos", "source_entity_id", "target_entity_id")
     rel = text_graph.relation_ids(rel.withColumn("seq", F.row_number().over(order)))
     rel = rel.withColumn("id", F.concat_ws("-", "id", short_hash(F.col("document_id"), 8)))

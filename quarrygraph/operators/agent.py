@@ -129,8 +129,8 @@ def generated(g: Graph, question: str, model: Model, across: bool = False, most:
         sql = model(prompt)
         tried += 1
         try:
-            safe, warnings = guard_sql(spark, sql, most)
-            rows = run_guarded(spark, safe, most, timeout)
+            safe, warnings = guard_sql(spark, sql, most, vars(g))
+            rows = run_guarded(spark, safe, most, timeout, vars(g))
         except Exception as e:
             if error_kind(e) == "timeout" and best is None:
                 raise

@@ -87,10 +87,66 @@ def test_guard_rejects(spark, sql):
         questions.guard_sql(spark, sql)
 
 
+GUARDED = {
+    "a file": "SELECT * FROM text.`{path}` LIMIT 3",
+    "a file in a subquery": "SELECT (SELECT max(value) FROM text.`{path}`) AS x FROM guarded_ids LIMIT 3",
+    "a file in a list": "SELECT id FROM guarded_ids WHERE id IN (SELECT value FROM csv.`{path}`) LIMIT 3",
+    "a file in a CTE": "WITH a AS (SELECT * FROM json.`{path}`) SELECT * FROM a LIMIT 3",
+    "a file in a join": "SELECT * FROM guarded_ids JOIN parquet.`{path}` ON true LIMIT 3",
+    "a file after a union": "(SELECT id FROM guarded_ids) UNION ALL (SELECT value FROM text.`{path}`) LIMIT 3",
+    "exists": "SELECT id FROM guarded_ids WHERE EXISTS (SELECT 1 FROM text.`{path}`) LIMIT 3",
+    "read_files": "SELECT * FROM read_files('{path}') LIMIT 3",
+    "a table function": "SELECT * FROM range(5) LIMIT 3",
+    "a table function by name": "SELECT * FROM explode(array(1, 2)) LIMIT 3",
+    "another view": "SELECT * FROM unguarded_ids LIMIT 3",
+    "a table of a catalog": "SELECT * FROM default.guarded_ids LIMIT 3",
+    "java_method": "SELECT java_method('java.lang.System', 'getProperty', 'user.home') LIMIT 1",
+    "reflect in a view": "SELECT upper(reflect('java.lang.System', 'getenv', 'HOME')) FROM guarded_ids LIMIT 1",
+    "input_file_name": "SELECT input_file_name() FROM guarded_ids LIMIT 1",
+    "rand": "SELECT rand() FROM guarded_ids LIMIT 1",
+    "a lambda": "SELECT transform(array(1), x -> uuid()) FROM guarded_ids LIMIT 1",
+    "current_user": "SELECT current_user() LIMIT 1",
+    "current_user without brackets": "SELECT current_user LIMIT 1",
+    "a sample": "SELECT * FROM guarded_ids TABLESAMPLE (10 PERCENT) LIMIT 1",
+    "a script": "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM guarded_ids LIMIT 1",
+    "a backquoted name": "SELECT * FROM `text`.`{path}` LIMIT 1",
+    "an order": "SELECT id FROM guarded_ids ORDER BY java_method('java.lang.System', 'nanoTime') LIMIT 1",
+    "a window": "SELECT sum(id) OVER (ORDER BY spark_partition_id()) FROM guarded_ids LIMIT 1",
+    "a column that isn't there": "SELECT nothing FROM guarded_ids LIMIT 1",
+    "an alias in the way": "SELECT * FROM (SELECT 1 AS x) unguarded_ids, unguarded_ids LIMIT 1",
+}
+
+
+@pytest.mark.parametrize("case", sorted(GUARDED))
+def test_guard_refuses(spark, tmp_path, case):
+    (tmp_path / "secret").write_text("secret\n")
+    spark.range(10).createOrReplaceTempView("guarded_ids")
+    spark.range(10).createOrReplaceTempView("unguarded_ids")
+    with pytest.raises(ValueError):
+        questions.guard_sql(spark, GUARDED[case].format(path=tmp_path / "secret"), views=["guarded_ids"])
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT count(*) AS n, max(id) AS m FROM guarded_ids WHERE id % 2 = 0 AND id BETWEEN 1 AND 8 LIMIT 1",
+    "WITH a AS (SELECT id, id * 2 AS y FROM guarded_ids), b AS (SELECT * FROM a) SELECT b.id, upper(concat('x', y)) AS z FROM b JOIN guarded_ids g ON b.id = g.id ORDER BY z DESC LIMIT 5",
+    "SELECT id, row_number() OVER (PARTITION BY id % 3 ORDER BY id) AS rn, CASE WHEN id > 3 THEN 'a' ELSE 'b' END AS c FROM guarded_ids LIMIT 5",
+    "SELECT id FROM guarded_ids WHERE id IN (SELECT max(id) FROM guarded_ids GROUP BY id % 2) LIMIT 5",
+    "SELECT x FROM guarded_ids LATERAL VIEW explode(array(id, id + 1)) t AS x LIMIT 5",
+    "SELECT transform(array(id, 2), v -> v + 1) AS a, cast(id AS string) AS s, extract(year FROM date'2020-01-01') AS y FROM guarded_ids LIMIT 5",
+    "(SELECT id FROM guarded_ids) UNION ALL (SELECT id + 1 FROM guarded_ids) LIMIT 5",
+    "VALUES (1, 'a'), (2, 'b') LIMIT 1",
+    "SELECT id % 2 AS k, array_join(sort_array(collect_set(cast(id AS string))), ',') AS ids FROM guarded_ids GROUP BY 1 HAVING count(*) > 1 LIMIT 5",
+])
+def test_guard_lets_queries_of_the_views_pass(spark, sql):
+    spark.range(10).createOrReplaceTempView("guarded_ids")
+    assert len(questions.run_guarded(spark, sql, views=["guarded_ids"])) > 0
+
+
 def test_guard_caps(spark):
-    safe, warnings = questions.guard_sql(spark, "```sql\nSELECT id FROM range(1000) ORDER BY id LIMIT 900;\n```")
+    spark.range(1000).createOrReplaceTempView("guarded_ids")
+    safe, warnings = questions.guard_sql(spark, "```sql\nSELECT id FROM guarded_ids ORDER BY id LIMIT 900;\n```", views=["guarded_ids"])
     assert "LIMIT 50" in safe and warnings
-    assert len(questions.run_guarded(spark, "SELECT id FROM range(1000) LIMIT 900")) == 50
+    assert len(questions.run_guarded(spark, "SELECT id FROM guarded_ids LIMIT 900", views=["guarded_ids"])) == 50
     assert len(questions.run_guarded(spark, "WITH a AS (SELECT 1 AS x) SELECT x FROM a LIMIT 3")) == 1
 
 
