@@ -24,6 +24,9 @@ LEXICON = t.Lexicon(
     risks=("erth", "queel", "chach"),
 )
 
+#: The same with a name that is a theme and a risk, so that ends have to be told apart by type.
+TYPED = t.Lexicon(themes={"erth": ("erth",), "Ation": ("ation",)}, metrics=("onth", "ment de"), risks=("erth", "queel"))
+
 
 def _read(name: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
@@ -119,6 +122,11 @@ def _markdown(d: DataFrame) -> DataFrame:
     return t.for_graph(t.chunk_documents(d.select(F.col("doc_id"), md.alias("md")), "doc_id", "md"))
 
 
+def _sync_relations(d: DataFrame) -> DataFrame:
+    chunks = _markdown(d).join(d.select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("company")), "document_id")
+    return t.document_relations(chunks, TYPED).select("document_id", "scope", "source_entity_id", "relation", "target_entity_id")
+
+
 _QUESTIONS = {"en": "Across the loaded graph, what risks do companies report for AI", "fr": "What does AI demand affect for cloud backlog", "de": "Which companies are loaded in the graph", "es": "Top entities of the graph"}
 
 
@@ -226,6 +234,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "link_best": _read("pages", lambda p: markup.best_links(markup.links(p))),
     "source_adapter": _read("pages", lambda p: p.select("page_id", markup.adapter(F.col("url")).alias("adapter"), markup.source_type(F.col("url")).alias("source_type"))),
     "markdown_chunks": _read("documents", _markdown),
+    "sync_relations": _read("documents", _sync_relations),
     "batches": _read("documents", _batches),
     "l2_normalize": _read("embeddings", _unit),
     "cosine": _read("embeddings", _cosine),
@@ -285,6 +294,14 @@ w AS (SELECT *, coalesce(trim(CASE WHEN contains(person, ',') THEN string_split(
 t AS (SELECT *, CASE WHEN who IS NULL THEN 'document_overview' WHEN contains(lower(speaker), 'question') OR contains(lower(speaker), 'analyst') THEN 'analyst_question' ELSE 'speaker_statement' END AS chunk_type FROM w)
 SELECT doc_id || '-chunk-' || CASE WHEN index < 100 THEN lpad(CAST(index AS VARCHAR), 3, '0') ELSE CAST(index AS VARCHAR) END AS id, CAST(doc_id AS VARCHAR) AS document_id, index, chunk_type, 'Overview' AS heading, speaker, title, piece AS text,
   start_line, end_line, substr(sha1(piece), 1, 10) AS text_hash, CASE WHEN length(piece) <= 360 THEN piece ELSE rtrim(substr(piece, 1, 359)) || '…' END AS text_preview FROM t WHERE chunk_type <> 'analyst_question'"""
+_TYPED = " UNION ALL ".join(
+    [f"SELECT *, 'theme' AS type, '{k}' AS name FROM ch WHERE {_has('lower(text)', [k.lower(), *v])}" for k, v in TYPED.themes.items()]
+    + [f"SELECT *, '{kind}', '{v}' FROM ch WHERE contains(lower(text), '{v}')" for kind, terms in (("metric", TYPED.metrics), ("risk", TYPED.risks)) for v in terms]
+)
+_ENTITY = "'entity-' || {0}.type || '-' || replace(lower({0}.name), ' ', '-')"
+_SYNCED = f"""WITH ch AS (SELECT c.id, c.document_id, c.text, d.source FROM ({_CHUNKS}) c JOIN documents d ON c.document_id = CAST(d.doc_id AS VARCHAR)), e AS ({_TYPED} UNION ALL SELECT *, 'company', source FROM ch),
+r(a, relation, b) AS (VALUES ('company', 'DISCUSSES', 'theme'), ('theme', 'AFFECTS', 'metric'), ('theme', 'EXPOSED_TO', 'risk'), ('risk', 'PRESSURES', 'metric'))
+SELECT x.document_id, x.id AS scope, {_ENTITY.format("x")} AS source_entity_id, relation, {_ENTITY.format("y")} AS target_entity_id FROM r JOIN e x ON x.type = r.a JOIN e y ON y.type = r.b AND y.id = x.id"""
 _LABEL = "'FY' || year(o_orderdate) || ' Q' || quarter(o_orderdate)"
 _LOADED = f"""WITH o AS (SELECT c_custkey AS id, o_orderpriority AS title, c_nationkey AS company_id, o_orderstatus AS status, {_LABEL} AS label, o_orderkey AS seq FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT 'source_document' AS label, CAST(id AS VARCHAR) AS id, arg_max(company_id || '|' || company_id || '-' || label || '|' || title, seq) AS row FROM o GROUP BY id
@@ -322,6 +339,7 @@ SELECT id AS entity_id, concept_id, confidence, method FROM best QUALIFY row_num
 
 ORACLE_SQL: dict[str, str] = {
     "markdown_chunks": _CHUNKS,
+    "sync_relations": _SYNCED,
     "document_upsert": _LOADED,
     "chunk_upsert": "SELECT id, seq AS load_seq, source AS heading, source AS heading_path, sha1(t) AS text_hash, sha1(CASE WHEN length(t) <= 360 THEN t ELSE rtrim(substr(t, 1, 359)) || '…' END) AS preview FROM (SELECT doc_id // 2 AS id, max(doc_id) AS seq, arg_max(source, doc_id) AS source, arg_max(coalesce(text, ''), doc_id) AS t FROM documents GROUP BY 1)",
     "manifest_entries": _ENTRIES,
