@@ -12,8 +12,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import checkpoint, maybe_broadcast, table
+from .common import checkpoint, maybe_broadcast, stored, table
 
 #: Bucket digests that may be broadcast (two longs each); above it the join shuffles.
 BROADCAST_BUCKETS = 1_000_000
@@ -114,17 +115,40 @@ def _id_buckets(df: DataFrame, id_col: str) -> tuple[Column, int]:
     return last, F.when(F.col(id_col).isNull(), unnamed).otherwise(F.col("_qg_k") * cuts + sub).cast("long"), cuts
 
 
+def _ranged(docs: DataFrame) -> DataFrame:
+    """``docs`` with a bucket that never falls as an id of any type grows: Spark's ranges of ids, written so that they hold; null ids below, by text."""
+    parts = max(1, min(10 * MAX_SPLITS, math.ceil(docs.count() / NEIGHBOUR_ROWS)))
+    named = stored(docs.filter("doc_id is not null").repartitionByRange(parts, "doc_id").withColumn("_qg_b", F.spark_partition_id().cast("long")))
+    unnamed = -1 - F.pmod(F.xxhash64("text"), F.lit(parts))
+    return named.unionByName(docs.filter("doc_id is null").withColumn("_qg_b", unnamed))
+
+
+def _numbered(rows: DataFrame, clash: DataFrame, name: str, canon: str) -> DataFrame:
+    """``rows`` with what tells texts of one digest apart in ``name``: their ordinal, or 0 for a text that no document has."""
+    numbers = F.broadcast(clash.groupBy("fingerprint").agg(F.map_from_entries(F.collect_list(F.struct("canon", "ordinal"))).alias("_qg_ordinals")).withColumnRenamed("fingerprint", "_qg_f"))
+    suffix = F.when(F.col("_qg_f").isNotNull(), F.concat(F.lit("-"), F.coalesce(F.element_at("_qg_ordinals", F.col(canon)), F.lit(0)))).otherwise("")
+    return rows.join(numbers, F.col(name) == F.col("_qg_f"), "left").withColumn(name, F.concat(name, suffix)).drop("_qg_f", "_qg_ordinals")
+
+
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text, of its edited text, and whether they and the next document's agree.
 
     The next document is the one that follows by descending id (null ids last,
-    equal ids by text hash); after the last comes the first.  Equality is that of
-    canonical bytes, so the likeness of two fingerprints is 1 or 0.  A single
+    equal ids by text hash); after the last comes the first.  Ids are of any type that has an
+    order: numbers are cut into stretches by quantiles, others (texts, dates) by Spark's ranges.
+    Equality is that of canonical bytes, so the likeness of two fingerprints is 1 or 0, and
+    fingerprints of texts whose digests collide get a suffix.  A single
     document follows itself; an empty table gives no rows.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    last, bucket, cuts = _id_buckets(docs.select("doc_id"), "doc_id")
-    docs = docs.withColumn("_qg_k", last).withColumn("_qg_b", bucket).drop("_qg_k")
+    clash = collisions(docs)
+    if clash.isEmpty():
+        clash = None
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        last, bucket, cuts = _id_buckets(docs.select("doc_id"), "doc_id")
+        docs = docs.withColumn("_qg_k", last).withColumn("_qg_b", bucket).drop("_qg_k")
+    else:
+        docs, cuts = _ranged(docs), MAX_SPLITS
     docs = docs.repartition("_qg_b").withColumn("canon", canonical(F.col("text"))).withColumn("fingerprint", digest(F.col("canon")))
     in_bucket = Window.partitionBy("_qg_b").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     rows = docs.select(
@@ -138,12 +162,13 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         n = F.char_length("text")
         k = F.floor(n / 3).cast("int")
         rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 3) as int))"), F.substring("next_text", F.lit(1), k)))
-        rows = rows.withColumn("edited_canon", canonical(F.col("edited")))
+        rows = rows.withColumn("edited_canon", canonical(F.col("edited"))).withColumn("edited_fingerprint", digest(F.col("edited_canon")))
+        if clash is not None:
+            rows = _numbered(_numbered(rows, clash, "fingerprint", "canon"), clash, "edited_fingerprint", "edited_canon")
         return rows.select(
             "*",
             n.cast("long").alias("n_chars"),
             F.sha2("edited", 256).alias("edited_sha256"),
-            digest(F.col("edited_canon")).alias("edited_fingerprint"),
             (F.col("edited_canon") == F.col("canon")).cast("double").alias("near_edited"),
             (F.col("next_canon") == F.col("canon")).cast("double").alias("near_next"),
         )
@@ -159,18 +184,11 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     tops = tops.select("k", F.coalesce(F.lead("top").over(down), F.first("top").over(down)).alias("below"))
     step = F.lead("_qg_b").over(Window.partitionBy("k").orderBy(F.col("_qg_b").desc()))
     following = numbers.withColumn("step", step).join(tops, "k").select("_qg_b", F.coalesce("step", "below").alias("_qg_next"))
-    tails = done.filter("_qg_tail").select("_qg_b", "doc_id", "text", "fingerprint").join(following, "_qg_b").join(heads, "_qg_next")
-    tails = tails.withColumn("canon", canonical(F.col("text"))).withColumn("next_canon", canonical(F.col("next_text")))
+    tails = done.filter("_qg_tail").select("_qg_b", "doc_id", "text").join(following, "_qg_b").join(heads, "_qg_next")
+    tails = tails.withColumn("canon", canonical(F.col("text"))).withColumn("fingerprint", digest(F.col("canon"))).withColumn("next_canon", canonical(F.col("next_text")))
     return done.filter("not _qg_tail").select(*result).unionByName(compared(tails).select(*result))
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole text and its edited text; null is empty, repeated rows follow one another, an empty table gives no rows."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = edited_fingerprints(docs)
-    clash = collisions(docs.select("text"))
-    if clash.isEmpty():
-        return out
-    names = docs.select(F.col("doc_id"), canonical(F.col("text")).alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
-    names = names.join(clash, ["fingerprint", "canon"]).select("doc_id", "ordinal").distinct()
-    return out.join(names, "doc_id", "left").withColumn("fingerprint", F.concat("fingerprint", F.coalesce(F.concat(F.lit("-"), "ordinal"), F.lit("")))).drop("ordinal")
+    return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -61,6 +61,35 @@ def test_edited_texts_of_few_rows(spark):
     assert fingerprints.edited_fingerprints(docs(spark, ["a", "b", "b"], [None, 1, 1])).count() == 3
 
 
+@pytest.mark.parametrize("near", [2, 1024])
+def test_edited_texts_of_string_ids(spark, monkeypatch, near):
+    monkeypatch.setattr(fingerprints, "NEIGHBOUR_ROWS", near)
+    rng = random.Random(2)
+    texts = ODD + [prose(rng, rng.randint(1, 40)) for _ in range(60)]
+    ids = [f"doc {i}" for i in rng.sample(range(10**6), len(texts))]
+    got = fingerprints.edited_fingerprints(docs(spark, texts, range(len(texts))).withColumn("doc_id", F.array(*map(F.lit, ids))[F.col("doc_id").cast("int")])).collect()
+    want = {}
+    order = sorted(zip(ids, texts, strict=True), reverse=True)
+    for k, (i, t) in enumerate(order):
+        t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
+        n = len(t) // 3
+        want[i] = hashlib.sha256((t[: len(t) - n] + nxt[:n]).encode()).hexdigest()
+    assert {r["doc_id"]: r["edited_sha256"] for r in got} == want
+    nulls = docs(spark, ["a", "b", "c"]).withColumn("doc_id", F.when(F.col("doc_id") == 1, "x"))
+    assert sorted(str(r["doc_id"]) for r in fingerprints.edited_fingerprints(nulls).collect()) == ["None", "None", "x"]
+
+
+def test_colliding_texts_have_their_own_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "digest", lambda c: F.lit("0" * 32))
+    got = fingerprints.edited_fingerprints(docs(spark, ["aaa", "bbb", "AAA", "bbb", "ab", ""], [None, 1, 1, None, 7, 8])).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["n_chars"] and r["edited_sha256"], r)
+    names = sorted(r["fingerprint"] for r in got)
+    assert len(names) == 6 and len(set(names)) == 4
+    assert all((r["fingerprint"] == r["edited_fingerprint"]) == (r["near_edited"] == 1.0) for r in got)
+
+
 def test_exact_groups(spark):
     rows = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in fingerprints.exact_groups(docs(spark, ["Ａ b", "a  B", "c", None, ""], [9, 4, 3, 2, 1])).collect()}
     assert rows == {9: (4, 2), 4: (4, 2), 3: (3, 1), 2: (1, 2), 1: (1, 2)}
