@@ -353,14 +353,19 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def dedup_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, jaccard: float | None = None) -> DataFrame:
-    """``df`` with one row of each component; the columns stay.  Rows repeated in full stay once."""
+    """``df`` with one row of each component; the columns stay.
+
+    Of several rows with the keeper's id and text, the one whose columns together have the least hash stays.
+    """
     groups = near_groups(df, id_col, text_col, shingle, radius, jaccard)
     keep = checkpoint(groups.filter(F.col(id_col).eqNullSafe(F.col("keeper_id")) & (F.col("text_hash") == F.col("keeper_hash"))).groupBy(F.col(id_col).alias("_qg_id"), F.col("text_hash").alias("_qg_th")).count())
     same = F.col(id_col).eqNullSafe(F.col("_qg_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_qg_th"))
-    out = df.join(keep, same, "left_semi")
-    if keep.filter("count > 1").isEmpty():
-        return out
-    return out.dropDuplicates([id_col, text_col])
+    several = keep.filter("count > 1").drop("count")
+    if several.isEmpty():
+        return df.join(keep, same, "left_semi")
+    one = df.join(keep.filter("count = 1"), same, "left_semi")
+    rows = df.join(several, same).groupBy("_qg_id", "_qg_th").agg(F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.xxhash64(*df.columns)).alias("_qg_row"))
+    return one.unionByName(rows.select("_qg_row.*"))
 
 
 def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

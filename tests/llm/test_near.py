@@ -127,6 +127,9 @@ def test_near_groups_of_odd_tables(spark):
     assert near_dups.dedup_near(docs(spark, [])).count() == 0
     assert near_dups.dedup_near(docs(spark, ["a b c d", "a b c d", None, ""], [None, None, None, 4])).count() == 2
     assert near_dups.dedup_near(docs(spark, ["a b c d"] * 3, [5, 5, 5])).count() == 1
+    rows = docs(spark, ["a b c d"] * 4 + ["e f g h"] * 2, [5, 5, 5, 6, 7, 8], lang=["en", "de", "en", "fr", "en", "en"], source=["x", "y", "x", "x", "x", "x"])
+    kept = {tuple(r) for p in (1, 3) for r in near_dups.dedup_near(rows.repartition(p)).collect()}
+    assert sorted(r[0] for r in kept) == [5, 7]  # the same row of id 5, however rows are dealt
 
 
 def test_whole_table(spark):
