@@ -3,29 +3,39 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import sampled
-from .common import crc_mod
+from .common import checkpoint, crc_mod
 
 HELD_OUT = 5
-#: Longer texts are not drawn into a training sample: the bound of its rows' size.
-SAMPLE_BYTES = 1 << 17
+#: The bound of a label's training texts, in bytes together: all that a driver holds of them follows from it.
+SAMPLE_BYTES = 16 << 20
+#: Rows that are drawn for each row that may teach, so that others take the place of texts beyond the bound.
+SPARE = 2
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_label: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
     """(label, text bytes, k) of about ``per_label`` labelled documents of each label, and how many labels there are.
 
     Only ids whose crc32 as text modulo 5 is not 0 teach.  Ids with contradicting
-    or null labels teach nothing, nor do texts of over SAMPLE_BYTES.  The sample of
-    labels is bounded (0 and 1 are the labels that count), so it is broadcast and no text is shuffled.
+    or null labels teach nothing; rows repeated in full teach once.  Rows are drawn by the hash of their id, and in this order
+    they are taken until there are ``per_label`` of them, or their texts come to SAMPLE_BYTES; long texts are
+    taken like others, and only one that is itself longer than that bound gives its place to the next.  What is
+    drawn is bounded (0 and 1 are the labels that count), so it is broadcast and no text is shuffled to be drawn.
     """
     one = labels.filter(F.col(label).isNotNull() & (crc_mod(id_col, HELD_OUT) != 0)).groupBy(id_col).agg(F.min(label).alias("label"), F.max(label).alias("hi")).filter("label = hi and label in (0, 1)").drop("hi")
     counts = {r["label"]: r["count"] for r in one.groupBy("label").count().collect()}
-    chosen = sampled(one, "label", id_col, per_label)
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).filter(F.coalesce(F.octet_length(text_col), F.lit(0)) <= SAMPLE_BYTES)
-    return rows.select(F.col("label").cast("int").alias("label"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.xxhash64(id_col).alias("k")), counts
+    drawn = sampled(one, "label", id_col, SPARE * per_label)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col).select(F.col("label").cast("int").alias("label"), text.alias("text"), F.xxhash64(F.lit("sample"), id_col).alias("k"), F.xxhash64(text).alias("th"))
+    order = Window.partitionBy("label").orderBy(F.pmod("k", F.lit(1 << 30)), "k", "th")
+    sizes = rows.select("label", "k", "th", F.octet_length("text").cast("long").alias("size")).distinct().filter(F.col("size") <= SAMPLE_BYTES)
+    sizes = sizes.select("label", "k", "th", F.row_number().over(order).alias("n"), F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("bytes"))
+    taken = checkpoint(sizes.filter((F.col("n") <= per_label) & (F.col("bytes") <= SAMPLE_BYTES)).select("k", "th"))
+    rows = rows.join(F.broadcast(taken), ["k", "th"]).dropDuplicates(["k", "th"])
+    return rows.select("label", F.col("text").cast("binary").alias("text"), "k"), counts
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60, l2: float = 1e-3) -> np.ndarray:

@@ -294,10 +294,13 @@ def tag(df: DataFrame, model: tuple[Field | None, float], id_col: str = "doc_id"
 
 
 def reject_toxic(docs: DataFrame, model: tuple[Field | None, float], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; columns stay, whatever their names and nulls."""
-    field, prior = model
+    """``docs`` without the rows that score ``threshold`` or more; columns stay, whatever their names and nulls.
+
+    A model that has seen one label only can't tell rows apart, so it rejects none.
+    """
+    field, _ = model
     if field is None:
-        return docs if prior < threshold else docs.limit(0)
+        return docs
 
     @F.pandas_udf("double")
     def toxic(texts):

@@ -155,6 +155,25 @@ def test_toxic_spans(spark):
     assert kept.columns == new.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3]
 
 
+def test_one_label_rejects_nothing(spark):
+    d = docs(spark, ["a b c", "d e f", None])
+    for value in (0, 1):
+        model = toxicity.train(d, labels_of(spark, [(i, 1, value) for i in range(40)]))
+        assert sorted(r["doc_id"] for r in toxicity.reject_toxic(d, model).collect()) == [0, 1, 2]
+
+
+def test_long_texts_teach_within_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(labelled, "SAMPLE_BYTES", 5000)
+    texts = ["x" * (6000 if i % 10 == 0 else 2000 if i % 10 == 1 else 100) for i in range(600)]
+    d = docs(spark, texts).unionByName(docs(spark, texts))
+    rows, counts = labelled.training_rows(d, labels_of(spark, [(i, int(i % 3 > 0), 0) for i in range(600)]), "quality", 200)
+    got = rows.collect()
+    size = {y: [len(r["text"]) for r in got if r["label"] == y] for y in (0, 1)}
+    assert sum(counts.values()) > 400
+    assert all(3000 < sum(v) <= 5000 and 2000 in v and 6000 not in v for v in size.values())
+    assert len({r["k"] for r in got}) == len(got)
+
+
 def test_chunks_cover_the_document():
     net = quality.fit(np.zeros((0, 264), np.uint8), np.zeros(0))
     rng = np.random.default_rng(1)
