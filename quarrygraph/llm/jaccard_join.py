@@ -10,8 +10,9 @@ each set into segments.
    segments come first.  The number of fragments follows the set's size, in ranges; a set
    near the lower end of its range also meets the range below.  A set with too few
    segments is cut again by another order, and in the end by single n-grams.
-3. Each segment that several classes have makes a group.  First, each class is compared with the least
-   class of its groups.  Groups whose members are then in one component are done.  In
+3. Each segment that several classes have makes a group.  First, each class is compared with the one class of
+   its groups that is in most groups, as it is like many; what is then apart from its group's largest
+   component meets the first class of that.  Groups whose members are then in one component are done.  In
    the others, all pairs of different components are bounded by parities of their
    n-grams (each n-gram flips one bit, so two sets differ in at least as many n-grams as
    bits), and what may be similar is compared.
@@ -179,7 +180,7 @@ def _keyed(texts: DataFrame, percent: int, sample: int = 1) -> DataFrame:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """(name, node, first) of each key with two nodes or more: its nodes, and the least of them; equal groups have equal names."""
+    """(name, node) of each key with two nodes or more; equal groups have equal names."""
 
     def groups(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         new = np.concatenate([[True], key[1:] != key[:-1]])
@@ -189,7 +190,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
         size = np.diff(np.concatenate([starts, [len(key)]]))
         names = np.add.reduceat(_mixed(node.view(np.uint64), 1), starts).view(np.int64)
         keep = np.repeat(size > 1, size)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, size)[keep]), pa.array(node[keep]), pa.array(np.repeat(node[starts], size)[keep])], ["name", "node", "first"])
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, size)[keep]), pa.array(node[keep])], ["name", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = []  # the last key's rows, as more may come
@@ -208,11 +209,11 @@ def _grouped(rows: DataFrame) -> DataFrame:
         if kept:
             yield groups(*[np.concatenate(x) for x in zip(*kept, strict=True)])
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "name bigint, node bigint, first bigint")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "name bigint, node bigint")
 
 
 def similar_groups(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(name, node, first): groups of classes that share a key, equal groups once.
+    """(name, node): groups of classes that share a key, equal groups once.
 
     Keys with more than HOT_SHARE of all rows are looked for on a sample of the classes, which decides
     only how rows are dealt out: their groups are found by aggregates, so no task holds one.
@@ -225,8 +226,8 @@ def similar_groups(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left")
     cold = stored(_grouped(rows.filter("hot is null").select("key", "node")).distinct())
     many = stored(rows.filter("hot").select("key", "node").distinct())
-    named = many.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node))").alias("name")).filter("n > 1").drop("n")
-    return stored(cold.unionByName(many.join(F.broadcast(named), "key").select("name", "node", "first").distinct()))
+    named = many.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node))").alias("name")).filter("n > 1").drop("n")
+    return stored(cold.unionByName(many.join(F.broadcast(named), "key").select("name", "node").distinct()))
 
 
 def _texts_of(texts: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -290,8 +291,8 @@ def linked(texts: DataFrame, standing: DataFrame, pairs: DataFrame, percent: int
 
 
 def parities(s: np.ndarray) -> bytes:
-    """A bit for each n-gram's hash modulo a power of two not below the set's size: whether an odd number has it."""
-    size = max(64, 1 << int(len(s) - 1).bit_length())
+    """A bit for each n-gram's hash modulo a power of two of at least four times the set's size: whether an odd number has it."""
+    size = max(64, 4 << int(len(s) - 1).bit_length())
     return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -376,17 +377,33 @@ def _across(texts: DataFrame, standing: DataFrame, groups: DataFrame, roots: Dat
     return rows.repartition("name", "lo", "hi").sortWithinPartitions("name", "lo", "hi").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) of distinct classes, the lesser first, from ``rows`` of node and other."""
+    return checkpoint(rows.filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+
+
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The classes of all rows (as ``classes`` gives them), and links (a, b) of classes that join up all similar ones."""
     texts = _by_text(df, id_col, text_col)
     rows = checkpoint(classes(df, id_col, text_col))
     standing = checkpoint(rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("_qg_id", "_qg_th")).alias("one")).select("node", "one.*"))
     groups = similar_groups(texts, percent)
-    first = checkpoint(groups.filter("node <> first").groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
-    links = checkpoint(linked(texts, standing, first, percent))
-    roots = components(links)
-    rest = checkpoint(_across(texts, standing, groups, roots, percent).join(first, ["a", "b"], "left_anti"))
-    return rows, links.unionByName(checkpoint(linked(texts, standing, rest, percent)))
+    # a class that many groups have is like many others, so it comes first in each of them
+    degree = groups.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    groups = stored(groups.join(degree, "node").select("name", "node", "degree"))
+    best = F.max(F.struct("degree", "node")).alias("best")
+    tops = groups.groupBy("name").agg(best)
+    done = _pairs(groups.join(tops, "name").groupBy("node").agg(F.max("best").alias("best")).select("node", F.col("best.node").alias("other")))
+    links = checkpoint(linked(texts, standing, done, percent))
+    # then what is still apart meets the first class of its group's largest component
+    named = groups.join(components(links), "node", "left").select("name", "node", "degree", F.coalesce("root", "node").alias("label"))
+    parts = named.groupBy("name", "label").agg(F.count(F.lit(1)).alias("n"), best)
+    major = parts.groupBy("name").agg(F.max(F.struct("n", "label", "best")).alias("m"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("name", F.col("m.label").alias("major"), F.col("m.best").alias("best"))
+    apart = named.join(major, "name").filter("label <> major").groupBy("node").agg(F.max("best").alias("best"))
+    more = checkpoint(_pairs(apart.select("node", F.col("best.node").alias("other"))).join(done, ["a", "b"], "left_anti"))
+    links = checkpoint(links.unionByName(linked(texts, standing, more, percent)))
+    rest = _across(texts, standing, groups.select("name", "node"), components(links), percent).join(done.unionByName(more), ["a", "b"], "left_anti")
+    return rows, links.unionByName(checkpoint(linked(texts, standing, checkpoint(rest), percent)))
 
 
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
