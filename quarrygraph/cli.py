@@ -1,11 +1,12 @@
 """Command line: ingest-markdown, sync, load (load-extracted), reset, embed, ask, tool, key-nodes, explain-node, audit.
 
-A loaded graph is a folder of Parquet tables with the names of ``Graph``'s fields.
+A loaded graph is a folder with tables of the names of ``Graph``'s fields, which change by one commit a load.
 """
 
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
 import sys
 from importlib import import_module
@@ -16,94 +17,106 @@ from pyspark.sql import functions as F
 
 from . import plugins
 from .functions.expressions import preview, short_hash, slug
-from .operators import agent, audit, embeddings, graph_queries, loader, model_ingest, text_graph
+from .operators import agent, audit, embeddings, graph_queries, loader, model_ingest, text_graph, vector_index
 from .operators.answers import answer, node_explanation
 from .operators.questions import query_terms
-from .sources import graph_json, markup, vocabulary
+from .sources import graph_json, markup, storage, vocabulary
 from .sources.star import Graph
 
 TABLES = ("companies", "documents", "calls", "chunks", "entities", "facts", "concepts", "maps_to", "schema_edges")
 KEYED = ("companies", "documents", "calls", "chunks", "entities", "facts", "concepts")
 
 
-def _files(spark: SparkSession, path: str):
-    """(file system, Hadoop path) of a path."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+def open_table(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """One of a graph's tables, also those that queries don't use: extraction_runs, embeddings."""
+    return storage.opened(spark, path, name)
 
 
 def open_graph(spark: SparkSession, path: str) -> Graph:
-    return Graph(**{t: spark.read.parquet(f"{path}/{t}") for t in TABLES})
+    """The graph as of its last whole load."""
+    now = storage.state(spark, path)
+    if not set(TABLES) <= set(now["tables"]):
+        raise ValueError(f"no graph at {path}")
+    return Graph(**{t: storage.opened(spark, path, t, now).drop("edge_key") for t in TABLES})
 
 
 def reset_graph(spark: SparkSession, path: str) -> None:
     """Delete a graph folder's tables; other files in it stay."""
-    for name in (*TABLES, "extraction_runs"):
-        fs, p = _files(spark, f"{path}/{name}")
-        fs.delete(p, True)
+    storage.emptied(spark, path)
 
 
-def load_graph(spark: SparkSession, exports: DataFrame, path: str, ontology: str | None = None, reset: bool = False) -> None:
-    """Extracted graphs into a graph folder, over what it holds; with ``reset`` it is emptied first.
+def _resolved(entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    found = text_graph.resolve_concepts(entities.select("id", "entity_type", F.array("name", "canonical_name", "context", "value").alias("candidates")), aliases)
+    return found.select("entity_id", "concept_id", F.round(F.col("confidence") * 100).cast("int").alias("conf100"))
+
+
+def load_graph(spark: SparkSession, exports: DataFrame, path: str, ontology: str | None = None, reset: bool = False) -> dict:
+    """Extracted graphs into a graph folder, over what it holds, by one commit; with ``reset`` in place of what it holds.
 
     What is loaded again replaces its rows, and nothing else changes: an entity keeps a value or context
-    that the new load doesn't have, and facts may end at entities loaded before.  Concepts, their edges and the
-    entities' concepts are made anew.  All tables are written and their keys checked before any is replaced.
+    that the new load doesn't have, and facts may end at entities loaded before.  Only the hash buckets of the keys at hand
+    are read and written.  A vocabulary that differs from the last one is merged by concept and edge, and all
+    entities are resolved anew; else only those at hand.  Keys are checked before anything counts.  Returns the tables' new state.
     """
-    fs, root = _files(spark, f"{path}/facts")
-    old = vars(open_graph(spark, path)) if fs.exists(root) and not reset else {}
-    rows = graph_json.graph_rows(exports)
-    d = loader.document_tables(rows["documents"])
-    doc = d["source_document"]
-    entities = loader.entity_table(rows["entities"]).select("id", "name", "canonical_name", "entity_type", "value", "context")
-    entities = loader.merged(old.get("entities"), entities, "id", ("value", "context"))
-    chunks = loader.chunk_table(rows["chunks"])
-    chunks = chunks.join(doc.select(F.col("id").alias("document_id"), "call_id"), "document_id", "left").withColumn("day", F.lpad(F.col("index").cast("string"), 9, "0"))
-    chunks = loader.merged(old.get("chunks"), chunks, "id")
-    relations = rows["relations"].withColumns({"chunk_id": F.lit(None).cast("string"), "layer": F.col("properties")["layer"]})
-    facts = loader.relation_tables(relations, entities, chunks)["relation_fact"]
-    facts = facts.select("id", F.col("source_entity_id").alias("from_id"), F.col("target_entity_id").alias("to_id"), "relation_type", "layer", F.round(F.col("confidence") * 100).cast("long").alias("conf100"), "evidence_text", F.col("support").alias("chunk_id"))
-    concepts, aliases, edges = vocabulary.tables(spark, ontology)
-    candidates = entities.select("id", "entity_type", F.array("name", "canonical_name", "context", "value").alias("candidates"))
-    tables = {
-        "companies": loader.merged(old.get("companies"), d["company"].select("id", "name", "ticker", "sector"), "id"),
-        "documents": loader.merged(old.get("documents"), doc.select("id", "title", "source_url", "company_id"), "id"),
-        "calls": loader.merged(old.get("calls"), d["earnings_call"].select("id", "company_id", "fiscal_quarter", "call_date"), "id"),
-        "chunks": chunks,
-        "entities": entities,
-        "facts": loader.merged(old.get("facts"), facts, "id"),
-        "concepts": concepts,
-        "maps_to": text_graph.resolve_concepts(candidates, aliases).select("entity_id", "concept_id", F.round(F.col("confidence") * 100).cast("int").alias("conf100")),
-        "schema_edges": loader.schema_edges(edges, concepts).select("source_id", "relation_type", "target_id"),
-        "extraction_runs": loader.extraction_runs(exports),
-    }
-    if old and _files(spark, f"{path}/extraction_runs")[0].exists(_files(spark, f"{path}/extraction_runs")[1]):
-        tables["extraction_runs"] = loader.merged(spark.read.parquet(f"{path}/extraction_runs"), tables["extraction_runs"], "id")
-    staged = f"{path}/_next-{uuid4().hex}"
-    for name, df in tables.items():
-        df.write.parquet(f"{staged}/{name}")
+    now = storage.state(spark, path)
+    if reset:
+        old_folders = [f"{f}/_bucket={b}" for t in now["tables"].values() for b, f in t["folders"].items()]
+        now = now | {"tables": {}, "tokens": {}, "stale": now["stale"] + old_folders}
+    near = lambda name, keys: storage.near(spark, path, name, keys, "id", now)
+    staged = f"{path}/data/_exports-{uuid4().hex}"
     try:
-        loader.require_keys({t: spark.read.parquet(f"{staged}/{t}") for t in KEYED})
-        for name in tables:
-            fs, target = _files(spark, f"{path}/{name}")
-            fs.delete(target, True)
-            fs.rename(_files(spark, f"{staged}/{name}")[1], target)
+        exports = storage.stored(exports, staged)
+        rows = graph_json.graph_rows(exports)
+        d = loader.document_tables(rows["documents"])
+        doc = d["source_document"]
+        entities = loader.entity_table(rows["entities"]).select("id", "name", "canonical_name", "entity_type", "value", "context")
+        entities = storage.stored(loader.keeping(near("entities", entities), entities, "id", ("value", "context")), f"{staged}-entities")
+        chunks = loader.chunk_table(rows["chunks"])
+        chunks = chunks.join(doc.select(F.col("id").alias("document_id"), "call_id"), "document_id", "left").withColumn("day", F.lpad(F.col("index").cast("string"), 9, "0"))
+        relations = rows["relations"].withColumns({"chunk_id": F.lit(None).cast("string"), "layer": F.col("properties")["layer"]})
+
+        def known(name: str, new: DataFrame, ids: DataFrame) -> DataFrame:
+            """Ids that stand in a table, of those asked for."""
+            old = near(name, ids)
+            return (new.select("id") if old is None else new.select("id").unionByName(old.select("id"))).distinct()
+
+        ends = relations.select(F.explode(F.array("source_entity_id", "target_entity_id")).alias("id"))
+        supports = relations.select(F.explode(F.array("chunk_id", "scope_id")).alias("id")).filter("id is not null")
+        facts = loader.relation_tables(relations, known("entities", entities, ends), known("chunks", chunks, supports))["relation_fact"]
+        facts = facts.select("id", F.col("source_entity_id").alias("from_id"), F.col("target_entity_id").alias("to_id"), "relation_type", "layer", F.round(F.col("confidence") * 100).cast("long").alias("conf100"), "evidence_text", F.col("support").alias("chunk_id"))
+        concepts, aliases, edges = vocabulary.tables(spark, ontology)
+        digest = hashlib.sha1(repr(vocabulary.load(ontology)).encode()).hexdigest()
+        renewed = now["tokens"].get("vocabulary") != digest
+        resolve = entities
+        if renewed and (every := storage.opened(spark, path, "entities", now)) is not None:
+            resolve = every.join(entities.select("id"), "id", "left_anti").unionByName(entities)
+        changes = {
+            "companies": storage.Change(d["company"].select("id", "name", "ticker", "sector"), "id"),
+            "documents": storage.Change(doc.select("id", "title", "source_url", "company_id"), "id"),
+            "calls": storage.Change(d["earnings_call"].select("id", "company_id", "fiscal_quarter", "call_date"), "id"),
+            "chunks": storage.Change(chunks, "id"),
+            "entities": storage.Change(entities, "id"),
+            "facts": storage.Change(facts, "id"),
+            "maps_to": storage.Change(_resolved(resolve, aliases), "entity_id", resolve.select(F.col("id").alias("entity_id"))),
+            "extraction_runs": storage.Change(loader.extraction_runs(exports), "id"),
+        }
+        if renewed:
+            schema_edges = loader.schema_edges(edges, concepts).select("source_id", "relation_type", "target_id").distinct()
+            changes["concepts"] = storage.Change(concepts, "id")
+            changes["schema_edges"] = storage.Change(schema_edges.withColumn("edge_key", F.concat_ws("|", "source_id", "relation_type", "target_id")), "edge_key")
+        return storage.commit(spark, path, changes, now, {"vocabulary": digest}, lambda t: loader.require_keys({k: t[k] for k in KEYED if k in t}))
     finally:
-        fs, folder = _files(spark, staged)
-        fs.delete(folder, True)
+        storage.delete(spark, staged)
+        storage.delete(spark, f"{staged}-entities")
 
 
 def refresh_concepts(spark: SparkSession, path: str, ontology: str | None = None) -> int:
     """Resolve all of a graph's entities anew and replace what they map to; returns the number of mappings."""
-    g = open_graph(spark, path)
-    aliases = vocabulary.tables(spark, ontology)[1]
-    found = text_graph.resolve_concepts(g.entities.select("id", "entity_type", F.array("name", "canonical_name", "context", "value").alias("candidates")), aliases)
-    staged = f"{path}/_next-{uuid4().hex}"
-    found.select("entity_id", "concept_id", F.round(F.col("confidence") * 100).cast("int").alias("conf100")).write.parquet(staged)
-    fs, target = _files(spark, f"{path}/maps_to")
-    fs.delete(target, True)
-    fs.rename(_files(spark, staged)[1], target)
-    return spark.read.parquet(f"{path}/maps_to").count()
+    now = storage.state(spark, path)
+    every = storage.opened(spark, path, "entities", now)
+    rows = _resolved(every, vocabulary.tables(spark, ontology)[1])
+    storage.commit(spark, path, {"maps_to": storage.Change(rows, "entity_id", every.select(F.col("id").alias("entity_id")))}, now)
+    return open_table(spark, path, "maps_to").count()
 
 
 def ask(g: Graph, question: str, limit: int = 12) -> dict:
@@ -125,23 +138,40 @@ def ingest_file(spark: SparkSession, path: str, out: str, company: str, quarter:
 
 
 def embed_chunks(spark: SparkSession, path: str, function, model: str, dimensions: int, force: bool = False, limit: int | None = None) -> dict:
-    """Vectors of the graph's chunks that have none of this model and size, stored beside its tables; returns the coverage."""
+    """Vectors of the graph's chunks that have none of this model and size, in a table of the graph and in its index; returns the coverage.
+
+    Only the buckets of the chunks at hand are written.  The index takes new vectors in; it is built anew where
+    vectors were replaced, or are of another size.
+    """
+    now = storage.state(spark, path)
     g = open_graph(spark, path)
-    fs, at = _files(spark, f"{path}/embeddings")
-    schema = "chunk_id string, embedding array<double>, embedding_model string, embedding_dimensions int, embedding_created_at string"
-    stored = spark.read.parquet(f"{path}/embeddings") if fs.exists(at) else spark.createDataFrame([], schema)
+    stored = storage.opened(spark, path, "embeddings", now)
+    if stored is None:
+        stored = spark.createDataFrame([], "chunk_id string, embedding array<double>, embedding_model string, embedding_dimensions int, embedding_created_at string")
     todo = embeddings.pending(g.chunks.withColumn("index", F.col("day").cast("int")), stored, model, dimensions, force, limit)
     docs = g.documents.select(F.col("id").alias("document_id"), "title", "company_id").join(g.companies.select(F.col("id").alias("company_id"), F.col("name").alias("company"), "ticker"), "company_id", "left")
     texts = todo.select("id", "document_id", "heading", "text").join(docs, "document_id", "left")
     texts = texts.select(F.col("id").alias("chunk_id"), embeddings.embedding_text(F.col("ticker"), F.col("company"), F.substring("title", 1, 512), F.col("heading"), F.col("text")).alias("embedding_text"))
-    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
-    new = embeddings.embed(texts, function, dimensions).select("chunk_id", "embedding", F.lit(model).alias("embedding_model"), "embedding_dimensions", now.alias("embedding_created_at"))
-    staged = f"{path}/_next-{uuid4().hex}"
-    embeddings.store(stored, new.persist()).write.parquet(staged)
-    fs.delete(at, True)
-    fs.rename(_files(spark, staged)[1], at)
-    embeddings.declare_index(spark, f"{path}/indexes", "chunk-vectors", dimensions)
-    return embeddings.coverage(g.chunks, spark.read.parquet(f"{path}/embeddings")).first().asDict()
+    at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    new = embeddings.embed(texts, function, dimensions).select("chunk_id", "embedding", F.lit(model).alias("embedding_model"), "embedding_dimensions", at.alias("embedding_created_at"))
+    aside, index = f"{path}/data/_vectors-{uuid4().hex}", f"{path}/indexes/chunk-vectors"
+    try:
+        new = storage.stored(new, aside)
+        replaced = not new.join(stored.select("chunk_id"), "chunk_id", "left_semi").isEmpty()
+        storage.commit(spark, path, {"embeddings": storage.Change(new, "chunk_id")}, now)
+        if replaced or not storage.exists(spark, f"{index}/index.json"):
+            every = open_table(spark, path, "embeddings").filter((F.col("embedding_model") == model) & (F.col("embedding_dimensions") == dimensions))
+            vector_index.build(every, index, "chunk_id", "embedding")
+        elif not new.isEmpty():
+            vector_index.add(new, index, "chunk_id", "embedding")
+    finally:
+        storage.delete(spark, aside)
+    return embeddings.coverage(g.chunks, open_table(spark, path, "embeddings")).first().asDict()
+
+
+def nearest_chunks(spark: SparkSession, path: str, queries: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, id, cosine, rank): the chunks nearest to query vectors (chunk_id, embedding), by the graph's index."""
+    return vector_index.search(spark, f"{path}/indexes/chunk-vectors", queries, k, "chunk_id", "embedding")
 
 
 def model_graphs(spark: SparkSession, docs: DataFrame, model, mode: str = "batch", seed_themes: list[str] = []) -> dict[str, DataFrame]:  # noqa: B006

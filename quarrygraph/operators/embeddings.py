@@ -53,11 +53,6 @@ def embed(rows: DataFrame, function: Callable[[list[str]], list[list[float]]], d
     return rows.withColumn("embedding", run(text_col)).withColumn("embedding_dimensions", F.lit(dimensions))
 
 
-def store(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New vectors over old ones by chunk."""
-    return old.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new)
-
-
 def coverage(chunks: DataFrame, stored: DataFrame) -> DataFrame:
     rows = chunks.select("id").join(stored.select(F.col("chunk_id").alias("id"), "embedding"), "id", "left")
     return rows.agg(F.count(F.lit(1)).alias("chunks"), F.count("embedding").alias("embedded_chunks"))
@@ -105,9 +100,3 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         return spark.createDataFrame([], "query_id bigint, id bigint, cosine double, rank int")
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def declare_index(spark, path: str, name: str, dimensions: int) -> None:
-    """Note a cosine index over the stored vectors; a search is exact, so there is nothing to build."""
-    row = [(name, safe_dimensions(dimensions), "cosine")]
-    spark.createDataFrame(row, "name string, dimensions int, similarity string").coalesce(1).write.mode("overwrite").json(f"{path}/{name}")

@@ -117,14 +117,12 @@ def extraction_runs(graphs: DataFrame, extractor: str = "quarrygraph") -> DataFr
     )
 
 
-def merged(old: DataFrame | None, new: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``new`` rows over ``old`` ones by key; columns in ``keep`` hold on to the old value where the new one is null."""
+def keeping(old: DataFrame | None, new: DataFrame, key: str, keep: tuple[str, ...]) -> DataFrame:
+    """``new`` rows whose columns in ``keep`` hold on to the old row's value where they have none."""
     if old is None:
         return new
-    if keep:
-        before = old.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in keep])
-        new = new.join(before, new[key] == before["_key"], "left").withColumns({c: F.coalesce(c, f"_{c}") for c in keep}).drop("_key", *[f"_{c}" for c in keep])
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    before = old.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in keep])
+    return new.join(before, new[key] == before["_key"], "left").withColumns({c: F.coalesce(c, f"_{c}") for c in keep}).drop("_key", *[f"_{c}" for c in keep])
 
 
 def require_keys(tables: dict[str, DataFrame], key: str = "id") -> None:

@@ -5,55 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.loader import upsert
+from ..sources import storage
 
-#: Parts of a table by the hash of its key; a batch rewrites those that it touches.
-BUCKETS = 64
-_BUCKET = "_bucket"
+_TABLE = "rows"
 
 
 def upsert_batch(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: a micro-batch over the newest version of each bucket that it touches.
+    """A foreachBatch sink: a micro-batch over the rows of the buckets that it touches, by one commit.
 
-    Versions are folders named by batch that hold the touched buckets, so a batch that
-    runs again writes the same folder and readers never see half a bucket; a version is
-    whole once its _SUCCESS file stands.
+    The commit keeps the batch's number, so a batch that runs again after a crash changes nothing,
+    and readers see all of a batch or nothing.  What no state needs any more is deleted by the next batch.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.withColumn(_BUCKET, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int"))
-        touched = [r[_BUCKET] for r in new.select(_BUCKET).distinct().collect()]  # at most BUCKETS
-        if touched:
-            old = latest(spark, path, batch_id - 1, touched, keep=True)
-            upsert(old, new, key, order).repartition(_BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{path}/v={batch_id:012d}")
+        now = storage.state(spark, path)
+        if now["tokens"].get("batch", -1) >= batch_id:
+            return
+        keys = batch.select(key).distinct()
+        old = storage.near(spark, path, _TABLE, keys, key, now)
+        rows = upsert(None if old is None else old.join(keys, key, "left_semi"), batch, key, order)
+        storage.commit(spark, path, {_TABLE: storage.Change(rows, key)}, now, {"batch": batch_id})
 
     return run
 
 
-def latest(spark: SparkSession, path: str, at_most: int | None = None, buckets: list[int] | None = None, keep: bool = False) -> DataFrame | None:
-    """The table: each bucket (all, or those named) from its newest whole version; None if there is none."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    names = sorted((s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("v=")), reverse=True)
-    newest: dict[int, str] = {}
-    for name in names:
-        if (at_most is None or int(name[2:]) <= at_most) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")):
-            for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")):
-                part = s.getPath().getName()
-                if part.startswith(f"{_BUCKET}="):
-                    newest.setdefault(int(part.partition("=")[2]), f"{path}/{name}/{part}")
-    found = {b: p for b, p in newest.items() if buckets is None or b in buckets}
-    if not found:
-        return None
-    rows = spark.read.parquet(*found.values())
-    return rows.withColumn(_BUCKET, F.regexp_extract(F.input_file_name(), rf"{_BUCKET}=([0-9]+)", 1).cast("int")) if keep else rows
+def latest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table as the last whole batch left it; None if there is none."""
+    return storage.opened(spark, path, _TABLE)
 
 
 def stream_upsert(source: DataFrame, path: str, checkpoint: str, key: str, order: str) -> StreamingQuery:

@@ -140,7 +140,7 @@ def test_loads_add_up_until_a_reset(spark, tmp_path):
     g = cli.open_graph(spark, path)
     assert {r["id"]: r["layer"] for r in g.facts.collect()} == {"fact-rel-a": "insight", "fact-r9": None}  # e1 was loaded before; "gone" never was
     assert {r["id"]: (r["name"], r["value"]) for r in g.entities.collect()} == {"e1": ("AI demand", None), "e2": ("Cloud sales", "5"), "e3": ("Margin", None)}
-    assert {r["name"] for r in g.companies.collect()} == {"Acme", "Beta"} and spark.read.parquet(f"{path}/extraction_runs").count() == 2
+    assert {r["name"] for r in g.companies.collect()} == {"Acme", "Beta"} and cli.open_table(spark, path, "extraction_runs").count() == 2
     before = sorted(map(tuple, g.maps_to.collect()))
     assert cli.refresh_concepts(spark, path) == len(before) > 0 and sorted(map(tuple, cli.open_graph(spark, path).maps_to.collect())) == before
     cli.load_graph(spark, graph_json.read_graphs(spark, str(tmp_path / "b")), path, reset=True)
@@ -150,7 +150,8 @@ def test_loads_add_up_until_a_reset(spark, tmp_path):
         cli.load_graph(spark, graph_json.read_graphs(spark, str(tmp_path / "b")), path)
     assert {r["id"] for r in cli.open_graph(spark, path).documents.collect()} == {"doc-b"}
     cli.reset_graph(spark, path)
-    assert not any((tmp_path / "graph" / t).exists() for t in cli.TABLES)
+    with pytest.raises(ValueError, match="no graph"):
+        cli.open_graph(spark, path)
 
 
 def test_vectors_of_chunks(spark, tmp_path):
@@ -167,9 +168,14 @@ def test_vectors_of_chunks(spark, tmp_path):
         return plugins.hashed_vector(8)(texts)
 
     assert cli.embed_chunks(spark, path, plugins.hashed_vector(8), "m", 8) == {"chunks": 2, "embedded_chunks": 2}
-    rows = spark.read.parquet(f"{path}/embeddings").collect()
+    rows = cli.open_table(spark, path, "embeddings").collect()
     assert all(abs(sum(x * x for x in r["embedding"]) - 1) < 1e-9 for r in rows) and len({r["chunk_id"] for r in rows}) == 2
-    assert [r.asDict() for r in spark.read.json(f"{path}/indexes/chunk-vectors").collect()] == [{"name": "chunk-vectors", "dimensions": 8, "similarity": "cosine"}]
+    note = json.loads((tmp_path / "graph" / "indexes" / "chunk-vectors" / "index.json").read_text())
+    assert (note["name"], note["dimensions"], note["similarity"], note["rows"], len(note["parts"])) == ("chunk-vectors", 8, "cosine", 2, 2)
+    found = cli.nearest_chunks(spark, path, cli.open_table(spark, path, "embeddings"), 5).collect()
+    assert {(r["query_id"], r["id"]) for r in found} == {("c-one", "c-two"), ("c-two", "c-one")}
+    assert cli.embed_chunks(spark, path, plugins.hashed_vector(4), "m2", 4, force=True) == {"chunks": 2, "embedded_chunks": 2}
+    assert json.loads((tmp_path / "graph" / "indexes" / "chunk-vectors" / "index.json").read_text())["dimensions"] == 4
 
 
 def answered(prompt):
@@ -274,7 +280,11 @@ def test_buckets_of_a_stream(spark, tmp_path):
     run(spark.createDataFrame([("k3", 99, 2), ("new", 7, 2)], "k string, v int, seq int"), 1)
     rows = {r["k"]: r["v"] for r in incremental.latest(spark, path).collect()}
     assert rows == {f"k{i}": i for i in range(50)} | {"k3": 99, "new": 7}
-    assert len(list((tmp_path / "t" / "v=000000000001").glob("_bucket=*"))) <= 2
-    run(spark.createDataFrame([("k3", 99, 2), ("new", 7, 2)], "k string, v int, seq int"), 1)
-    assert incremental.latest(spark, path).count() == 51 and incremental.latest(spark, path).columns == ["k", "v", "seq"]
+    assert incremental.storage.state(spark, path)["version"] == 2
+    run(spark.createDataFrame([("k3", 0, 9)], "k string, v int, seq int"), 1)  # the same batch again
+    assert incremental.storage.state(spark, path)["version"] == 2
+    for i in range(2, 6):
+        run(spark.createDataFrame([("k3", i, i + 1)], "k string, v int, seq int"), i)
+    assert len(list((tmp_path / "t" / "data" / "rows").glob("v*/_bucket=*"))) <= 2 * 4 + 2  # older versions go
+    assert incremental.latest(spark, path).count() == 51 and sorted(incremental.latest(spark, path).columns) == ["k", "seq", "v"]
     assert markup is not None
