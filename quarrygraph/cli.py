@@ -1,4 +1,4 @@
-"""Command line: ingest-markdown, sync, load (load-extracted), reset, embed, ask, tool, key-nodes, explain-node, audit.
+"""Command line: ingest-markdown, sync, load (load-extracted), reset, index, embed, ask, tool, key-nodes, explain-node, audit.
 
 A loaded graph is a folder with tables of the names of ``Graph``'s fields, which change by one commit a load.
 """
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from . import plugins
 from .functions.expressions import preview, short_hash, slug
-from .operators import agent, audit, embeddings, graph_queries, loader, model_ingest, text_graph, vector_index
+from .operators import agent, audit, embeddings, graph_queries, loader, model_ingest, search_index, text_graph, vector_index
 from .operators.answers import answer, node_explanation
 from .operators.questions import query_terms
+from .progress import Event, Report, step
 from .sources import graph_json, markup, storage, vocabulary
 from .sources.star import Graph
 
@@ -50,13 +51,14 @@ def _resolved(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     return found.select("entity_id", "concept_id", F.round(F.col("confidence") * 100).cast("int").alias("conf100"))
 
 
-def load_graph(spark: SparkSession, exports: DataFrame, path: str, ontology: str | None = None, reset: bool = False) -> dict:
+def load_graph(spark: SparkSession, exports: DataFrame, path: str, ontology: str | None = None, reset: bool = False, report: Report | None = None) -> dict:
     """Extracted graphs into a graph folder, over what it holds, by one commit; with ``reset`` in place of what it holds.
 
     What is loaded again replaces its rows, and nothing else changes: an entity keeps a value or context
     that the new load doesn't have, and facts may end at entities loaded before.  Only the hash buckets of the keys at hand
     are read and written.  A vocabulary that differs from the last one is merged by concept and edge, and all
     entities are resolved anew; else only those at hand.  Keys are checked before anything counts.  Returns the tables' new state.
+    ``report`` hears of the reading and of each table.
     """
     now = storage.state(spark, path)
     if reset:
@@ -65,7 +67,9 @@ def load_graph(spark: SparkSession, exports: DataFrame, path: str, ontology: str
     near = lambda name, keys: storage.near(spark, path, name, keys, "id", now)
     staged = f"{path}/data/_exports-{uuid4().hex}"
     try:
-        exports = storage.stored(exports, staged)
+        with step(spark, "read exports", report) as own:
+            exports = storage.stored(exports, staged)
+            own.rows = exports.count()
         rows = graph_json.graph_rows(exports)
         d = loader.document_tables(rows["documents"])
         doc = d["source_document"]
@@ -104,7 +108,7 @@ def load_graph(spark: SparkSession, exports: DataFrame, path: str, ontology: str
             schema_edges = loader.schema_edges(edges, concepts).select("source_id", "relation_type", "target_id").distinct()
             changes["concepts"] = storage.Change(concepts, "id")
             changes["schema_edges"] = storage.Change(schema_edges.withColumn("edge_key", F.concat_ws("|", "source_id", "relation_type", "target_id")), "edge_key")
-        return storage.commit(spark, path, changes, now, {"vocabulary": digest}, lambda t: loader.require_keys({k: t[k] for k in KEYED if k in t}))
+        return storage.commit(spark, path, changes, now, {"vocabulary": digest}, lambda t: loader.require_keys({k: t[k] for k in KEYED if k in t}), report)
     finally:
         storage.delete(spark, staged)
         storage.delete(spark, f"{staged}-entities")
@@ -119,8 +123,22 @@ def refresh_concepts(spark: SparkSession, path: str, ontology: str | None = None
     return open_table(spark, path, "maps_to").count()
 
 
-def ask(g: Graph, question: str, limit: int = 12) -> dict:
+def index_graph(spark: SparkSession, path: str) -> None:
+    """Postings of the graph as it is now, for searches; a later load makes them stale, and searches scan until they are built anew."""
+    search_index.build(open_graph(spark, path), f"{path}/indexes/trigrams", storage.state(spark, path)["version"])
+
+
+def narrowed(spark: SparkSession, path: str, g: Graph, terms: list[str]) -> Graph:
+    """What a search for ``terms`` may find of a graph, by its postings where they are of its version."""
+    index = f"{path}/indexes/trigrams"
+    return search_index.narrowed(g, index, terms) if search_index.version(spark, index) == storage.state(spark, path)["version"] else g
+
+
+def ask(g: Graph, question: str, limit: int = 12, path: str | None = None) -> dict:
+    """An answer from the facts that a question's words find; ``path``: the graph's folder, whose postings are used if it has them."""
     terms = query_terms(question)
+    if path:
+        g = narrowed(g.facts.sparkSession, path, g, terms)
     return answer(graph_queries.relation_search(g, terms, limit), terms).first().asDict()
 
 
@@ -137,7 +155,7 @@ def ingest_file(spark: SparkSession, path: str, out: str, company: str, quarter:
     return sync(spark, folder or ".", manifest, out, name, any_source=True)
 
 
-def embed_chunks(spark: SparkSession, path: str, function, model: str, dimensions: int, force: bool = False, limit: int | None = None) -> dict:
+def embed_chunks(spark: SparkSession, path: str, function, model: str, dimensions: int, force: bool = False, limit: int | None = None, report: Report | None = None) -> dict:
     """Vectors of the graph's chunks that have none of this model and size, in a table of the graph and in its index; returns the coverage.
 
     Only the buckets of the chunks at hand are written.  The index takes new vectors in; it is built anew where
@@ -156,9 +174,11 @@ def embed_chunks(spark: SparkSession, path: str, function, model: str, dimension
     new = embeddings.embed(texts, function, dimensions).select("chunk_id", "embedding", F.lit(model).alias("embedding_model"), "embedding_dimensions", at.alias("embedding_created_at"))
     aside, index = f"{path}/data/_vectors-{uuid4().hex}", f"{path}/indexes/chunk-vectors"
     try:
-        new = storage.stored(new, aside)
+        with step(spark, "embed chunks", report) as own:
+            new = storage.stored(new, aside)
+            own.rows = new.count()
         replaced = not new.join(stored.select("chunk_id"), "chunk_id", "left_semi").isEmpty()
-        storage.commit(spark, path, {"embeddings": storage.Change(new, "chunk_id")}, now)
+        storage.commit(spark, path, {"embeddings": storage.Change(new, "chunk_id")}, now, report=report)
         if replaced or not storage.exists(spark, f"{index}/index.json"):
             every = open_table(spark, path, "embeddings").filter((F.col("embedding_model") == model) & (F.col("embedding_dimensions") == dimensions))
             vector_index.build(every, index, "chunk_id", "embedding")
@@ -180,15 +200,17 @@ def model_graphs(spark: SparkSession, docs: DataFrame, model, mode: str = "batch
     return {"chunks": chunks, **model_ingest.extract(docs, chunks, model, mode, seed_themes)}
 
 
-def ingest(spark: SparkSession, docs: DataFrame, lexicon: text_graph.Lexicon | None = None) -> dict[str, DataFrame]:
-    """Markdown documents (document_id, company, markdown) to chunk, entity and relation rows."""
+def ingest(spark: SparkSession, docs: DataFrame, lexicon: text_graph.Lexicon | None = None, aside: str | None = None) -> dict[str, DataFrame]:
+    """Markdown documents (document_id, company, markdown) to chunk, entity and relation rows; chunks are kept at ``aside``, so that documents are parsed once."""
     chunks = text_graph.chunk_documents(docs)
+    if aside:
+        chunks = storage.stored(chunks, aside)
     used = text_graph.for_graph(chunks).join(docs.select("document_id", "company"), "document_id")
     entities = text_graph.extract_entities(used, "id", "text", lexicon)
     return {"chunks": chunks, "entities": entities, "relations": text_graph.document_relations(used, lexicon)}
 
 
-def sync(spark: SparkSession, folder: str, manifest: DataFrame, out: str, pattern: str = "*.md", limit: int | None = None, force: bool = False, any_source: bool = False, lexicon: text_graph.Lexicon | None = None) -> int:
+def sync(spark: SparkSession, folder: str, manifest: DataFrame, out: str, pattern: str = "*.md", limit: int | None = None, force: bool = False, any_source: bool = False, lexicon: text_graph.Lexicon | None = None, report: Report | None = None) -> int:
     """Markdown files with their manifest entries to exported graphs; returns how many were made.
 
     Files that have an export are left alone unless ``force``; only conference calls
@@ -209,7 +231,13 @@ def sync(spark: SparkSession, folder: str, manifest: DataFrame, out: str, patter
         if done is not None:
             rows = rows.join(done.select(F.col("document.id").alias("document_id")), "document_id", "left_anti")
     rows = rows.orderBy("filename").limit(limit) if limit else rows
-    made = ingest(spark, rows, lexicon)
+    staged = storage.scratch(spark, "sync")
+    with step(spark, "read documents", report) as own:
+        rows = storage.stored(rows, f"{staged}/documents")
+        own.rows = rows.count()
+    with step(spark, "cut chunks", report) as own:
+        made = ingest(spark, rows, lexicon, f"{staged}/chunks")
+        own.rows = made["chunks"].count()
     chunk = F.struct("id", "document_id", "index", "chunk_type", "heading", "text", "start_line", "end_line", F.col("speaker").alias("speaker_name"), F.col("title").alias("speaker_title"), "text_hash")
     chunks = made["chunks"].groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("index", chunk.alias("c")))).alias("c")).select("document_id", F.transform("c", lambda x: x["c"]).alias("chunks"))
     scope = made["chunks"].select(F.col("id").alias("scope"), "document_id")
@@ -229,7 +257,10 @@ def sync(spark: SparkSession, folder: str, manifest: DataFrame, out: str, patter
     overview = text_graph.overviews(rows.select("document_id", "company", "quarter"), made["chunks"], named, rel.select("document_id", "id"))
     graphs = rows.select("document_id", doc.alias("document")).join(overview, "document_id", "left").join(chunks, "document_id", "left").join(entities, "document_id", "left").join(relations, "document_id", "left").drop("document_id")
     before = 0 if (done := _exports(spark, out)) is None else done.count()
-    graphs.write.mode("overwrite" if force else "append").json(out)
+    with step(spark, "write exports", report) as own:
+        graphs.write.mode("overwrite" if force else "append").json(out)
+        own.rows = rows.count()
+    storage.delete(spark, staged)
     return _exports(spark, out).count() - (0 if force else before)
 
 
@@ -241,6 +272,10 @@ def _exports(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.schema(graph_json.GRAPH_SCHEMA).json(path).withColumn("load_seq", F.input_file_name())
 
 
+def _told(e: Event) -> None:
+    print(json.dumps({"step": e.step, "state": e.state, "tasks": f"{e.done}/{e.total}", "rows": e.rows, "seconds": round(e.seconds, 1)}), file=sys.stderr)
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quarrygraph")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -251,6 +286,7 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("--ontology")
         c.add_argument("--reset", action="store_true")
     commands.add_parser("reset")
+    commands.add_parser("index")
     c = commands.add_parser("ingest-markdown")
     c.add_argument("file")
     c.add_argument("--company", required=True)
@@ -289,10 +325,14 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("exports")
     c.add_argument("--strict", action="store_true")
     parser.add_argument("--graph", default="graph")
+    parser.add_argument("--progress", action="store_true", help="tell of each step on standard error")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("quarrygraph").getOrCreate()
+    report = _told if args.progress else None
     if args.command in ("load", "load-extracted"):
-        load_graph(spark, graph_json.read_graphs(spark, args.exports, args.pattern), args.graph, args.ontology, args.reset)
+        load_graph(spark, graph_json.read_graphs(spark, args.exports, args.pattern), args.graph, args.ontology, args.reset, report)
+    elif args.command == "index":
+        index_graph(spark, args.graph)
     elif args.command == "reset":
         reset_graph(spark, args.graph)
     elif args.command == "ingest-markdown":
@@ -300,12 +340,12 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "embed":
         module, _, name = args.function.partition(":")
         function = getattr(import_module(module), name) if name else plugins.hashed_vector(args.dimensions)
-        print(json.dumps(embed_chunks(spark, args.graph, function, args.model, args.dimensions, args.force, args.limit)))
+        print(json.dumps(embed_chunks(spark, args.graph, function, args.model, args.dimensions, args.force, args.limit, report)))
     elif args.command == "sync":
-        n = sync(spark, args.folder, markup.read_manifest(spark, args.manifest), args.out, args.pattern, args.limit, args.force, args.any_source)
+        n = sync(spark, args.folder, markup.read_manifest(spark, args.manifest), args.out, args.pattern, args.limit, args.force, args.any_source, report=report)
         print(json.dumps({"exported": n}))
         if not args.json_only:
-            load_graph(spark, _exports(spark, args.out), args.graph)
+            load_graph(spark, _exports(spark, args.out), args.graph, report=report)
     elif args.command == "audit":
         rows = audit.audit_exports(graph_json.read_graphs(spark, args.exports)).collect()
         for r in rows:
@@ -314,7 +354,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         g = open_graph(spark, args.graph)
         if args.command == "ask":
-            print(json.dumps(ask(g, args.question, args.limit), ensure_ascii=False))
+            print(json.dumps(ask(g, args.question, args.limit, args.graph), ensure_ascii=False))
         elif args.command == "tool":
             print(agent.respond(g, args.question, args.tool, limit=args.limit))
         elif args.command == "explain-node":

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import asc, contains_any, desc, joined
 from ..sources.star import Graph, with_index
+from ..sources.storage import stored
 
 TYPE_WEIGHTS = {"Theme": 8, "MetricValue": 8, "Metric": 7, "BusinessOutcome": 7, "Risk": 7, "Product": 6, "BusinessSegment": 5}
 BULLISH = ("DRIVES", "INCREASES", "OFFSETS", "GUIDES_TO", "CONVERTS_TO")
@@ -161,18 +162,26 @@ def cli_relations(g: Graph, terms: list[str], limit: int = 12) -> DataFrame:
     return _shaped(rows, "matched_terms", "source_url").orderBy(*order).limit(limit)
 
 
-def _searched(g: Graph, terms: list[str]) -> DataFrame:
-    """Facts with matched_terms over names, canonical names, values, contexts, concepts, evidence and relation."""
+def entity_texts(g: Graph) -> DataFrame:
+    """(id, text, name): what searches look at of an entity, in lower case, and its name."""
+    c = g.concepts.select(F.col("id").alias("concept_id"), F.concat_ws("\x01", "name", "description").alias("text"))
+    mapped = g.maps_to.join(c, "concept_id").groupBy(F.col("entity_id").alias("id")).agg(F.concat_ws("\x01", F.collect_set("text")).alias("concept_text"))
+    return g.entities.join(mapped, "id", "left").select("id", F.lower(F.concat_ws("\x01", "name", "canonical_name", "value", "context", "concept_text")).alias("text"), "name")
+
+
+def _searched(g: Graph, terms: list[str], names: bool = False) -> DataFrame:
+    """Facts with matched_terms over names, canonical names, values, contexts, concepts, evidence and relation.
+
+    With ``names`` also source and target: the names come along with the hits, so that facts meet the entities once a side.
+    """
     terms = list(dict.fromkeys(t.lower() for t in terms))
     if not terms:
         return g.facts.withColumn("matched_terms", F.array().cast("array<string>"))
-    c = g.concepts.select(F.col("id").alias("concept_id"), F.concat_ws("\x01", "name", "description").alias("text"))
-    mapped = g.maps_to.join(c, "concept_id").groupBy(F.col("entity_id").alias("id")).agg(F.concat_ws("\x01", F.collect_set("text")).alias("concept_text"))
-    text = F.lower(F.concat_ws("\x01", "name", "canonical_name", "value", "context", "concept_text"))
-    hits = g.entities.join(mapped, "id", "left").select("id", _bits(text, terms).alias("hits"))
+    hits = entity_texts(g).select("id", _bits(F.col("text"), terms).alias("hits"), "name")
     facts = g.facts
-    for side in ("from", "to"):
-        facts = facts.join(hits.select(F.col("id").alias(f"{side}_id"), F.col("hits").alias(f"{side}_hits")), f"{side}_id")
+    for side, name in (("from", "source"), ("to", "target")):
+        own = [F.col("id").alias(f"{side}_id"), F.col("hits").alias(f"{side}_hits"), *([F.col("name").alias(name)] if names else [])]
+        facts = facts.join(hits.select(*own), f"{side}_id")
     own = _bits(F.lower(F.concat_ws("\x01", "evidence_text", "relation_type")), terms)
     facts = facts.withColumn("_hits", F.col("from_hits").bitwiseOR(F.col("to_hits")).bitwiseOR(own)).filter("_hits <> 0")
     named = F.array_compact(F.array(*[F.when(F.col("_hits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(t)) for i, t in enumerate(terms)]))
@@ -200,7 +209,7 @@ def _placed(g: Graph, facts: DataFrame) -> DataFrame:
     where = where.join(g.companies.select(F.col("id").alias("company_id"), F.col("name").alias("company"), "ticker"), "company_id")
     f = facts.withColumnsRenamed({"id": "fact_id", "from_id": "source_id", "to_id": "target_id"})
     rows = f.filter("chunk_id is not null").join(where, "chunk_id", "left").unionByName(f.filter("chunk_id is null"), allowMissingColumns=True)
-    for side in ("source", "target"):
+    for side in {"source", "target"} - set(rows.columns):
         rows = rows.join(g.entities.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(side)), f"{side}_id")
     return rows.withColumns({"relation": F.col("relation_type"), "relation_layer": F.coalesce("layer", F.lit("coverage")), "evidence": F.col("evidence_text"), "confidence": F.col("conf100") / 100.0})
 
@@ -231,8 +240,12 @@ def _widened(g: Graph, top: DataFrame, *more: str) -> DataFrame:
 
 
 def relation_search(g: Graph, terms: list[str], limit: int = 50, ticker: str = "") -> DataFrame:
-    """Facts by keyword, insights first, then terms matched, then confidence; a ticker drops unsupported facts."""
-    rows = _placed(g, _searched(g, terms))
+    """Facts by keyword, insights first, then terms matched, then confidence; a ticker drops unsupported facts.
+
+    Like the other searches it returns at most COUNT_CAP rows, as they pass through the driver.
+    """
+    limit = clamp_limit(limit, COUNT_CAP)
+    rows = _placed(g, _searched(g, terms, names=True))
     if ticker:
         rows = rows.filter(F.col("ticker") == ticker)
     return _widened(g, rows.orderBy(*_search_order()).limit(limit)).orderBy(*_search_order())
@@ -240,10 +253,10 @@ def relation_search(g: Graph, terms: list[str], limit: int = 50, ticker: str = "
 
 def balanced_relation_search(g: Graph, terms: list[str], limit: int = 50) -> DataFrame:
     """relation_search dealt round-robin over companies: each one's best, then each one's second, and so on."""
-    bucket = F.coalesce("company", F.lit("Unknown"))
+    bucket, limit = F.coalesce("company", F.lit("Unknown")), clamp_limit(limit, COUNT_CAP)
     # ranks beyond the limit can't be returned, so each task keeps only the top of each company before rows are dealt out
     w = Window.partitionBy("bucket").orderBy(*_search_order())
-    rows = _placed(g, _searched(g, terms)).withColumn("bucket", bucket).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    rows = _placed(g, _searched(g, terms, names=True)).withColumn("bucket", bucket).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
     return _widened(g, rows.orderBy("rank", "bucket").limit(limit), "rank", "bucket").orderBy("rank", "bucket").drop("bucket")
 
 
@@ -262,7 +275,8 @@ def relation_count(g: Graph, terms: list[str], ticker: str = "") -> DataFrame:
 
 def connected_nodes(g: Graph, terms: list[str], limit: int = 60, ticker: str = "", nodes_per_company: int = 3, chunks_per_node: int = 2) -> DataFrame:
     """The best connected entities of each company in the search's scope, with their first fact rows that have a text."""
-    facts = _placed(g, _searched(g, terms).filter("chunk_id is not null")).filter("company_id is not null")
+    limit = clamp_limit(limit, COUNT_CAP)
+    facts = _placed(g, _searched(g, terms, names=True).filter("chunk_id is not null")).filter("company_id is not null")
     if ticker:
         facts = facts.filter(F.col("ticker") == ticker)
     ends = facts.withColumn("focus_node_id", F.explode(F.array_distinct(F.array("source_id", "target_id"))))
@@ -348,6 +362,28 @@ def schema_closure(g: Graph, hops: int = 4) -> DataFrame:
     return reached
 
 
+def ancestors(g: Graph, types: tuple[str, ...] | None = ("IS_A", "PART_OF"), most: int | None = None) -> DataFrame:
+    """(concept_id, reached_id, hops, path): what each concept reaches over outgoing schema edges all of which have one of ``types``.
+
+    ``path`` is a shortest path's edge types and concepts, `IS_A 7 > PART_OF 9`, the least of several.  Each round follows edges from what
+    the last one has newly reached, and the search ends when that is nothing (or after ``most`` edges), so cycles do no harm.
+    """
+    edges = g.schema_edges if types is None else g.schema_edges.filter(F.col("relation_type").isin(*types))
+    step = edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("next"), F.concat_ws(" ", "relation_type", "target_id").alias("edge")).distinct()
+    reached = front = stored(g.concepts.select(F.col("id").alias("concept_id"), F.col("id").alias("reached_id"), F.lit(0).alias("hops"), F.lit("").alias("path")))
+    hops = 0
+    while most is None or hops < most:
+        hops += 1
+        longer = F.when(F.col("path") == "", F.col("edge")).otherwise(F.concat_ws(" > ", "path", "edge"))
+        met = front.join(step, F.col("reached_id") == F.col("at")).select("concept_id", F.col("next").alias("reached_id"), longer.alias("path"))
+        met = met.join(reached.select("concept_id", "reached_id"), ["concept_id", "reached_id"], "left_anti")
+        front = stored(met.groupBy("concept_id", "reached_id").agg(F.lit(hops).alias("hops"), F.min("path").alias("path")))
+        if front.isEmpty():
+            break
+        reached = stored(reached.unionByName(front))
+    return reached
+
+
 def ontology_relations(g: Graph, terms: list[str] | None = None, ticker: str = "", limit: int = 100) -> DataFrame:
     """Facts rolled up to the concepts of their ends, and the schema's own edges (which terms don't filter)."""
     facts = _searched(g, terms or [])
@@ -414,10 +450,11 @@ def concept_chunks(g: Graph, concept_id: int, limit: int = 20, ticker: str = "")
     if ticker:
         ev = ev.filter(F.col("ticker") == ticker)
     rows = per.join(ev, "chunk_id").withColumn("concept_id", F.lit(concept_id))
-    indexed = with_index(g.chunks).select(F.col("id").alias("chunk_id"), F.col("index").alias("chunk_index"))
-    best = rows.orderBy(desc("relation_count"), asc("company"), asc("document_id"), asc("chunk_id")).limit(limit)
-    out = best.join(indexed, "chunk_id", "left").select("concept_id", "chunk_id", "chunk_index", "chunk_text", "document_id", "company", "ticker", "matched_entities", "relation_types", "relation_count")
-    return out.orderBy(desc("relation_count"), asc("company"), asc("document_id"), asc("chunk_index"), asc("chunk_id"))
+    # chunks are numbered in the documents at hand only
+    of_documents = g.chunks.join(rows.select("document_id").distinct(), "document_id", "left_semi")
+    indexed = with_index(of_documents).select(F.col("id").alias("chunk_id"), F.col("index").alias("chunk_index"))
+    out = rows.join(indexed, "chunk_id", "left").select("concept_id", "chunk_id", "chunk_index", "chunk_text", "document_id", "company", "ticker", "matched_entities", "relation_types", "relation_count")
+    return out.orderBy(desc("relation_count"), asc("company"), asc("document_id"), asc("chunk_index"), asc("chunk_id")).limit(limit)
 
 
 def with_paths(rows: DataFrame) -> DataFrame:

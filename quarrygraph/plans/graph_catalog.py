@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import graph_queries as q
 from ..operators import payload as p
+from ..operators import search_index
 from ..sources.star import star_graph
+from ..sources.storage import scratch
 from .prelude import PRELUDE, ROW, SEARCH_ORDER, searched
 
 TERMS = ["ring", "brand 7", "open demand", "pressures"]
@@ -29,6 +31,17 @@ def _on_graph(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: _flat(f(star_graph(spark, sf_dir)))
 
 
+def _indexed(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    """A search by postings that are built for it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g, path = star_graph(spark, sf_dir), scratch(spark, "postings")
+        search_index.build(g, path)
+        return _flat(f(g, path))
+
+    return run
+
+
 def _payload_rows(g) -> DataFrame:
     return q.relation_search(g, TERMS, 400)
 
@@ -65,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "relation_balanced": _on_graph(lambda g: q.balanced_relation_search(g, TERMS, 250)),
     "relation_count": _on_graph(lambda g: q.relation_count(g, TERMS)),
     "relation_count_company": _on_graph(lambda g: q.relation_count(g, TERMS, TICKER)),
+    "relation_search_indexed": _indexed(lambda g, path: search_index.relation_search_indexed(g, path, TERMS, 300)),
+    "relation_count_indexed": _indexed(lambda g, path: search_index.relation_count_indexed(g, path, TERMS)),
     "connected_nodes": _on_graph(lambda g: q.connected_nodes(g, TERMS, 200)),
     "graph_counts": _on_graph(q.graph_counts),
     "source_documents": _on_graph(q.source_documents),
@@ -75,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ontology_edges_company": _on_graph(lambda g: q.ontology_relations(g, [], TICKER, 1000)),
     "ontology_edge_count": _on_graph(lambda g: q.ontology_relation_count(g, TERMS)),
     "ontology_schema_closure": _on_graph(q.schema_closure),
+    "concept_ancestors": _on_graph(q.ancestors),
     "concept_options": _on_graph(q.concept_options),
     "concept_context": _on_graph(lambda g: q.concept_context(g, CONCEPT)),
     "concept_chunks": _on_graph(lambda g: q.concept_chunks(g, CONCEPT, 200)),
@@ -179,6 +195,9 @@ ORACLE_SQL: dict[str, str] = {
     "ontology_edges_company": _ontology([], 1000, TICKER),
     "ontology_edge_count": f"SELECT count(*) AS count FROM ({_ontology(TERMS, q.COUNT_CAP)})",
     "ontology_schema_closure": PRELUDE + ", reach(concept_id, reached_id, hop) AS (SELECT id, id, 0 FROM concept UNION SELECT concept_id, target_id, hop + 1 FROM reach JOIN sedge ON reached_id = source_id WHERE hop < 4) SELECT DISTINCT concept_id, reached_id FROM reach",
+    "concept_ancestors": PRELUDE + """, up AS (SELECT * FROM sedge WHERE relation_type IN ('IS_A', 'PART_OF')),
+      walk(concept_id, reached_id, hops, path) AS (SELECT id, id, 0, '' FROM concept UNION SELECT concept_id, target_id, hops + 1, CASE path WHEN '' THEN '' ELSE path || ' > ' END || relation_type || ' ' || target_id FROM walk JOIN up ON reached_id = source_id WHERE hops < 9)
+      SELECT concept_id, reached_id, hops, path FROM walk QUALIFY row_number() OVER (PARTITION BY concept_id, reached_id ORDER BY hops, path) = 1""",
     "concept_options": PRELUDE + "SELECT id AS concept_id, name, concept_type, description, (SELECT count(DISTINCT entity_id) FROM maps WHERE concept_id = concept.id) AS mapped_entities, (SELECT count(DISTINCT target_id) FROM sedge WHERE source_id = concept.id) + (SELECT count(DISTINCT source_id) FROM sedge WHERE target_id = concept.id) AS linked_concepts FROM concept",
     "concept_context": PRELUDE + f""", top AS (SELECT id, name FROM entity WHERE id IN (SELECT entity_id FROM maps WHERE concept_id = {CONCEPT}) ORDER BY name, id LIMIT 10),
       rt AS (SELECT relation_type, count(DISTINCT id) AS n FROM ends WHERE node IN (SELECT id FROM top) GROUP BY 1)
@@ -186,7 +205,7 @@ ORACLE_SQL: dict[str, str] = {
       (SELECT string_agg(name || ' ' || id, '|' ORDER BY name || ' ' || id) FROM top) AS entities, (SELECT string_agg(relation_type || ' ' || n, '|' ORDER BY relation_type || ' ' || n) FROM rt) AS relations FROM concept WHERE id = {CONCEPT}""",
     "concept_chunks": PRELUDE + f""", idx AS (SELECT id, row_number() OVER (PARTITION BY document_id ORDER BY day, id) AS i FROM chunk),
       per AS (SELECT chunk_id, list_sort(list(DISTINCT name))[1:6] AS es, list_sort(list(DISTINCT relation_type))[1:6] AS rs, count(DISTINCT ends.id) AS relation_count FROM ends JOIN entity ON node = entity.id WHERE chunk_id IS NOT NULL AND node IN (SELECT entity_id FROM maps WHERE concept_id = {CONCEPT}) GROUP BY chunk_id)
-      SELECT {CONCEPT} AS concept_id, per.chunk_id, i AS chunk_index, chunk_text, document_id, company, ticker, array_to_string(es, '|') AS matched_entities, array_to_string(rs, '|') AS relation_types, relation_count FROM per JOIN ev ON per.chunk_id = ev.chunk_id JOIN idx ON per.chunk_id = idx.id ORDER BY relation_count DESC, company, document_id, per.chunk_id LIMIT 200""",
+      SELECT {CONCEPT} AS concept_id, per.chunk_id, i AS chunk_index, chunk_text, document_id, company, ticker, array_to_string(es, '|') AS matched_entities, array_to_string(rs, '|') AS relation_types, relation_count FROM per JOIN ev ON per.chunk_id = ev.chunk_id JOIN idx ON per.chunk_id = idx.id ORDER BY relation_count DESC, company, document_id, i, per.chunk_id LIMIT 200""",
     "tool_deep_dive": _AGENT + f"SELECT {_AGENT_COLUMNS} FROM agent WHERE {_any('lower(concat_ws(chr(1), company, ticker))', COMPANY_TERMS)} AND {_any('own', TOPIC_TERMS)} ORDER BY coalesce(confidence, 0) DESC, fact_id LIMIT 25",
     "tool_positive_demand": _category(CATEGORY, DEMAND),
     "tool_risks": _category(RISK_CATEGORY, RISK),
@@ -205,3 +224,5 @@ ORACLE_SQL: dict[str, str] = {
     "company_context_edges": _TOP400 + f", edges AS ({_EDGES}), f AS (SELECT n, min((id, e)) AS place FROM (SELECT source AS n, id, 0 AS e FROM edges UNION ALL SELECT target, id, 1 FROM edges) GROUP BY n ORDER BY place LIMIT 24) SELECT 'company-nation-' || n AS id, 'company-nation' AS source, CAST(n AS VARCHAR) AS target, 'HAS_CONTEXT' AS label, 'company_scope' AS layer FROM f",
     "edge_table": _TOP400 + f", edges AS ({_EDGES}), nodes AS ({_NODES}) SELECT edges.*, a.label AS source_label, b.label AS target_label FROM edges JOIN nodes a ON source = a.id JOIN nodes b ON target = b.id",
 }
+#: Postings change what is read, not what is found.
+ORACLE_SQL |= {f"{name}_indexed": ORACLE_SQL[name] for name in ("relation_search", "relation_count")}

@@ -11,9 +11,9 @@ from ..functions import expressions as x
 from ..functions import fixed_values as fixed
 from ..operators import audit as audits
 from ..operators import embeddings as emb
-from ..operators import loader, questions
+from ..operators import loader, questions, vector_index
 from ..operators import text_graph as t
-from ..sources import markup, vocabulary
+from ..sources import graph_json, markup, storage, vocabulary
 from ..sources.star import star_graph, with_index
 from .prelude import PRELUDE, sql_list
 
@@ -105,11 +105,47 @@ def _nearest(e: DataFrame) -> DataFrame:
     return emb.nearest(e, e.filter("vec_id % 100 = 0"), 5).select("query_id", "id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def _indexed(e: DataFrame) -> DataFrame:
+    path = storage.scratch(e.sparkSession, "index")
+    vector_index.build(e, path)
+    return vector_index.search(e.sparkSession, path, e.filter("vec_id % 100 = 0"), 5).select("query_id", "id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
 def _cosine(e: DataFrame) -> DataFrame:
     v = x.l2_normalised(F.col("embedding"))
     return e.select("vec_id", F.round(x.dot(v, F.reverse(v)), 6).alias("cosine"))
 
 
+def _exported(rows: DataFrame, kind: str, confidence: float) -> DataFrame:
+    """Texts (key, text, company) as extracted graphs: a document with one chunk, its entities and its relations."""
+    ident = F.concat(F.lit(f"{kind}-"), "key")
+    found = t.scope_relations(rows.withColumn("id", ident), F.col("company"), F.col("text"), LEXICON)
+    ends = lambda r, side: t.entity_id(r[f"{side}_type"], r[side])
+    firm = F.array(F.struct(F.lit("Company").alias("type"), F.col("company").alias("name")))
+    entities = F.transform(F.concat(t.entities_of(F.col("text"), LEXICON), firm), lambda e: F.struct(t.entity_id(e["type"], e["name"]).alias("id"), e["name"].alias("name"), e["type"].alias("entity_type")))
+    relations = F.transform("relations", lambda r, i: F.struct(
+        F.concat_ws("-", F.col("id"), i.cast("string")).alias("id"), ends(r, "source").alias("source_entity_id"), r["relation"].alias("relation_type"), ends(r, "target").alias("target_entity_id"), F.concat(F.col("id"), F.lit("-c")).alias("scope_id"), F.lit(confidence).alias("confidence")))
+    document = F.struct(F.col("id"), F.lit(kind).alias("title"), F.col("company").alias("company_id"), F.col("company").alias("company_name"), F.lit("FY2026 Q1").alias("fiscal_quarter"), F.concat(F.lit("call-"), "company").alias("call_id"))
+    chunk = F.array(F.struct(F.concat("id", F.lit("-c")).alias("id"), F.col("id").alias("document_id"), F.lit(1).alias("index"), F.col("text")))
+    body = F.to_json(F.struct(document.alias("document"), chunk.alias("chunks"), entities.alias("entities"), relations.alias("relations")))
+    return found.select(F.from_json(body, graph_json.GRAPH_SCHEMA).alias("g"), "id").select("g.*", F.col("id").alias("file"), F.col("id").alias("load_seq"))
+
+
+def _loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, then documents anew with pages, loaded over each other: the facts that stand in the end."""
+    from ..cli import load_graph, open_graph
+
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    docs = read("documents").select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").alias("company"))
+    pages = read("pages").select(F.col("page_id").alias("key"), F.coalesce("html", F.lit("")).alias("text"), F.lit("web").alias("company"))
+    path = storage.scratch(spark, "loads")
+    for exports in (_exported(docs, "doc", 0.5), _exported(pages, "page", 0.7).unionByName(_exported(docs, "doc", 0.9))):
+        load_graph(spark, exports, path)
+    g = open_graph(spark, path)
+    names = lambda side: g.entities.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(side))
+    return g.facts.join(names("from"), "from_id").join(names("to"), "to_id").select("from_id", "from", "relation_type", "to_id", "to", "conf100", "chunk_id")
+
+
 def _batches(d: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
@@ -239,6 +275,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "l2_normalize": _read("embeddings", _unit),
     "cosine": _read("embeddings", _cosine),
     "cosine_topk": _read("embeddings", _nearest),
+    "cosine_topk_indexed": _read("embeddings", _indexed),
+    "loads_add_up": _loads,
     "entity_upsert": _read("events", _entity_upsert),
     "relation_upsert": _relations_loaded,
     "constraint_check": _constraints,
@@ -302,6 +340,13 @@ _ENTITY = "'entity-' || {0}.type || '-' || replace(lower({0}.name), ' ', '-')"
 _SYNCED = f"""WITH ch AS (SELECT c.id, c.document_id, c.text, d.source FROM ({_CHUNKS}) c JOIN documents d ON c.document_id = CAST(d.doc_id AS VARCHAR)), e AS ({_TYPED} UNION ALL SELECT *, 'company', source FROM ch),
 r(a, relation, b) AS (VALUES ('company', 'DISCUSSES', 'theme'), ('theme', 'AFFECTS', 'metric'), ('theme', 'EXPOSED_TO', 'risk'), ('risk', 'PRESSURES', 'metric'))
 SELECT x.document_id, x.id AS scope, {_ENTITY.format("x")} AS source_entity_id, relation, {_ENTITY.format("y")} AS target_entity_id FROM r JOIN e x ON x.type = r.a JOIN e y ON y.type = r.b AND y.id = x.id"""
+_HTML_ENT = " UNION ALL ".join(
+    [f"SELECT *, 'theme' AS type, '{k}' AS name FROM x WHERE {_has('lower(text)', [k.lower(), *v])}" for k, v in LEXICON.themes.items()]
+    + [f"SELECT *, '{kind}', '{v}' FROM x WHERE contains(lower(text), '{v}')" for kind, terms in (("metric", LEXICON.metrics), ("risk", LEXICON.risks)) for v in terms]
+)
+_LOADS = f"""WITH x AS (SELECT 'doc-' || doc_id || '-c' AS id, coalesce(text, '') AS text, source AS company, 90 AS conf FROM documents UNION ALL SELECT 'page-' || page_id || '-c', coalesce(html, ''), 'web', 70 FROM pages),
+e AS ({_HTML_ENT} UNION ALL SELECT *, 'company', company FROM x), r(a, relation, b) AS (VALUES ('company', 'DISCUSSES', 'theme'), ('theme', 'AFFECTS', 'metric'), ('theme', 'EXPOSED_TO', 'risk'), ('risk', 'PRESSURES', 'metric'))
+SELECT {_ENTITY.format("s")} AS from_id, s.name AS "from", relation AS relation_type, {_ENTITY.format("t")} AS to_id, t.name AS "to", CAST(s.conf AS BIGINT) AS conf100, s.id AS chunk_id FROM r JOIN e s ON s.type = r.a JOIN e t ON t.type = r.b AND t.id = s.id"""
 _LABEL = "'FY' || year(o_orderdate) || ' Q' || quarter(o_orderdate)"
 _LOADED = f"""WITH o AS (SELECT c_custkey AS id, o_orderpriority AS title, c_nationkey AS company_id, o_orderstatus AS status, {_LABEL} AS label, o_orderkey AS seq FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT 'source_document' AS label, CAST(id AS VARCHAR) AS id, arg_max(company_id || '|' || company_id || '-' || label || '|' || title, seq) AS row FROM o GROUP BY id
@@ -338,6 +383,7 @@ best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY id, concept_i
 SELECT id AS entity_id, concept_id, confidence, method FROM best QUALIFY row_number() OVER (PARTITION BY id ORDER BY confidence DESC, name, concept_id) <= 2"""
 
 ORACLE_SQL: dict[str, str] = {
+    "loads_add_up": _LOADS,
     "markdown_chunks": _CHUNKS,
     "sync_relations": _SYNCED,
     "document_upsert": _LOADED,
@@ -386,3 +432,4 @@ ORACLE_SQL: dict[str, str] = {
       o AS (SELECT *, array_to_string(list_filter({sql_list(fixed.AUDIT_OFF_TOPIC)}, lambda y: contains(x, y)), ', ') AS off FROM p)
       SELECT page_id, chunks, entities, relations, array_to_string(list_filter([CASE WHEN NOT {_has('x', fixed.AUDIT_POSITIVE)} THEN 'source does not include an earnings/transcript/call keyword' END, CASE WHEN off <> '' THEN 'off-topic source keyword(s): ' || off END, CASE WHEN chunks = 0 THEN 'no chunks' END, CASE WHEN entities = 0 THEN 'no entities' END, CASE WHEN relations = 0 THEN 'no relations' END], lambda y: y IS NOT NULL), '|') AS warnings FROM o""",
 }
+ORACLE_SQL["cosine_topk_indexed"] = ORACLE_SQL["cosine_topk"]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from uuid import uuid4
 
@@ -18,12 +19,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..progress import Report, step
+
 _BUCKET = "_bucket"
 POINTER = "_current.json"
 #: Rows of a bucket, as a table is first written; a table has a power of two of buckets, within these bounds.
 BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 512, 4, 16_384
 #: Rows of one file; a larger bucket is written by several tasks.
 FILE_ROWS = 2_000_000
+#: Tables that a commit writes at the same time.
+AT_ONCE = 4
 
 
 def files(spark: SparkSession, path: str):
@@ -128,51 +133,66 @@ def near(spark: SparkSession, path: str, name: str, keys: DataFrame, key: str, n
     return None if table is None else opened(spark, path, name, now, touched(keys, key, table["buckets"]))
 
 
-def commit(spark: SparkSession, path: str, changes: dict[str, Change], now: dict | None = None, tokens: dict | None = None, check=None) -> dict:
+def _written(spark: SparkSession, path: str, name: str, change: Change, now: dict, aside: str) -> tuple[dict, list[str], dict, DataFrame, int] | None:
+    """A table's touched buckets in a new folder: (table, superseded folders, what was written, its rows, new rows); None if there is nothing to do."""
+    rows, table = stored(change.rows, f"{aside}/{name}"), now["tables"].get(name)
+    n = rows.count()
+    if table is None:
+        size = LEAST_BUCKETS
+        while size < MOST_BUCKETS and size * BUCKET_ROWS < n:
+            size *= 2
+        table = {"key": change.key, "buckets": size, "folders": {}}
+    keys = rows.select(change.key)
+    if change.gone is not None:
+        keys = keys.unionByName(change.gone.select(change.key))
+    parts = touched(keys, change.key, table["buckets"])
+    if not parts and name in now["tables"]:
+        return None
+    schema = rows.schema
+    old = opened(spark, path, name, now, parts)
+    if old is not None:
+        rows = old.join(keys.distinct(), change.key, "left_anti").unionByName(rows, allowMissingColumns=True)
+        schema = StructType.fromJson(table["schema"])
+        schema = StructType([*schema, *(f for f in rows.schema if f.name not in schema.names)])
+        rows = rows.select(schema.names)
+    folder = f"data/{name}/v{now['version'] + 1:08d}-{uuid4().hex[:8]}"
+    split = F.pmod(F.xxhash64(F.lit("file"), *[f.name for f in schema if f.dataType.typeName() != "map"]), F.lit(max(1, -(-n // max(1, len(parts)) // FILE_ROWS))))
+    numbered = rows.withColumn(_BUCKET, _number(change.key, table["buckets"]))
+    numbered.repartition(max(1, min(len(parts), 512)), _BUCKET, split).write.partitionBy(_BUCKET).parquet(f"{path}/{folder}")
+    fs, p = files(spark, f"{path}/{folder}")
+    made = sorted(s.getPath().getName().partition("=")[2] for s in fs.listStatus(p) if s.getPath().getName().startswith(f"{_BUCKET}="))
+    keep = {b: f for b, f in table["folders"].items() if int(b) not in parts}
+    stale = [f"{f}/{_BUCKET}={b}" for b, f in table["folders"].items() if int(b) in parts]
+    table = table | {"schema": json.loads(schema.json()), "folders": keep | dict.fromkeys(made, folder)}
+    new = spark.read.schema(schema).parquet(*[f"{path}/{folder}/{_BUCKET}={b}" for b in made]) if made else spark.createDataFrame([], schema)
+    return table, stale, {"buckets": len(parts), "folder": folder}, new, n
+
+
+def commit(spark: SparkSession, path: str, changes: dict[str, Change], now: dict | None = None, tokens: dict | None = None, check=None, report: Report | None = None) -> dict:
     """Bring ``changes`` into the tables at ``path``; returns the new state, with the rows and buckets written of each table.
 
     Rows must be one a key, or several that replace each other together.  ``now`` is the state that they were made from: if another
     commit has come between, it is an error and nothing changes.  ``check`` is called with the touched
     buckets of each table, as they will be, before the pointer moves.  ``tokens`` are kept with the state.
+    ``report`` hears of each table.
     """
     now = now or state(spark, path)
     version = now["version"] + 1
     tables, stale, written = dict(now["tables"]), [], {}
     staged: dict[str, DataFrame] = {}
     aside = f"{path}/data/_aside-{uuid4().hex}"
-    for name, change in changes.items():
-        rows, table = stored(change.rows, f"{aside}/{name}"), tables.get(name)
-        n = rows.count()
-        if table is None:
-            size = LEAST_BUCKETS
-            while size < MOST_BUCKETS and size * BUCKET_ROWS < n:
-                size *= 2
-            table = {"key": change.key, "buckets": size, "folders": {}}
-        keys = rows.select(change.key)
-        if change.gone is not None:
-            keys = keys.unionByName(change.gone.select(change.key))
-        parts = touched(keys, change.key, table["buckets"])
-        if not parts and name in tables:
-            continue
-        schema = rows.schema
-        if name in tables and (old := opened(spark, path, name, now, parts)) is not None:
-            rest = old.join(keys.distinct(), change.key, "left_anti")
-            rows = rest.unionByName(rows, allowMissingColumns=True)
-            schema = StructType.fromJson(table["schema"])
-            schema = StructType([*schema, *(f for f in rows.schema if f.name not in schema.names)])
-            rows = rows.select(schema.names)
-        folder = f"data/{name}/v{version:08d}-{uuid4().hex[:8]}"
-        split = F.pmod(F.xxhash64(F.lit("file"), change.key), F.lit(max(1, -(-n // max(1, len(parts)) // FILE_ROWS))))
-        numbered = rows.withColumn(_BUCKET, _number(change.key, table["buckets"]))
-        numbered.repartition(max(1, min(len(parts), 512)), _BUCKET, split).write.partitionBy(_BUCKET).parquet(f"{path}/{folder}")
-        fs, p = files(spark, f"{path}/{folder}")
-        made = {s.getPath().getName().partition("=")[2] for s in fs.listStatus(p) if s.getPath().getName().startswith(f"{_BUCKET}=")}
-        keep = {b: f for b, f in table["folders"].items() if int(b) not in parts}
-        stale += [f"{f}/{_BUCKET}={b}" for b, f in table["folders"].items() if int(b) in parts]
-        tables[name] = table | {"schema": json.loads(schema.json()), "folders": keep | {b: folder for b in sorted(made)}}
-        written[name] = {"buckets": len(parts), "folder": folder}
-        staged[name] = spark.read.schema(schema).parquet(*[f"{path}/{folder}/{_BUCKET}={b}" for b in sorted(made)]) if made else spark.createDataFrame([], schema)
     try:
+
+        def one(name: str) -> None:
+            with step(spark, f"write {name}", report) as own:
+                done = _written(spark, path, name, changes[name], now, aside)
+                if done is not None:
+                    tables[name], old, written[name], staged[name], own.rows = done
+                    stale.extend(old)
+
+        with ThreadPoolExecutor(AT_ONCE) as pool:  # tables don't wait for each other
+            for future in [pool.submit(one, name) for name in changes]:
+                future.result()
         if check is not None:
             check(staged)
         if state(spark, path)["version"] != now["version"]:

@@ -244,6 +244,9 @@ def test_load_and_ask(spark, tmp_path):
     assert {f["id"] for f in facts} == {"fact-rel-one", "fact-rel-two"} and facts[0]["conf100"] == 90
     got = cli.ask(g, "What does AI demand affect?")
     assert got["facts"] == 2 and "AI demand -DRIVES-> Revenue (value=5)" in got["bull_case"] and got["companies"] == "Acme"
+    cli.index_graph(spark, str(tmp_path / "graph"))
+    assert cli.narrowed(spark, str(tmp_path / "graph"), g, ["nothing"]).facts.count() == 0
+    assert cli.ask(g, "What does AI demand affect?", path=str(tmp_path / "graph")) == got
     assert g.calls.first()["fiscal_quarter"] == "FY2026 Q1"
     warned = {r["id"]: r["warnings"] for r in audit.audit_exports(exports).collect()}
     assert warned == {"doc-one": [], "doc-two": ["no entities"]}
