@@ -152,8 +152,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return _by_text(df, id_col, text_col).mapInArrow(run, f"_qg_id {df.schema[id_col].dataType.simpleString()}, _qg_th bigint, node bigint, n bigint")
 
 
-def _keyed(texts: DataFrame, percent: int, sample: int = 1) -> DataFrame:
-    """(key, node) of each class; a task gives a class once, so copies don't add up.  With ``sample``, of one in so many classes."""
+def _keyed(texts: DataFrame, percent: int) -> DataFrame:
+    """(key, node) of each class; a task gives a class once, so copies don't add up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -162,7 +162,7 @@ def _keyed(texts: DataFrame, percent: int, sample: int = 1) -> DataFrame:
             for t in batch.column(2):
                 s = shingles(t.as_py())
                 node = node_of(s)
-                if not len(s) or node in seen or node % sample:
+                if not len(s) or node in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
@@ -215,10 +215,11 @@ def _grouped(rows: DataFrame) -> DataFrame:
 def similar_groups(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(name, node): groups of classes that share a key, equal groups once.
 
-    Keys with more than HOT_SHARE of all rows are looked for on a sample of the classes, which decides
+    Keys with more than HOT_SHARE of all rows are looked for on a sample of the texts, which decides
     only how rows are dealt out: their groups are found by aggregates, so no task holds one.
     """
-    sample = checkpoint(_keyed(texts, percent, HOT_SAMPLE).distinct())
+    drawn = texts.filter(F.pmod("_qg_th", F.lit(HOT_SAMPLE)) == 0)
+    sample = checkpoint(_keyed(drawn, percent).distinct())
     hot = checkpoint(sample.groupBy("key").count().filter(F.col("count") > max(HOT_LEAST, sample.count() * HOT_SHARE)).select("key"))
     rows = _keyed(texts, percent)
     if hot.isEmpty():
