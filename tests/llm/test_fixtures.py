@@ -20,7 +20,9 @@ from .test_native import edited_brute, contamination_brute  # noqa: F401
 
 
 def tables(spark, folder, rows, items=(), labels=()):
-    """A folder of documents, benchmark and labels; ``rows``: (doc_id, text, lang, source)."""
+    """A folder of documents, benchmark, labels and a vector for each document; ``rows``: (doc_id, text, lang, source)."""
+    vectors = [(i, [len(t or "") / 7 - k for k in range(16)], None if t is None else len(t) % 3) for i, t, _, _ in rows]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     spark.createDataFrame([(i, t, g, s, None if t is None else len(t)) for i, t, g, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
