@@ -48,3 +48,7 @@ def same_signals(g, *terms):
 
 def test_product_map(g):
     same_signals(g, c.PRODUCT, c.PRODUCT_SIGNAL)
+
+
+def test_positive_demand(g):
+    same_signals(g, c.CATEGORY, c.DEMAND)
