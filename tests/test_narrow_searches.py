@@ -52,3 +52,7 @@ def test_product_map(g):
 
 def test_positive_demand(g):
     same_signals(g, c.CATEGORY, c.DEMAND)
+
+
+def test_risks(g):
+    same_signals(g, c.RISK_CATEGORY, c.RISK)
