@@ -1,8 +1,8 @@
 """Trigram posting lists for searches by substring: what can't match is not read.
 
 A text that contains a term contains all of its trigrams.  Postings name, for each
-trigram, the entities whose texts have it and the facts whose evidence has it; others name the facts at
-each entity and of each relation type.  The rarest trigrams of a term are looked up and
+trigram, the entities and the distinct evidence texts that have it; others name the facts at
+each entity and of each evidence and relation.  The rarest trigrams of a term are looked up and
 intersected; what is left are candidates, which the search itself then verifies, so its rows are those
 of a full scan.  Lists are sorted by trigram, so a lookup reads few row groups, and Spark's ranges split
 the list of a very common one.
@@ -24,6 +24,8 @@ from ..sources.storage import delete, read_text, scratch, stored, write_text
 from .graph_queries import balanced_relation_search, connected_nodes, entity_texts, relation_count, relation_search
 
 GRAM = 3
+#: How postings are laid out; others don't count.
+FORM = 2
 #: Trigrams of a term that are looked up, the rarest first; the others are left to the check.
 LOOKED_UP = 3
 
@@ -34,34 +36,48 @@ def grams(text: Column) -> Column:
     return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
 
 
-def _posted(rows: DataFrame, path: str) -> None:
-    """Rows (gram, id) sorted by both, and how many each gram has."""
+def _key(*columns: str) -> Column:
+    """Postings name facts and texts by a hash: two of the same hash add a candidate, which the search checks like any other."""
+    return F.xxhash64(*columns)
+
+
+def _sorted(rows: DataFrame, path: str) -> None:
+    """Rows (gram, id) in the order of both."""
     stored(rows.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id"), path)
-    rows.sparkSession.read.parquet(path).groupBy("gram").count().write.parquet(f"{path}-counts")
 
 
 def _listed(texts: DataFrame, path: str) -> None:
-    """Postings of texts (id, text)."""
-    _posted(texts.select(F.explode(grams(F.col("text"))).alias("gram"), "id"), path)
+    """Postings of texts (id, text), and how many each trigram has."""
+    _sorted(texts.select(F.explode(grams(F.col("text"))).alias("gram"), "id"), path)
+    texts.sparkSession.read.parquet(path).groupBy("gram").count().write.parquet(f"{path}-counts")
+
+
+def _said(facts: DataFrame) -> DataFrame:
+    """What each fact says, as a text of its own: evidence in lower case, and the relation."""
+    return facts.select(F.lower(F.coalesce("evidence_text", F.lit(""))).alias("text"), F.coalesce("relation_type", F.lit("")).alias("relation"), "id")
 
 
 def build(g: Graph, path: str, version: int = 0) -> None:
-    """The postings of a graph, in place of what is at ``path``; they count once their note is written, with the graph's ``version``."""
+    """The postings of a graph, in place of what is at ``path``; they count once their note is written, with the graph's ``version``.
+
+    Trigrams are listed once a distinct evidence and once an entity; ``facts`` has the facts of each evidence, relation and end.
+    """
     spark = g.facts.sparkSession
     delete(spark, path)
     _listed(entity_texts(g), f"{path}/entities")
-    _listed(g.facts.select("id", F.lower(F.coalesce("evidence_text", F.lit(""))).alias("text")), f"{path}/evidence")
-    ends = g.facts.select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("gram"), "id")
-    stored(ends.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id"), f"{path}/ends")
-    types = g.facts.select(F.col("relation_type").alias("gram"), "id").filter("gram is not null")
-    _posted(types, f"{path}/types")
-    write_text(spark, f"{path}/index.json", json.dumps({"version": version}))
+    said = _said(g.facts)
+    texts = stored(said.select("text", "relation").distinct(), f"{path}/texts")
+    _listed(texts.select("text").distinct().select(_key("text").alias("id"), "text"), f"{path}/evidence")
+    _sorted(said.select(_key("text", "relation").alias("gram"), _key("id").alias("id")), f"{path}/facts")
+    ends = g.facts.select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("gram"), _key("id").alias("id"))
+    _sorted(ends, f"{path}/ends")
+    write_text(spark, f"{path}/index.json", json.dumps({"version": version, "form": FORM}))
 
 
 def version(spark: SparkSession, path: str) -> int | None:
-    """The graph's version that the postings are of; None if there are none."""
-    note = read_text(spark, f"{path}/index.json")
-    return None if note is None else json.loads(note)["version"]
+    """The graph's version that the postings are of; None if there are none of this form."""
+    note = json.loads(read_text(spark, f"{path}/index.json") or "{}")
+    return note["version"] if note.get("form") == FORM else None
 
 
 def _matching(spark: SparkSession, path: str, texts: DataFrame, term: str) -> DataFrame:
@@ -85,18 +101,17 @@ def narrowed(g: Graph, path: str, terms: list[str]) -> Graph:
     terms = list(dict.fromkeys(t.lower() for t in terms))
     if not terms:
         return g
-    evidence = g.facts.select("id", F.lower(F.coalesce("evidence_text", F.lit(""))).alias("text"))
-    found = []
+    texts = spark.read.parquet(f"{path}/texts").withColumn("id", _key("text"))
+    entities, says = [], []
     # a mark stands between evidence and relation in what is searched, so no term runs from one into the other
     for t in terms:
-        entities = _matching(spark, f"{path}/entities", entity_texts(g), t)
-        found.append(spark.read.parquet(f"{path}/ends").join(entities.select(F.col("id").alias("gram")), "gram", "left_semi").select("id"))
-        found.append(_matching(spark, f"{path}/evidence", evidence, t))
-        kinds = [r["gram"] for r in spark.read.parquet(f"{path}/types-counts").collect() if t in r["gram"].lower()]  # the relation types
-        if kinds:
-            found.append(spark.read.parquet(f"{path}/types").filter(F.col("gram").isin(kinds)).select("id"))
-    ids = stored(reduce(DataFrame.unionByName, found).distinct(), scratch(spark, "candidates"))
-    facts = stored(g.facts.join(ids, "id", "left_semi"), scratch(spark, "candidates"))
+        entities.append(_matching(spark, f"{path}/entities", entity_texts(g), t))
+        says.append(texts.join(_matching(spark, f"{path}/evidence", texts.select("id", "text").distinct(), t), "id", "left_semi").select(_key("text", "relation").alias("gram")))
+        says.append(texts.filter(F.lower("relation").contains(t)).select(_key("text", "relation").alias("gram")))
+    either = lambda found: reduce(DataFrame.unionByName, found).distinct()
+    found = spark.read.parquet(f"{path}/ends").join(either(entities).select(F.col("id").alias("gram")), "gram", "left_semi").select("id")
+    found = found.unionByName(spark.read.parquet(f"{path}/facts").join(either(says), "gram", "left_semi").select("id"))
+    facts = stored(g.facts.withColumn("_key", _key("id")).join(found.withColumnRenamed("id", "_key"), "_key", "left_semi").drop("_key"), scratch(spark, "candidates"))
     ends = facts.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
     return replace(g, facts=facts, entities=g.entities.join(ends, "id", "left_semi"))
 

@@ -47,6 +47,14 @@ def test_a_rare_term_reads_few_facts(spark, indexed):
     assert s.narrowed(g, path, ["zzz"]).facts.count() == 0
 
 
+def test_trigrams_are_listed_once_a_text(spark, indexed, tmp_path):
+    g, path = indexed
+    assert spark.read.parquet(f"{path}/evidence").count() < 0.5 * g.facts.count()
+    assert spark.read.parquet(f"{path}/facts").count() == g.facts.count()
+    s.write_text(spark, f"{tmp_path}/index.json", '{"version": 7}')  # of postings as they once were
+    assert s.version(spark, str(tmp_path)) is None
+
+
 def test_odd_texts(spark, tmp_path):
     frames = {f: spark.createDataFrame([], "id long") for f in Graph.__dataclass_fields__}
     frames["entities"] = spark.createDataFrame([(1, "Ab", None, None), (2, None, None, "ÉTÉ chaud"), (3, "", None, None)], "id long, name string, value string, context string").withColumn("canonical_name", F.col("name"))
