@@ -59,7 +59,7 @@ def test_risks(g):
     same_signals(g, c.RISK_CATEGORY, c.RISK)
 
 
-@pytest.mark.parametrize("terms", [(c.CATEGORY, c.DEMAND)])
+@pytest.mark.parametrize("terms", [(c.CATEGORY, c.DEMAND), (c.RISK_CATEGORY, c.RISK)])
 def test_facts_meet_flags_without_a_shuffle(spark, g, terms, monkeypatch):
     placed, seen = q._placed, []
     monkeypatch.setattr(q, "_placed", lambda of, facts, **a: seen.append(facts) or placed(of, facts, **a))
